@@ -27,6 +27,7 @@ from wayfare.operators.journeys import (
     recent_events,
     second_pages,
     session_items,
+    session_measures,
     session_summary,
 )
 from wayfare.operators.visits import active_visits, session_bounds
@@ -197,9 +198,8 @@ def _nonconverted(t: Tables) -> DataFrame:
 
 
 def _visits(t: Tables) -> DataFrame:
-    counts = page_counts(*_rows_and_numbers(t))
-    journeyed = _lean(t).filter(F.col("journey_len") > 0)
-    return pages.page_visits(counts.join(journeyed, ["user_id", "session_number"], "left_semi"))
+    rows, numbered = _rows_and_numbers(t)
+    return pages.page_visits(session_measures(rows, numbered), page_counts(rows, numbered))
 
 
 def _idle(t: Tables) -> DataFrame:

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions.pages import journey_length, tokens
-
-SESSION = ["user_id", "session_number"]
+from wayfare.operators.keys import SESSION
 
 
 def summary_from_journeys(journeys: DataFrame) -> DataFrame:

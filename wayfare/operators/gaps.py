@@ -58,12 +58,13 @@ def event_gaps(events: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFra
 
     The first event of a user has a NULL gap.
     """
-    sliced = events.select("user_id", "created", "id", slice_of("created", slice_seconds).alias("slice"))
-    lasts = sliced.groupBy("user_id", "slice").agg(F.max("created").alias("last_created"))
-    by_slice = W.partitionBy("user_id").orderBy("slice")
-    carried = lasts.select("user_id", "slice", F.lag("last_created").over(by_slice).alias("carried"))
     inside = W.partitionBy("user_id", "slice").orderBy("created", "id")
-    rows = sliced.withColumn("previous", F.lag("created").over(inside))
+    rows = _by_slice(events.select("user_id", "created", "id"), slice_seconds).select(
+        "*", F.lag("created").over(inside).alias("previous"), F.lead("created").over(inside).alias("following")
+    )
+    in_order = W.partitionBy("user_id").orderBy("slice")
+    lasts = rows.filter(F.col("following").isNull()).select("user_id", "slice", "created")
+    carried = lasts.select("user_id", "slice", F.lag("created").over(in_order).alias("carried"))
     # Inside a slice only its first row lacks a previous event.
     previous = F.coalesce("previous", "carried")
     return rows.join(carried, ["user_id", "slice"]).select(
@@ -78,7 +79,7 @@ def product_time(events: DataFrame, gap_cap_seconds: int = 900, slice_seconds: i
     """
     cap = seconds_interval(gap_cap_seconds)
     inside = W.partitionBy("user_id", "slice").orderBy("created")
-    rows = events.select("user_id", "created", slice_of("created", slice_seconds).alias("slice")).withColumn(
+    rows = _by_slice(events.select("user_id", "created"), slice_seconds).withColumn(
         "gap", F.col("created") - F.lag("created").over(inside)
     )
     slices = rows.groupBy("user_id", "slice").agg(
@@ -86,9 +87,9 @@ def product_time(events: DataFrame, gap_cap_seconds: int = 900, slice_seconds: i
         F.max("created").alias("last_created"),
         F.sum(F.when(F.col("gap") <= cap, F.col("gap"))).alias("spent"),
     )
-    by_slice = W.partitionBy("user_id").orderBy("slice")
+    in_order = W.partitionBy("user_id").orderBy("slice")
     joints = slices.select(
-        "user_id", "spent", (F.col("first_created") - F.lag("last_created").over(by_slice)).alias("joint")
+        "user_id", "spent", (F.col("first_created") - F.lag("last_created").over(in_order)).alias("joint")
     )
     spent = joints.groupBy("user_id").agg(
         F.sum("spent").alias("spent"), F.sum(F.when(F.col("joint") <= cap, F.col("joint"))).alias("joints")
@@ -98,3 +99,13 @@ def product_time(events: DataFrame, gap_cap_seconds: int = 900, slice_seconds: i
     return spent.filter(F.col("spent").isNotNull() | F.col("joints").isNotNull()).select(
         "user_id", interval_seconds(total).alias("product_time")
     )
+
+
+def _by_slice(events: DataFrame, slice_seconds: int) -> DataFrame:
+    """Add ``slice`` and spread the rows by user and slice.
+
+    Events often arrive here from a join on the user. Their partitioning by
+    user would satisfy a window by user and slice as well, and leave a busy
+    user in one task; so the shuffle is asked for.
+    """
+    return events.withColumn("slice", slice_of("created", slice_seconds)).repartition("user_id", "slice")

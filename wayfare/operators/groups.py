@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfare.operators.filters import converted
+from wayfare.session import use_checkpoint_dir
 
 GROUP_KEYS = ("funnel_id", "session_number", "offer_category_id", "offer_id")
 
@@ -15,15 +17,41 @@ GROUP_KEYS = ("funnel_id", "session_number", "offer_category_id", "offer_id")
 def top_groups(sessions: DataFrame, share: float = 0.2, keys: Sequence[str] = GROUP_KEYS) -> DataFrame:
     """The groups with most redirects, as many as ``share`` of the session count.
 
-    Groups with a missing key do not count. Equal sums go by key order. Only
-    two counts come to the driver; when all groups fit, nothing is sorted.
+    Groups with a missing key do not count. Equal sums go by key order. The
+    sessions are read once; the groups are checkpointed and only their number
+    and the session count come to the driver.
     """
-    complete = sessions.dropna(subset=list(keys))
-    groups = complete.groupBy(*keys).agg(F.sum("redirected").alias("redirected"))
-    wanted = int(sessions.count() * share)
-    if groups.count() <= wanted:
-        return groups
-    return groups.orderBy(F.col("redirected").desc(), *keys).limit(wanted)
+    use_checkpoint_dir(sessions.sparkSession)
+    every = sessions.groupBy(*keys).agg(F.sum("redirected").alias("redirected"), F.count(F.lit(1)).alias("sessions"))
+    every = every.checkpoint()
+    groups = every.dropna(subset=list(keys)).select(*keys, "redirected")
+    size = every.agg(F.coalesce(F.sum("sessions"), F.lit(0)).alias("sessions")).first()
+    wanted = int(size["sessions"] * share)
+    return groups if groups.count() <= wanted else _largest(groups, wanted, keys)
+
+
+def _largest(groups: DataFrame, wanted: int, keys: Sequence[str]) -> DataFrame:
+    """Exactly the first ``wanted`` groups by sum (descending) and keys.
+
+    A group's place is its row number among groups of equal sum and leading
+    key, plus the groups ahead of those, so no task sorts all groups. Only the
+    distinct sums pass one window; there are at most sqrt(2 x all redirects).
+    """
+    lead, rest = keys[0], keys[1:]
+    blocks = groups.groupBy("redirected", lead).agg(F.count(F.lit(1)).alias("groups"))
+    ahead = (W.unboundedPreceding, -1)
+    higher_sums = W.orderBy(F.col("redirected").desc()).rowsBetween(*ahead)
+    sums = blocks.groupBy("redirected").agg(F.sum("groups").alias("groups"))
+    sums = sums.select("redirected", F.sum("groups").over(higher_sums).alias("higher"))
+    same_sum = W.partitionBy("redirected").orderBy(lead).rowsBetween(*ahead)
+    blocks = blocks.withColumn("equal", F.sum("groups").over(same_sum)).join(sums, "redirected")
+    in_block = W.partitionBy("redirected", lead).orderBy(*rest)
+    none = F.lit(0)
+    place = F.coalesce("higher", none) + F.coalesce("equal", none) + F.col("place")
+    placed = groups.withColumn("place", F.row_number().over(in_block)).join(
+        blocks.select("redirected", lead, "higher", "equal"), ["redirected", lead]
+    )
+    return placed.filter(place <= wanted).select(*keys, "redirected")
 
 
 def rows_in_groups(sessions: DataFrame, groups: DataFrame, keys: Sequence[str] = GROUP_KEYS) -> DataFrame:

@@ -33,11 +33,10 @@ from wayfare.functions.references import (
 )
 from wayfare.functions.times import SLICE_SECONDS, AsOf, since, slice_of
 from wayfare.operators.gaps import early_events, product_time
+from wayfare.operators.keys import SESSION
 from wayfare.operators.visits import active_visits, number_visits
 from wayfare.sources.tables import Tables
 
-SESSION = ["user_id", "session_number"]
-
 
 @dataclass(frozen=True)
 class JourneyOptions:
@@ -140,13 +139,19 @@ def user_profile(users: DataFrame) -> DataFrame:
     )
 
 
-def with_users(sessions: DataFrame, tables: Tables) -> DataFrame:
-    """Add user attributes, which are constant within a session."""
-    return sessions.join(user_profile(tables.user), "user_id")
+def with_users(sessions: DataFrame, tables: Tables, options: JourneyOptions | None = None) -> DataFrame:
+    """Add user attributes and, when options are given, the user's product time.
+
+    Both are constant per user, so they repeat on each of the user's sessions
+    and meet the sessions in one join.
+    """
+    profile = user_profile(tables.user)
+    if options is not None:
+        profile = profile.join(user_product_time(tables, options), "user_id", "left")
+    return sessions.join(profile, "user_id")
 
 
-def with_product_time(sessions: DataFrame, tables: Tables, options: JourneyOptions) -> DataFrame:
-    """Add the user's product time; it repeats on each of the user's sessions."""
+def user_product_time(tables: Tables, options: JourneyOptions) -> DataFrame:
     events = early_events(
         tables.user_event,
         tables.user,
@@ -155,8 +160,7 @@ def with_product_time(sessions: DataFrame, tables: Tables, options: JourneyOptio
         horizon_hours=options.horizon_hours,
         device=options.device,
     )
-    spent = product_time(events, options.gap_cap_seconds, options.slice_seconds)
-    return sessions.join(spent, "user_id", "left")
+    return product_time(events, options.gap_cap_seconds, options.slice_seconds)
 
 
 def session_summary(tables: Tables, options: JourneyOptions, with_category: bool = True) -> DataFrame:
@@ -166,8 +170,7 @@ def session_summary(tables: Tables, options: JourneyOptions, with_category: bool
     place ``first_page`` and ``last_page``. Unused columns are pruned.
     """
     rows = journey_events(tables, options, with_category)
-    sessions = session_measures(rows, numbered_visits(tables, options))
-    return with_product_time(with_users(sessions, tables), tables, options)
+    return with_users(session_measures(rows, numbered_visits(tables, options)), tables, options)
 
 
 def page_counts(rows: DataFrame, numbered: DataFrame) -> DataFrame:
@@ -287,12 +290,17 @@ def roll_up_measures(rows: DataFrame) -> DataFrame:
     return _finish(rows.groupBy(*SESSION).agg(*_row_figures()))
 
 
-def user_page_arrays(rows: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
-    """``user_id, journey_pages``: all non-NULL page names of a user, in order."""
+def user_page_arrays(rows: DataFrame, users: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """``user_id, journey_pages``: all non-NULL page names of the given users, in order.
+
+    Users are looked up per slice, not per event. Spark moves the lookup in
+    front of the aggregation when the users are few enough to broadcast.
+    """
     sliced = (
         rows.filter(F.col("page_name").isNotNull())
         .groupBy("user_id", slice_of("created", slice_seconds).alias("slice"))
         .agg(_ordered(F.struct("created", "id", "page_name")).alias("steps"))
+        .join(users.select("user_id"), "user_id", "left_semi")
     )
     sliced = sliced.withColumn("pages", F.transform("steps", lambda step: step["page_name"]))
     pages = F.flatten(F.transform(_ordered(F.struct("slice", "pages")), lambda part: part["pages"]))

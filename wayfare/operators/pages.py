@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions.pages import general_page
-
-SESSION = ["user_id", "session_number"]
+from wayfare.operators.keys import SESSION
 
 # How the analyses spell the journey of a session without pages.
 TOKEN_AS_NULL = "Null"
@@ -53,9 +52,12 @@ def ending_counts(sessions: DataFrame, ending: str = "chats[") -> DataFrame:
     return _step_counts(kept, general_page("last_page"))
 
 
-def page_visits(pages: DataFrame) -> DataFrame:
-    """``page, visits`` over all sessions, ids dropped, most visited first."""
-    return most_visited(_counted(pages, F.trim(general_page("page"))))
+def page_visits(sessions: DataFrame, pages: DataFrame) -> DataFrame:
+    """``page, visits`` over the given sessions, ids dropped, most visited first.
+
+    A session without pages adds nothing.
+    """
+    return most_visited(_counted(_pages_of(sessions, pages), F.trim(general_page("page"))))
 
 
 def popular_interactions(sessions: DataFrame, pages: DataFrame) -> DataFrame:

@@ -6,10 +6,9 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfare.operators.keys import SESSION
 from wayfare.session import use_checkpoint_dir
 
-SESSION = ["user_id", "session_number"]
-
 
 def transactions(sessions: DataFrame, items: DataFrame) -> DataFrame:
     """Item sets of the given sessions; a session without pages holds one blank item."""

@@ -1,15 +1,15 @@
 """Which visits are active, and their session numbers.
 
 Session numbers are dense: per visit owner, by start time, counted over the
-visits that still have an event after all filters. The ranking runs on
-distinct starts, sliced by time: rank inside the slice plus the number of
-starts in earlier slices. So an owner with very many visits is ranked by many
-tasks, and the only whole-owner window runs over one row per slice.
+visits that still have an event after all filters. The ranking is sliced by
+time: rank inside the slice plus the number of distinct starts in earlier
+slices. So an owner with very many visits is ranked by many tasks, and the
+only whole-owner window runs over one row per slice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,6 +29,25 @@ def active_visits(events: DataFrame, users: DataFrame, visits: DataFrame) -> Dat
     return known.join(starts, "visit_id").select("user_id", "visit_id", "owner_id", "session_start")
 
 
+def number_visits(
+    active: DataFrame, max_session: int | None = None, slice_seconds: int = SLICE_SECONDS
+) -> DataFrame:
+    """``user_id, visit_id, session_number`` of every active pair.
+
+    Visits that start at the same time share a number. ``max_session`` keeps
+    the first sessions, numbered before the cut.
+    """
+    sliced = active.withColumn("slice", slice_of("session_start", slice_seconds))
+    ranked = sliced.withColumn("rank_inside", F.dense_rank().over(_inside_slice()))
+    if max_session is not None:
+        # Implied by the cut below; lets Spark drop later visits before the shuffle.
+        ranked = ranked.filter(F.col("rank_inside") <= max_session)
+    numbered = ranked.join(_slice_offsets(sliced), ["owner_id", "slice"]).select(
+        "user_id", "visit_id", _number().alias("session_number")
+    )
+    return numbered if max_session is None else numbered.filter(F.col("session_number") <= max_session)
+
+
 def session_bounds(active: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """``owner_id, session_number, session_start, session_end`` per distinct start.
 
@@ -36,45 +55,38 @@ def session_bounds(active: DataFrame, slice_seconds: int = SLICE_SECONDS) -> Dat
     """
     starts = active.select("owner_id", "session_start").distinct()
     sliced = starts.withColumn("slice", slice_of("session_start", slice_seconds))
-    in_order = W.partitionBy("owner_id").orderBy("slice")
-    slices = (
-        sliced.groupBy("owner_id", "slice")
-        .agg(F.count(F.lit(1)).alias("starts"), F.min("session_start").alias("first_start"))
-        .select(
-            "owner_id",
-            "slice",
-            F.coalesce(F.sum("starts").over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-            F.lead("first_start").over(in_order).alias("next_slice_start"),
-        )
-    )
-    inside = W.partitionBy("owner_id", "slice").orderBy(F.col("session_start").asc_nulls_last())
-    ranked = sliced.select(
-        "owner_id",
-        "slice",
-        "session_start",
-        F.row_number().over(inside).alias("rank_inside"),
-        F.lead("session_start").over(inside).alias("next_inside"),
+    ranked = sliced.withColumns(
+        {
+            "rank_inside": F.row_number().over(_inside_slice()),
+            "next_inside": F.lead("session_start").over(_inside_slice()),
+        }
     )
-    return ranked.join(slices, ["owner_id", "slice"]).select(
+    return ranked.join(_slice_offsets(sliced), ["owner_id", "slice"]).select(
         "owner_id",
-        (F.col("before") + F.col("rank_inside")).cast("int").alias("session_number"),
+        _number().alias("session_number"),
         "session_start",
         F.coalesce("next_inside", "next_slice_start").alias("session_end"),
     )
 
 
-def number_visits(
-    active: DataFrame, max_session: int | None = None, slice_seconds: int = SLICE_SECONDS
-) -> DataFrame:
-    """``user_id, visit_id, session_number`` of every active pair.
+def _inside_slice() -> WindowSpec:
+    return W.partitionBy("owner_id", "slice").orderBy(F.col("session_start").asc_nulls_last())
 
-    Visits that start at the same time share a number. ``max_session`` keeps
-    the first sessions, numbered before the cut.
-    """
-    numbers = session_bounds(active, slice_seconds).select(
-        F.col("owner_id").alias("number_owner"), F.col("session_start").alias("number_start"), "session_number"
+
+def _slice_offsets(sliced: DataFrame) -> DataFrame:
+    """Per owner and slice: distinct starts before it, and the next slice's first start."""
+    by_slice = W.partitionBy("owner_id").orderBy("slice")
+    earlier = by_slice.rowsBetween(W.unboundedPreceding, -1)
+    slices = sliced.groupBy("owner_id", "slice").agg(
+        F.count_distinct("session_start").alias("starts"), F.min("session_start").alias("first_start")
     )
-    if max_session is not None:
-        numbers = numbers.filter(F.col("session_number") <= max_session)
-    same = (F.col("owner_id") == F.col("number_owner")) & F.col("session_start").eqNullSafe(F.col("number_start"))
-    return active.join(numbers, same).select("user_id", "visit_id", "session_number")
+    return slices.select(
+        "owner_id",
+        "slice",
+        F.coalesce(F.sum("starts").over(earlier), F.lit(0)).alias("before"),
+        F.lead("first_start").over(by_slice).alias("next_slice_start"),
+    )
+
+
+def _number() -> Column:
+    return (F.col("before") + F.col("rank_inside")).cast("int")

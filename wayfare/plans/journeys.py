@@ -19,7 +19,6 @@ from wayfare.operators.journeys import (
     rows_after_anchor,
     session_texts,
     user_page_arrays,
-    with_product_time,
     with_users,
 )
 from wayfare.sources.tables import Tables
@@ -110,7 +109,8 @@ def user_pages_array(
     slice_seconds: int = SLICE_SECONDS,
 ) -> DataFrame:
     """Ordered page names of each user of one funnel, as an array."""
-    pages = user_page_arrays(_user_pages(tables, as_of, lookback_days, funnel), slice_seconds)
+    rows = _user_pages(tables, as_of, lookback_days)
+    pages = user_page_arrays(rows, _funnel_users(tables, funnel), slice_seconds)
     return pages.select("user_id", F.lit(funnel).alias("funnel_id"), "journey_pages")
 
 
@@ -122,20 +122,22 @@ def user_page_steps(
     slice_seconds: int = SLICE_SECONDS,
 ) -> DataFrame:
     """The same pages in row form, for users whose array would not fit a row."""
-    return ordered_steps(_user_pages(tables, as_of, lookback_days, funnel), ["user_id"], slice_seconds=slice_seconds)
+    steps = ordered_steps(_user_pages(tables, as_of, lookback_days), ["user_id"], slice_seconds=slice_seconds)
+    return steps.join(_funnel_users(tables, funnel), "user_id", "left_semi")
 
 
 def _sessions(tables: Tables, options: JourneyOptions, with_page_info: bool, timed: bool) -> DataFrame:
     rows = journey_events(tables, options)
     texts = session_texts(rows, numbered_visits(tables, options), with_page_info, options.slice_seconds)
-    sessions = with_users(texts, tables)
-    return with_product_time(sessions, tables, options) if timed else sessions
+    return with_users(texts, tables, options if timed else None)
 
 
-def _user_pages(tables: Tables, as_of: AsOf, lookback_days: int, funnel: int) -> DataFrame:
-    # The funnel is a user attribute, so it can be tested before anything is collected.
-    users = tables.user.filter(F.col("conversion_funnel_id") == funnel).select(F.col("id").alias("user_id"))
-    pages = tables.user_event.filter(since("created", as_of, lookback_days)).select(
+def _user_pages(tables: Tables, as_of: AsOf, lookback_days: int) -> DataFrame:
+    return tables.user_event.filter(since("created", as_of, lookback_days)).select(
         "user_id", "created", "id", page_name("generic").alias("page_name")
     )
-    return pages.filter(F.col("page_name").isNotNull()).join(users, "user_id", "left_semi")
+
+
+def _funnel_users(tables: Tables, funnel: int) -> DataFrame:
+    # A user's funnel is one value, so the test on its maximum is a test on the user.
+    return tables.user.filter(F.col("conversion_funnel_id") == funnel).select(F.col("id").alias("user_id"))
