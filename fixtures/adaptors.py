@@ -22,33 +22,48 @@ WORDS = {
 }
 
 
-def load(spark: SparkSession, sf_dir: str) -> Tables:
-    def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# The columns read, with their types, so that opening a table starts no job.
+COLUMNS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "part": "p_partkey bigint, p_size int",
+    "supplier": "s_suppkey bigint",
+    "conversations": "conv_id bigint, turn bigint, text string",
+}
+
 
-    events = read("events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+def load(spark: SparkSession, sf_dir: str, with_banners: bool = False) -> Tables:
+    """The journey tables, and on request those of the banner reports."""
+    events = _read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     user_event = _user_event(events)
-    banner = _banner(read("supplier"))
-    clicks = _banner_click(events)
     tables = {
         "user_event": user_event,
-        "user": _user(read("customer"), events),
+        "user": _user(_read(spark, sf_dir, "customer"), events),
         "user_visit": user_event.groupBy("user_visit_id", "user_id")
         .agg(F.min("created").alias("session_start"))
         .withColumnRenamed("user_visit_id", "id"),
-        "offer": _offer(read("part")),
-        "banner": banner,
-        "banner_click": clicks,
-        "postback": _postback(clicks),
-        "assets": banner.filter(F.col("id") % 4 != 3).select(
-            "image_url", ((F.col("id") + 1) * 1000 + 500).alias("size_bytes")
-        ),
+        "offer": _offer(_read(spark, sf_dir, "part")),
     }
+    if with_banners:
+        banner = _banner(_read(spark, sf_dir, "supplier"))
+        clicks = _banner_click(events)
+        tables |= {
+            "banner": banner,
+            "banner_click": clicks,
+            "postback": _postback(clicks),
+            "assets": banner.filter(F.col("id") % 4 != 3).select(
+                "image_url", ((F.col("id") + 1) * 1000 + 500).alias("size_bytes")
+            ),
+        }
     return Tables(**{name: conform(df, TABLES[name]) for name, df in tables.items()})
 
 
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.schema(COLUMNS[table]).parquet(f"{sf_dir}/{table}.parquet")
+
+
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
+    return _read(spark, sf_dir, "conversations")
 
 
 def lexicon(spark: SparkSession) -> DataFrame:

@@ -29,7 +29,9 @@ from wayfare.operators.journeys import (
     session_items,
     session_measures,
     session_summary,
+    with_users,
 )
+from wayfare.operators.keys import SESSION
 from wayfare.operators.visits import active_visits, session_bounds
 from wayfare.plans import journeys
 from wayfare.sources.tables import Tables
@@ -56,6 +58,10 @@ def _tables(query: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: query(adaptors.load(spark, sf_dir))
 
 
+def _banners(query: Callable[[Tables], DataFrame]) -> Query:
+    return lambda spark, sf_dir: query(adaptors.load(spark, sf_dir, with_banners=True))
+
+
 def _profile(options: JourneyOptions) -> JourneyOptions:
     return replace(options, **PROFILE)
 
@@ -178,15 +184,16 @@ def _stat_sets(t: Tables) -> DataFrame:
     return conversion.conversion_stats_sets(_stat_sessions(t), list(STAT_KEYS.values()))
 
 
-def _rows_and_numbers(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return journey_events(t, OPTIONS, with_category=False), numbered_visits(t, OPTIONS)
+def _session_parts(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sessions, and the rows and numbered visits they come from."""
+    rows, numbered = journey_events(t, OPTIONS, with_category=False), numbered_visits(t, OPTIONS)
+    return with_users(session_measures(rows, numbered), t, OPTIONS), rows, numbered
 
 
 def _second_pages(t: Tables) -> DataFrame:
-    sessions = _lean(t).filter(converted())
-    return pages.second_page_counts(
-        sessions.join(second_pages(*_rows_and_numbers(t)), ["user_id", "session_number"])
-    )
+    sessions, rows, numbered = _session_parts(t)
+    seconds = second_pages(rows, numbered)
+    return pages.second_page_counts(sessions.filter(converted()).join(seconds, SESSION))
 
 
 def _last_pages(t: Tables) -> DataFrame:
@@ -198,29 +205,26 @@ def _nonconverted(t: Tables) -> DataFrame:
 
 
 def _visits(t: Tables) -> DataFrame:
-    rows, numbered = _rows_and_numbers(t)
+    rows, numbered = journey_events(t, OPTIONS, with_category=False), numbered_visits(t, OPTIONS)
     return pages.page_visits(session_measures(rows, numbered), page_counts(rows, numbered))
 
 
-def _idle(t: Tables) -> DataFrame:
-    return _lean(t).filter(not_converted(max_session=SESSION_CAP))
-
-
-def _interactions(t: Tables) -> DataFrame:
-    return pages.popular_interactions(_idle(t), page_counts(*_rows_and_numbers(t)))
+def _idle_pages(t: Tables) -> tuple[DataFrame, DataFrame]:
+    sessions, rows, numbered = _session_parts(t)
+    return sessions.filter(not_converted(max_session=SESSION_CAP)), page_counts(rows, numbered)
 
 
 def _all_pages(t: Tables) -> DataFrame:
-    return pages.all_pages(_lean(t).filter(converted()), page_counts(*_rows_and_numbers(t)))
-
-
-def _average_visits(t: Tables) -> DataFrame:
-    return pages.average_page_per_user(_idle(t), page_counts(*_rows_and_numbers(t)))
+    sessions, rows, numbered = _session_parts(t)
+    return pages.all_pages(sessions.filter(converted()), page_counts(rows, numbered))
 
 
 def _itemsets(t: Tables, biggest: int | None = None) -> DataFrame:
-    sessions = _lean(t).filter(converted([MAIN_FUNNEL], SESSION_CAP))
-    found = patterns.frequent_itemsets(patterns.transactions(sessions, session_items(*_rows_and_numbers(t))))
+    sessions, rows, numbered = _session_parts(t)
+    baskets = patterns.transactions(
+        sessions.filter(converted([MAIN_FUNNEL], SESSION_CAP)), session_items(rows, numbered)
+    )
+    found = patterns.frequent_itemsets(baskets)
     if biggest is not None:
         found = found.filter(F.col("size") <= biggest)
     return _rounded(found.withColumn("items", F.array_join("items", "|")), support=9)
@@ -235,7 +239,7 @@ def _report(t: Tables) -> DataFrame:
 
 
 def _clicks(fan_out: bool) -> Query:
-    return _tables(lambda t: _money(banners.clicks(t, IMAGES, AS_OF, OPTIONS.lookback_days, fan_out)))
+    return _banners(lambda t: _money(banners.clicks(t, IMAGES, AS_OF, OPTIONS.lookback_days, fan_out)))
 
 
 def _sentiment(build: Callable[[DataFrame], DataFrame]) -> Query:
@@ -267,7 +271,7 @@ def queries() -> dict[str, Query]:
         **{f"page_name_{rule}": _page_names(rule) for rule in page_functions.PAGE_RULES},
         "banner_ref": _tables(_banner_refs),
         "offer_ref": _tables(_offer_refs),
-        "banner_event_pages": _tables(lambda t: banners.banner_events(t, AS_OF, OPTIONS.lookback_days)),
+        "banner_event_pages": _banners(lambda t: banners.banner_events(t, AS_OF, OPTIONS.lookback_days)),
         "session_number": _tables(lambda t: numbered_visits(t, OPTIONS)),
         "session_bounds": _tables(_bounds),
         "event_gaps": _tables(_gaps),
@@ -294,17 +298,17 @@ def queries() -> dict[str, Query]:
         "nonconverted_by_source": _tables(_nonconverted),
         "page_visits": _tables(_visits),
         "page_visits_top5": _tables(lambda t: pages.most_visited(_visits(t), top=5)),
-        "popular_interactions": _tables(_interactions),
+        "popular_interactions": _tables(lambda t: pages.popular_interactions(*_idle_pages(t))),
         "all_pages": _tables(_all_pages),
-        "avg_page_per_user": _tables(_average_visits),
+        "avg_page_per_user": _tables(lambda t: pages.average_page_per_user(*_idle_pages(t))),
         "frequent_pairs": _tables(lambda t: _itemsets(t, biggest=2)),
         "frequent_itemsets": _tables(_itemsets),
-        "banner_impressions": _tables(lambda t: banners.impressions(t, AS_OF, OPTIONS.lookback_days)),
-        "banner_impressions_24h": _tables(lambda t: banners.impressions_24h(t, AS_OF, OPTIONS.lookback_days)),
+        "banner_impressions": _banners(lambda t: banners.impressions(t, AS_OF, OPTIONS.lookback_days)),
+        "banner_impressions_24h": _banners(lambda t: banners.impressions_24h(t, AS_OF, OPTIONS.lookback_days)),
         "banner_clicks": _clicks(fan_out=True),
         "banner_clicks_dedup": _clicks(fan_out=False),
-        "banner_report": _tables(lambda t: _money(_report(t))),
-        "banner_weight": _tables(lambda t: _money(banners.with_weight(_report(t), t.assets, IMAGES))),
+        "banner_report": _banners(lambda t: _money(_report(t))),
+        "banner_weight": _banners(lambda t: _money(banners.with_weight(_report(t), t.assets, IMAGES))),
         "sentiment_polarity": _sentiment(lambda scores: _rounded(scores, polarity=9)),
         "sentiment_label": _sentiment(lambda s: feedback.labelled(s).drop("polarity")),
         "sentiment_recalibrated": _sentiment(lambda s: feedback.recalibrated(s).drop("polarity")),

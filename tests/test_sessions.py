@@ -243,7 +243,7 @@ def _expected(rows, users, visits):
 def test_random_sessions(spark, seed):
     t, rows, users, visits = _random_tables(spark, seed)
     expected = _expected(rows, users, visits)
-    options = JourneyOptions(as_of="2024-01-12", lookback_days=20, slice_seconds=[7, 60, 900][seed % 3])
+    options = JourneyOptions(as_of="2024-01-12", lookback_days=20, slice_seconds=[7, 60, 900][seed % 3], visit_slice_seconds=[900, 7, 60][seed % 3])
     figures = ["journey_len", "banner_clicks", "attr_clicks", "redirected"]
 
     texts = journeys.user_journey(t, options).select("user_id", "session_number", "journey_pages", *figures)

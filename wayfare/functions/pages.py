@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wayfare.functions.references import ROUTE, USER_VISIT
+
 # Page URLs are named only when longer than 19 and shorter than
 # 50 characters; sections that are never split by their child segment.
 MIN_URL_CHARS = 20
@@ -46,16 +48,20 @@ def first_segment(page: str | Column) -> Column:
 
 
 def page_name(rule: str | PageRule, event: str = "event", page: str = "page") -> Column:
-    """Name of the page an event happened on, NULL when it has none."""
+    """Name of the page an event happened on, NULL when it has none.
+
+    Only URLs with three or four slashes have a name. Cuts by
+    ``substring_index`` build no arrays, which matters on every event row.
+    """
     rule = PAGE_RULES[rule] if isinstance(rule, str) else rule
     url, kind = F.col(page), F.col(event)
-    section = _part(url, "/", 4)
-    plain = first_segment(url)
+    section = F.substring_index(F.substring_index(url, "/", 4), "/", -1)
+    plain = F.trim(F.substring_index(section, "?", 1))
     usable_length = F.length(url).between(MIN_URL_CHARS, MAX_URL_CHARS)
     if rule.visits_too:
-        named = (kind == "route") | ((kind == "user_visit") & usable_length)
+        named = (kind == ROUTE) | ((kind == USER_VISIT) & usable_length)
     else:
-        named = (kind == "route") & usable_length
+        named = (kind == ROUTE) & usable_length
 
     flat = plain
     if rule.keep_id:
@@ -67,10 +73,16 @@ def page_name(rule: str | PageRule, event: str = "event", page: str = "page") ->
         for name in PROFILE_SECTIONS:
             profile = profile | section.contains(name)
         split = profile if rule.child_sections == "profile" else ~profile
-        nested = F.when(split, _bracket(F.trim(section), _part(url, "/", 5))).otherwise(plain)
+        child = F.substring_index(url, "/", -1)
+        nested = F.when(split, _bracket(F.trim(section), child)).otherwise(plain)
+
+    four, five = _has_slashes(url, 4), _has_slashes(url, 5)
+    return F.when(named & _has_slashes(url, 3) & ~five, F.when(four, nested).otherwise(flat))
+
 
-    depth = occurrences(url, "/")
-    return F.when(named, F.when(depth == 3, flat).when(depth == 4, nested))
+def _has_slashes(url: Column, count: int) -> Column:
+    """At least ``count`` slashes: the cut at that slash leaves something off."""
+    return F.substring_index(url, "/", count) != url
 
 
 def occurrences(text: str | Column, char: str) -> Column:

@@ -9,6 +9,8 @@ BANNER_CLICK = "bnr_click"
 BANNER_SHOW = "banner_show"
 OFFER_REDIRECT = "redirected_to_offer"
 ROUTE = "route"
+USER_VISIT = "user_visit"
+PAGE_EVENTS = (ROUTE, USER_VISIT)
 CHAT_LIMIT = "chat_message_limit_reached"
 IDLE_EVENTS = ("user_afk", "user_socket_disconnect")
 

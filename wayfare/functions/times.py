@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # A slice is the largest unit one task has to sort, so a user that holds a
 # large share of all events is spread over (observed time / width) tasks.
 SLICE_SECONDS = 900
+# Visits are far fewer than events, so their slices are wider.
+VISIT_SLICE_SECONDS = 4 * 3600
 
 AsOf = dt.date | str | None
 

@@ -23,15 +23,16 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.pages import general_page, journey_text, occurrences, page_name, tokens
 from wayfare.functions.references import (
+    OFFER_REDIRECT,
+    PAGE_EVENTS,
     banner_ref,
     is_attribute_click,
     is_banner_click,
     offer_ref,
     screen_size,
     visit_key,
-    OFFER_REDIRECT,
 )
-from wayfare.functions.times import SLICE_SECONDS, AsOf, since, slice_of
+from wayfare.functions.times import SLICE_SECONDS, VISIT_SLICE_SECONDS, AsOf, since, slice_of
 from wayfare.operators.gaps import early_events, product_time
 from wayfare.operators.keys import SESSION
 from wayfare.operators.visits import active_visits, number_visits
@@ -51,6 +52,7 @@ class JourneyOptions:
     horizon_hours: int = 24
     device: str = "mobile"
     slice_seconds: int = SLICE_SECONDS
+    visit_slice_seconds: int = VISIT_SLICE_SECONDS
 
 
 def recent_events(tables: Tables, options: JourneyOptions) -> DataFrame:
@@ -63,11 +65,15 @@ def numbered_visits(tables: Tables, options: JourneyOptions) -> DataFrame:
     if options.filter_visits:
         visits = visits.filter(since("session_start", options.as_of, options.lookback_days))
     active = active_visits(recent_events(tables, options), tables.user, visits)
-    return number_visits(active, options.max_session, options.slice_seconds)
+    return number_visits(active, options.max_session, options.visit_slice_seconds)
 
 
 def journey_events(tables: Tables, options: JourneyOptions, with_category: bool = True) -> DataFrame:
-    """One narrow row per recent event, with page name and references resolved."""
+    """One narrow row per recent event, with page name and references resolved.
+
+    Clicks and redirects become flags where the event is read, so the shuffles
+    after it do not carry the texts they come from.
+    """
     rows = recent_events(tables, options).select(
         "user_id",
         visit_key("user_visit_id").alias("visit_id"),
@@ -75,7 +81,9 @@ def journey_events(tables: Tables, options: JourneyOptions, with_category: bool
         "id",
         "event",
         page_name(options.page_rule).alias("page_name"),
-        banner_ref().alias("banner_ref"),
+        is_banner_click("event", banner_ref()).alias("on_banner"),
+        is_attribute_click("event", banner_ref()).alias("on_attribute"),
+        (F.col("event") == OFFER_REDIRECT).alias("to_offer"),
         offer_ref().alias("offer_id"),
     )
     rows = rows.withColumn("page_text", journey_text("page_name"))
@@ -173,12 +181,27 @@ def session_summary(tables: Tables, options: JourneyOptions, with_category: bool
     return with_users(session_measures(rows, numbered_visits(tables, options)), tables, options)
 
 
+def page_events(rows: DataFrame) -> DataFrame:
+    """Rows that can name a page.
+
+    A test on the event is cheap and reaches the scan. Which of them do name
+    one is tested on aggregates and window results only, so that no row's name
+    is worked out a second time for a filter.
+    """
+    return rows.filter(F.col("event").isin(*PAGE_EVENTS))
+
+
 def page_counts(rows: DataFrame, numbered: DataFrame) -> DataFrame:
     """``user_id, session_number, page, visits``: how often a session shows a page.
 
     A page may repeat over rows; pages are raw journey tokens.
     """
-    per_visit = rows.filter(_paged()).groupBy("user_id", "visit_id", "page_text").agg(F.count(F.lit(1)).alias("visits"))
+    per_visit = (
+        page_events(rows)
+        .groupBy("user_id", "visit_id", "page_text")
+        .agg(F.count("page_text").alias("visits"))
+        .filter(F.col("visits") > 0)
+    )
     return per_visit.join(numbered, ["user_id", "visit_id"]).select(
         *SESSION, F.explode(tokens("page_text")).alias("page"), "visits"
     )
@@ -186,12 +209,12 @@ def page_counts(rows: DataFrame, numbered: DataFrame) -> DataFrame:
 
 def second_pages(rows: DataFrame, numbered: DataFrame) -> DataFrame:
     """``user_id, session_number, second_page`` of sessions with two tokens or more."""
-    by_time = [F.col("created"), F.col("id")]
+    by_time = [F.col("page_text").isNull(), F.col("created"), F.col("id")]
     # Two rows per visit hold the first two of the session. Spark cuts to them
     # before the shuffle, so long visits shrink where they are read.
     in_visit = W.partitionBy("user_id", "visit_id").orderBy(*by_time)
     heads = (
-        rows.filter(_paged())
+        page_events(rows)
         .select("user_id", "visit_id", "created", "id", "page_text")
         .withColumn("place", F.row_number().over(in_visit))
         .filter(F.col("place") <= 2)
@@ -214,13 +237,17 @@ def session_items(rows: DataFrame, numbered: DataFrame) -> DataFrame:
     """``user_id, session_number, items``: page set up to the first bracketed page.
 
     Equals the distinct tokens of the journey string cut at its first ``[``.
-    Only the first time of each general page and of the first bracket is kept
-    per visit, so the collected list is a set of page names, not of events.
+    Only the first time of each page is kept per visit, so the collected list
+    is a set of page names, not of events.
     """
-    token = rows.filter(_paged()).select(
-        "user_id", "visit_id", "created", "id", F.posexplode(tokens("page_text")).alias("place", "token")
+    pages = (
+        page_events(rows)
+        .groupBy("user_id", "visit_id", "page_text")
+        .agg(F.min(F.struct("created", "id")).alias("seen"), F.count("page_text").alias("visits"))
+        .filter(F.col("visits") > 0)
     )
-    at = F.struct("created", "id", "place")
+    token = pages.select("user_id", "visit_id", "seen", F.posexplode(tokens("page_text")).alias("place", "token"))
+    at = F.struct("seen", "place")
     bracketed = F.col("token").contains("[")
     # The cut token ends the string, so blanks before its bracket are trimmed.
     item = F.when(bracketed, F.rtrim(general_page("token"))).otherwise(F.col("token"))
@@ -243,20 +270,20 @@ def ordered_steps(
     """Pages in row form: ``keys..., position, page``, counted from 1.
 
     The row form of an ordered page array. It has no size limit per key:
-    positions are row numbers inside a time slice plus the rows of earlier
+    positions are page counts inside a time slice plus the pages of earlier
     slices of the same key.
     """
-    sliced = rows.filter(F.col(page).isNotNull()).select(
+    sliced = page_events(rows).select(
         *keys, "created", "id", page, slice_of("created", slice_seconds).alias("slice")
     )
     earlier = W.partitionBy(*keys).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(*keys, "slice")
-        .agg(F.count(F.lit(1)).alias("steps"))
+        .agg(F.count(page).alias("steps"))
         .select(*keys, "slice", F.coalesce(F.sum("steps").over(earlier), F.lit(0)).alias("before"))
     )
-    inside = W.partitionBy(*keys, "slice").orderBy("created", "id")
-    places = sliced.withColumn("place", F.row_number().over(inside))
+    inside = W.partitionBy(*keys, "slice").orderBy("created", "id").rowsBetween(W.unboundedPreceding, 0)
+    places = sliced.withColumn("place", F.count(page).over(inside)).filter(F.col(page).isNotNull())
     return places.join(offsets, [*keys, "slice"]).select(
         *keys, (F.col("before") + F.col("place")).alias("position"), page
     )
@@ -296,10 +323,12 @@ def user_page_arrays(rows: DataFrame, users: DataFrame, slice_seconds: int = SLI
     Users are looked up per slice, not per event. Spark moves the lookup in
     front of the aggregation when the users are few enough to broadcast.
     """
+    step = F.when(F.col("page_name").isNotNull(), F.struct("created", "id", "page_name"))
     sliced = (
-        rows.filter(F.col("page_name").isNotNull())
+        page_events(rows)
         .groupBy("user_id", slice_of("created", slice_seconds).alias("slice"))
-        .agg(_ordered(F.struct("created", "id", "page_name")).alias("steps"))
+        .agg(_ordered(step).alias("steps"))
+        .filter(F.size("steps") > 0)
         .join(users.select("user_id"), "user_id", "left_semi")
     )
     sliced = sliced.withColumn("pages", F.transform("steps", lambda step: step["page_name"]))
@@ -312,7 +341,7 @@ def _paged() -> Column:
 
 
 def _ordered(value: Column) -> Column:
-    return F.array_sort(F.collect_list(value))
+    return F.sort_array(F.collect_list(value))
 
 
 def _row_figures() -> list[Column]:
@@ -323,9 +352,9 @@ def _row_figures() -> list[Column]:
         F.sum(occurrences("page_text", ",")).alias("commas"),
         F.max("offer_id").alias("offer_id"),
         F.max("offer_category_id").alias("offer_category_id"),
-        F.count_if(is_banner_click("event", "banner_ref")).alias("banner_clicks"),
-        F.count_if(is_attribute_click("event", "banner_ref")).alias("attr_clicks"),
-        F.count_if(F.col("event") == OFFER_REDIRECT).alias("redirected"),
+        F.count_if("on_banner").alias("banner_clicks"),
+        F.count_if("on_attribute").alias("attr_clicks"),
+        F.count_if("to_offer").alias("redirected"),
         F.min(step).alias("head"),
         F.max(step).alias("tail"),
     ]

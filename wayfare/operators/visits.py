@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfare.functions.references import visit_key
-from wayfare.functions.times import SLICE_SECONDS, slice_of
+from wayfare.functions.times import VISIT_SLICE_SECONDS, slice_of
 
 
 def active_visits(events: DataFrame, users: DataFrame, visits: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def active_visits(events: DataFrame, users: DataFrame, visits: DataFrame) -> Dat
 
 
 def number_visits(
-    active: DataFrame, max_session: int | None = None, slice_seconds: int = SLICE_SECONDS
+    active: DataFrame, max_session: int | None = None, slice_seconds: int = VISIT_SLICE_SECONDS
 ) -> DataFrame:
     """``user_id, visit_id, session_number`` of every active pair.
 
@@ -48,7 +48,7 @@ def number_visits(
     return numbered if max_session is None else numbered.filter(F.col("session_number") <= max_session)
 
 
-def session_bounds(active: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def session_bounds(active: DataFrame, slice_seconds: int = VISIT_SLICE_SECONDS) -> DataFrame:
     """``owner_id, session_number, session_start, session_end`` per distinct start.
 
     ``session_end`` is the start of the owner's next session.

@@ -134,7 +134,7 @@ def _sessions(tables: Tables, options: JourneyOptions, with_page_info: bool, tim
 
 def _user_pages(tables: Tables, as_of: AsOf, lookback_days: int) -> DataFrame:
     return tables.user_event.filter(since("created", as_of, lookback_days)).select(
-        "user_id", "created", "id", page_name("generic").alias("page_name")
+        "user_id", "created", "id", "event", page_name("generic").alias("page_name")
     )
 
 
