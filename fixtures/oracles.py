@@ -464,6 +464,9 @@ starts AS (SELECT DISTINCT owner_id, session_number, session_start FROM base)
         "sentiment_label": f"{_SCORES} SELECT conv_id, turn, sentiment_label FROM labelled",
         "sentiment_recalibrated": f"{_SCORES} SELECT conv_id, turn, sentiment_label FROM recalibrated",
         "sentiment_counts": f"{_SCORES} SELECT sentiment_label, count(*) AS count FROM recalibrated GROUP BY ALL",
+        "feedback_report": f"""{_SCORES}
+  SELECT conv_id, turn, c.text, round(r.polarity, 9) AS polarity, r.sentiment_label
+  FROM conversations c JOIN recalibrated r USING (conv_id, turn)""",
         "top_groups": f"{_with(_journeys(), _TOP)} SELECT {_GROUP_KEYS}, redirected FROM top",
         "top_group_rows": f"""{_with(_journeys(), _TOP)}
   SELECT {_HEAD}, redirected FROM journeys j WHERE {_IN_TOP} AND redirected > 0""",

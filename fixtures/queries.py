@@ -16,24 +16,13 @@ from fixtures import adaptors
 from wayfare.functions import pages as page_functions
 from wayfare.functions import references
 from wayfare.functions.times import interval_seconds, since
-from wayfare.operators import banners, conversion, feedback, groups, pages, patterns
-from wayfare.operators.filters import MAIN_FUNNEL, SESSION_CAP, converted, fill_missing, not_converted
+from wayfare.operators import banners, feedback
 from wayfare.operators.gaps import early_events, event_gaps, product_time
-from wayfare.operators.journeys import (
-    JourneyOptions,
-    journey_events,
-    numbered_visits,
-    page_counts,
-    recent_events,
-    second_pages,
-    session_items,
-    session_measures,
-    session_summary,
-    with_users,
-)
-from wayfare.operators.keys import SESSION
+from wayfare.operators.journeys import JourneyOptions, numbered_visits, recent_events, session_summary
+from wayfare.operators.pages import most_visited
 from wayfare.operators.visits import active_visits, session_bounds
-from wayfare.plans import journeys
+from wayfare.plans import analyses, journeys
+from wayfare.plans.feedback import feedback_report
 from wayfare.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,15 +33,6 @@ PROFILE = {"as_of": AS_OF, "lookback_days": 31, "horizon_hours": 744, "gap_cap_s
 OPTIONS = JourneyOptions(**PROFILE)
 RECENT = replace(OPTIONS, lookback_days=7)
 
-STAT_KEYS = {
-    "funnel": ["funnel_id"],
-    "category": ["offer_category_id"],
-    "session": ["session_number"],
-    "funnel_session": ["funnel_id", "session_number"],
-    "screen": ["screen_size"],
-    "funnel_session_category": ["funnel_id", "session_number", "offer_category_id"],
-}
-
 
 def _tables(query: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: query(adaptors.load(spark, sf_dir))
@@ -143,15 +123,6 @@ def _detailed(t: Tables) -> DataFrame:
     return found.withColumn("page_info", F.array_join(lines, ";")).drop("page_info_array")
 
 
-def _summary(t: Tables) -> DataFrame:
-    return session_summary(t, OPTIONS)
-
-
-def _lean(t: Tables) -> DataFrame:
-    """The summary for analyses that do not look at offers."""
-    return session_summary(t, OPTIONS, with_category=False)
-
-
 def _anchors(t: Tables) -> DataFrame:
     found = journeys.session_anchors(t, _profile(journeys.AFTER_EVENT))
     return found.select("user_id", "session_number", "funnel_id", _stamp("anchor_time"))
@@ -170,66 +141,21 @@ def _user_arrays(t: Tables) -> DataFrame:
 # --- analyses ---------------------------------------------------------------
 
 
-def _stat_sessions(t: Tables) -> DataFrame:
-    return fill_missing(_summary(t)).filter(converted())
-
-
-def _stats(keys: list[str]) -> Query:
-    order = [*keys[:2], "total_user"] if len(keys) == 3 else keys
-
-    return _tables(lambda t: conversion.conversion_stats(_stat_sessions(t), keys, order, ascending=True))
-
-
-def _stat_sets(t: Tables) -> DataFrame:
-    return conversion.conversion_stats_sets(_stat_sessions(t), list(STAT_KEYS.values()))
-
-
-def _session_parts(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sessions, and the rows and numbered visits they come from."""
-    rows, numbered = journey_events(t, OPTIONS, with_category=False), numbered_visits(t, OPTIONS)
-    return with_users(session_measures(rows, numbered), t, OPTIONS), rows, numbered
-
-
-def _second_pages(t: Tables) -> DataFrame:
-    sessions, rows, numbered = _session_parts(t)
-    seconds = second_pages(rows, numbered)
-    return pages.second_page_counts(sessions.filter(converted()).join(seconds, SESSION))
-
-
-def _last_pages(t: Tables) -> DataFrame:
-    return pages.last_page_counts(journeys.summary_after_event(t, _profile(journeys.AFTER_EVENT)))
-
-
-def _nonconverted(t: Tables) -> DataFrame:
-    return conversion.nonconverted_by_source(_lean(t).filter(not_converted([MAIN_FUNNEL])))
-
-
-def _visits(t: Tables) -> DataFrame:
-    rows, numbered = journey_events(t, OPTIONS, with_category=False), numbered_visits(t, OPTIONS)
-    return pages.page_visits(session_measures(rows, numbered), page_counts(rows, numbered))
-
-
-def _idle_pages(t: Tables) -> tuple[DataFrame, DataFrame]:
-    sessions, rows, numbered = _session_parts(t)
-    return sessions.filter(not_converted(max_session=SESSION_CAP)), page_counts(rows, numbered)
-
-
-def _all_pages(t: Tables) -> DataFrame:
-    sessions, rows, numbered = _session_parts(t)
-    return pages.all_pages(sessions.filter(converted()), page_counts(rows, numbered))
-
-
 def _itemsets(t: Tables, biggest: int | None = None) -> DataFrame:
-    sessions, rows, numbered = _session_parts(t)
-    baskets = patterns.transactions(
-        sessions.filter(converted([MAIN_FUNNEL], SESSION_CAP)), session_items(rows, numbered)
-    )
-    found = patterns.frequent_itemsets(baskets)
+    found = analyses.pattern_report(t, OPTIONS)
     if biggest is not None:
         found = found.filter(F.col("size") <= biggest)
     return _rounded(found.withColumn("items", F.array_join("items", "|")), support=9)
 
 
+def _conversion(grouping: str) -> Query:
+    return _tables(lambda t: analyses.conversion_report(t, grouping, OPTIONS))
+
+
+def _sessions(analysis: Callable[[Tables], DataFrame]) -> Query:
+    return _tables(lambda t: analysis(t).select("user_id", "session_number", "redirected"))
+
+
 def _money(df: DataFrame) -> DataFrame:
     return df.withColumns({name: F.col(name).cast("double") for name in ("revenue", "cpa_revenue")})
 
@@ -252,19 +178,6 @@ def _sentiment(build: Callable[[DataFrame], DataFrame]) -> Query:
     return query
 
 
-def _grouped(pick: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
-    def query(t: Tables) -> DataFrame:
-        sessions = _summary(t)
-        return pick(sessions, groups.top_groups(sessions)).select("user_id", "session_number", "redirected")
-
-    return _tables(query)
-
-
-def _single_session(t: Tables) -> DataFrame:
-    found = groups.single_session_converted(session_summary(t, RECENT, with_category=False))
-    return found.select("user_id", "session_number", "redirected")
-
-
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         "events_lookback": _tables(_lookback),
@@ -285,22 +198,24 @@ def queries() -> dict[str, Query]:
         ),
         "user_journey_basic": _tables(lambda t: journeys.user_journey_basic(t, _profile(journeys.BASIC))),
         "user_journey_detailed": _tables(_detailed),
-        "session_summary": _tables(_summary),
+        "session_summary": _tables(lambda t: session_summary(t, OPTIONS)),
         "journey_steps": _tables(lambda t: journeys.journey_steps(t, OPTIONS)),
         "anchor_times": _tables(_anchors),
         "journey_after_event": _tables(lambda t: journeys.journey_after_event(t, _profile(journeys.AFTER_EVENT))),
         "user_pages_array": _tables(_user_arrays),
         "user_page_steps": _tables(lambda t: journeys.user_page_steps(t, AS_OF, OPTIONS.lookback_days)),
-        **{f"funnel_stats_by_{name}": _stats(keys) for name, keys in STAT_KEYS.items()},
-        "funnel_stats_grouping_sets": _tables(_stat_sets),
-        "second_page_counts": _tables(_second_pages),
-        "last_page_after_event": _tables(_last_pages),
-        "nonconverted_by_source": _tables(_nonconverted),
-        "page_visits": _tables(_visits),
-        "page_visits_top5": _tables(lambda t: pages.most_visited(_visits(t), top=5)),
-        "popular_interactions": _tables(lambda t: pages.popular_interactions(*_idle_pages(t))),
-        "all_pages": _tables(_all_pages),
-        "avg_page_per_user": _tables(lambda t: pages.average_page_per_user(*_idle_pages(t))),
+        **{f"funnel_stats_by_{name}": _conversion(name) for name in analyses.GROUPINGS},
+        "funnel_stats_grouping_sets": _tables(lambda t: analyses.conversion_report_sets(t, OPTIONS)),
+        "second_page_counts": _tables(lambda t: analyses.second_page_report(t, OPTIONS)),
+        "last_page_after_event": _tables(
+            lambda t: analyses.last_page_after_event_report(t, _profile(journeys.AFTER_EVENT))
+        ),
+        "nonconverted_by_source": _tables(lambda t: analyses.nonconverted_report(t, OPTIONS)),
+        "page_visits": _tables(lambda t: analyses.page_visit_report(t, OPTIONS)),
+        "page_visits_top5": _tables(lambda t: most_visited(analyses.page_visit_report(t, OPTIONS), top=5)),
+        "popular_interactions": _tables(lambda t: analyses.popular_interaction_report(t, OPTIONS)),
+        "all_pages": _tables(lambda t: analyses.all_page_report(t, OPTIONS)),
+        "avg_page_per_user": _tables(lambda t: analyses.average_page_report(t, OPTIONS)),
         "frequent_pairs": _tables(lambda t: _itemsets(t, biggest=2)),
         "frequent_itemsets": _tables(_itemsets),
         "banner_impressions": _banners(lambda t: banners.impressions(t, AS_OF, OPTIONS.lookback_days)),
@@ -313,11 +228,14 @@ def queries() -> dict[str, Query]:
         "sentiment_label": _sentiment(lambda s: feedback.labelled(s).drop("polarity")),
         "sentiment_recalibrated": _sentiment(lambda s: feedback.recalibrated(s).drop("polarity")),
         "sentiment_counts": _sentiment(lambda s: feedback.label_counts(feedback.recalibrated(s))),
-        "top_groups": _tables(lambda t: groups.top_groups(_summary(t))),
-        "top_group_rows": _grouped(groups.rows_in_groups),
-        "other_rows": _grouped(lambda s, g: groups.rows_outside_groups(s, g).filter(F.col("redirected") <= 0)),
-        "empty_rows": _grouped(lambda s, g: groups.rows_outside_groups(s, g).filter(F.col("journey_len") == 0)),
-        "single_session_converted": _tables(_single_session),
-        "chat_ending_counts": _tables(lambda t: pages.ending_counts(_lean(t).filter(converted()))),
+        "feedback_report": lambda spark, sf_dir: _rounded(
+            feedback_report(adaptors.feedback(spark, sf_dir), adaptors.lexicon(spark), ["conv_id", "turn"]), polarity=9
+        ),
+        "top_groups": _tables(lambda t: analyses.top_group_report(t, OPTIONS)),
+        "top_group_rows": _sessions(lambda t: analyses.top_group_sessions(t, OPTIONS)),
+        "other_rows": _sessions(lambda t: analyses.other_sessions(t, OPTIONS)),
+        "empty_rows": _sessions(lambda t: analyses.other_sessions(t, OPTIONS, empty=True)),
+        "single_session_converted": _sessions(lambda t: analyses.single_session_report(t, RECENT)),
+        "chat_ending_counts": _tables(lambda t: analyses.chat_ending_report(t, OPTIONS)),
     }
     return found

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 
 from wayfare.operators import feedback
+from wayfare.plans.feedback import feedback_report
 
 LEXICON = [("good", "0.70"), ("fine", "0.30"), ("bad", "-0.70")]
 
@@ -71,3 +72,16 @@ def test_missing_scores_stay_normal(spark):
 def test_label_counts(spark):
     counts = feedback.label_counts(feedback.labelled(_scores(spark, good=2, bad=3, normal=2)))
     assert [tuple(r) for r in counts.collect()] == [("bad", 3), ("good", 2), ("normal", 2)]
+
+
+def test_report_keeps_equal_and_missing_texts(spark):
+    texts = ["good"] * 3 + ["fine"] * 20 + [None, None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = feedback_report(df, _lexicon(spark)).collect()
+    assert sorted(str(r["text"]) for r in rows) == sorted(map(str, texts))
+    assert {(r["text"], r["polarity"], r["sentiment_label"]) for r in rows} == {
+        ("good", 0.7, "very good"),
+        ("fine", 0.3, "good"),
+        ("", 0.0, "bad"),
+        (None, None, "normal"),
+    }

@@ -61,7 +61,7 @@ def test_offer_and_category_are_independent_maxima(spark):
 
 
 def test_session_numbers(spark):
-    rows = [event(1, at(0), user_visit_id="A1"), event(2, at(10), user_visit_id="b"), event(3, at(20), user_visit_id="d")]
+    rows = [event(i, at(10 * i), user_visit_id=v) for i, v in enumerate(("A1", "b", "d"))]
     visits = [
         visit("a1", start=at(0)),
         visit(" b ", start=at(0)),
@@ -243,7 +243,8 @@ def _expected(rows, users, visits):
 def test_random_sessions(spark, seed):
     t, rows, users, visits = _random_tables(spark, seed)
     expected = _expected(rows, users, visits)
-    options = JourneyOptions(as_of="2024-01-12", lookback_days=20, slice_seconds=[7, 60, 900][seed % 3], visit_slice_seconds=[900, 7, 60][seed % 3])
+    slices = {"slice_seconds": [7, 60, 900][seed % 3], "visit_slice_seconds": [900, 7, 60][seed % 3]}
+    options = JourneyOptions(as_of="2024-01-12", lookback_days=20, **slices)
     figures = ["journey_len", "banner_clicks", "attr_clicks", "redirected"]
 
     texts = journeys.user_journey(t, options).select("user_id", "session_number", "journey_pages", *figures)
@@ -253,7 +254,7 @@ def test_random_sessions(spark, seed):
 
     summary = session_summary(t, options).select("user_id", "session_number", *figures, "first_page", "last_page")
     assert {(r[0], r[1]): tuple(r)[2:] for r in summary.collect()} == {
-        key: (*[e[f] for f in figures], e["tokens"][0] if e["tokens"] else None, e["tokens"][-1] if e["tokens"] else None)
+        key: (*[e[f] for f in figures], *((e["tokens"][0], e["tokens"][-1]) if e["tokens"] else (None, None)))
         for key, e in expected.items()
     }
 
@@ -301,7 +302,10 @@ def test_exports_and_events_agree(spark, seed):
 @pytest.mark.parametrize("slice_seconds", [5, 900])
 def test_random_gaps(spark, slice_seconds):
     rng = random.Random(slice_seconds)
-    rows = [event(i, at(rng.choice([rng.randint(0, 60), rng.randint(0, 9000)])), user_id=rng.choice([1, 2])) for i in range(120)]
+    rows = [
+        event(i, at(rng.choice([rng.randint(0, 60), rng.randint(0, 9000)])), user_id=rng.choice([1, 2]))
+        for i in range(120)
+    ]
     t = tables(spark, user_event=rows, user=[user(1), user(2)])
     early = early_events(t.user_event, t.user, as_of="2024-01-12")
     gaps, spent = {}, {}

@@ -11,7 +11,8 @@ from wayfare.sources.tables import Tables, jdbc_options
 
 
 def test_parquet_tables(spark, tmp_path):
-    t = tables(spark, user_event=[event(1, at(), page="https://app.example.com/browse")], user=[user()], user_visit=[visit()])
+    seen = [event(1, at(), page="https://app.example.com/browse")]
+    t = tables(spark, user_event=seen, user=[user()], user_visit=[visit()])
     for name in TABLES:
         getattr(t, name).write.parquet(f"{tmp_path}/{name}")
     loaded = Tables.from_parquet(spark, str(tmp_path))

@@ -296,9 +296,8 @@ def anchor_times(rows: DataFrame, numbered: DataFrame, anchor_event: str) -> Dat
         .groupBy("user_id", "visit_id")
         .agg(F.min("created").alias("anchor_time"))
     )
-    return (
-        per_visit.join(numbered, ["user_id", "visit_id"]).groupBy(*SESSION).agg(F.min("anchor_time").alias("anchor_time"))
-    )
+    sessions = per_visit.join(numbered, ["user_id", "visit_id"]).groupBy(*SESSION)
+    return sessions.agg(F.min("anchor_time").alias("anchor_time"))
 
 
 def rows_after_anchor(rows: DataFrame, numbered: DataFrame, anchor_event: str, kept_event: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,28 +11,35 @@ from pyspark.sql import types as T
 
 from wayfare.sources.schemas import TABLES
 
+# Image sizes come from files, not from the database.
+DATABASE_TABLES = tuple(name for name in TABLES if name != "assets")
+
 
 @dataclass(frozen=True)
 class Tables:
     """The tables the reports read. A report touches only those it needs."""
 
-    user_event: DataFrame
-    user: DataFrame
-    user_visit: DataFrame
-    offer: DataFrame
+    user_event: DataFrame | None = None
+    user: DataFrame | None = None
+    user_visit: DataFrame | None = None
+    offer: DataFrame | None = None
     banner: DataFrame | None = None
     banner_click: DataFrame | None = None
     postback: DataFrame | None = None
     assets: DataFrame | None = None
 
     @classmethod
-    def from_parquet(cls, spark: SparkSession, root: str) -> Tables:
+    def from_parquet(cls, spark: SparkSession, root: str, names: Sequence[str] = tuple(TABLES)) -> Tables:
         """One parquet folder per table under ``root``."""
-        return cls(**{name: spark.read.schema(schema).parquet(f"{root}/{name}") for name, schema in TABLES.items()})
+        return cls(**{name: spark.read.schema(TABLES[name]).parquet(f"{root}/{name}") for name in names})
 
     @classmethod
     def from_jdbc(
-        cls, spark: SparkSession, connection: Mapping[str, str], splits: Mapping[str, Mapping[str, str]] | None = None
+        cls,
+        spark: SparkSession,
+        connection: Mapping[str, str],
+        splits: Mapping[str, Mapping[str, str]] | None = None,
+        names: Sequence[str] = DATABASE_TABLES,
     ) -> Tables:
         """One database table each; ``splits`` names the read ranges of big ones.
 
@@ -40,11 +47,10 @@ class Tables:
         ``splits["user_event"]`` holds partitionColumn, lowerBound, upperBound
         and numPartitions, so that the table is read by many tasks.
         """
-        splits = splits or {}
         loaded = {}
-        for name, schema in TABLES.items():
-            options = jdbc_options(connection, table=f'"{name}"', split=splits.get(name))
-            loaded[name] = conform(spark.read.format("jdbc").options(**options).load(), schema)
+        for name in names:
+            options = jdbc_options(connection, table=f'"{name}"', split=(splits or {}).get(name))
+            loaded[name] = conform(spark.read.format("jdbc").options(**options).load(), TABLES[name])
         return cls(**loaded)
 
 
