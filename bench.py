@@ -4,7 +4,7 @@ BENCH_SF_DIR   test data folder (default /root/testdata/sf0.1)
 BENCH_CPUS     local cores (default: all)
 
 Each query runs to a sink that reads every row and keeps none. A first run
-warms the JVM; the reported time is the better of two runs after it.
+warms the JVM; the reported time is the best of three runs after it.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ def main() -> None:
     cold, warm = {}, {}
     for name in HEADLINE:
         cold[name] = _seconds(registered[name], spark, sf_dir)
-        warm[name] = min(_seconds(registered[name], spark, sf_dir) for _ in range(2))
+        warm[name] = min(_seconds(registered[name], spark, sf_dir) for _ in range(3))
     spark.stop()
     print(
         json.dumps(

@@ -86,8 +86,17 @@ def test_slices_get_their_own_shuffle_after_user_joins(stored):
 def test_second_pages_cut_before_the_shuffle(stored):
     rows = journey_events(stored, OPTIONS, with_category=False)
     plan = _plan(second_pages(rows, numbered_visits(stored, OPTIONS)))
-    partial = plan.index("row_number(), 2, Partial")
-    assert "Exchange hashpartitioning(user_id, visit_id" not in plan[partial:partial + 400]
+    # Read bottom up: rows are cut per visit, shuffled, and cut again.
+    final, partial = [m.start() for m in re.finditer(r"WindowGroupLimit \[user_id, visit_id\]", plan)]
+    assert final < plan.index("Exchange hashpartitioning(user_id, visit_id", final) < partial
+    # The event test, unlike a test on the page name, is left to the scan.
+    assert "In(event, [route,user_visit])" in plan
+
+
+def test_journey_strings_are_sorted_by_slice(stored):
+    plan = _plan(journeys.user_journey(stored, OPTIONS))
+    assert re.search(r"Exchange hashpartitioning\(user_id, session_number, _groupingexpression", plan)
+    assert "WindowGroupLimit" in _plan(journeys.user_journey_first5(stored, journeys.FIRST_SESSIONS))
 
 
 def test_page_counts_shuffle_counts_not_events(stored):

@@ -145,6 +145,15 @@ def test_pages_after_anchor(spark):
     assert (ends["journey_len"], ends["first_page"], ends["last_page"]) == (2, "after", "last")
 
 
+def test_visits_without_a_start_come_last(spark):
+    rows = [event(i, at(i), "route", PAGE("a"), user_visit_id=v) for i, v in enumerate(("none", "late", "none2"))]
+    visits = [visit("none", start=None), visit("late", start=at(90000)), visit("none2", start=None)]
+    t = tables(spark, user_event=rows, user=[user()], user_visit=visits)
+    options = JourneyOptions(as_of="2024-01-12", filter_visits=False)
+    found = {r["visit_id"]: r["session_number"] for r in numbered_visits(t, options).collect()}
+    assert found == {"late": 1, "none": 2, "none2": 2}
+
+
 def test_user_pages_array(spark):
     rows = [event(1, at(5), page=PAGE("b")), event(2, at(1), page=PAGE("a")), event(3, at(2000), page=PAGE("null"))]
     rows += [event(4, at(0), "banner_show", page=PAGE("x")), event(5, at(0), page=PAGE("y"), user_id=2)]
