@@ -185,7 +185,7 @@ def queries() -> dict[str, Query]:
         "banner_ref": _tables(_banner_refs),
         "offer_ref": _tables(_offer_refs),
         "banner_event_pages": _banners(lambda t: banners.banner_events(t, AS_OF, OPTIONS.lookback_days)),
-        "session_number": _tables(lambda t: numbered_visits(t, OPTIONS)),
+        "session_number": _tables(lambda t: numbered_visits(t, OPTIONS).drop("offer_category_id")),
         "session_bounds": _tables(_bounds),
         "event_gaps": _tables(_gaps),
         "product_time": _tables(lambda t: product_time(_early(t), OPTIONS.gap_cap_seconds)),

@@ -84,7 +84,7 @@ def test_slices_get_their_own_shuffle_after_user_joins(stored):
 
 
 def test_second_pages_cut_before_the_shuffle(stored):
-    rows = journey_events(stored, OPTIONS, with_category=False)
+    rows = journey_events(stored, OPTIONS)
     plan = _plan(second_pages(rows, numbered_visits(stored, OPTIONS)))
     # Read bottom up: rows are cut per visit, shuffled, and cut again.
     final, partial = [m.start() for m in re.finditer(r"WindowGroupLimit \[user_id, visit_id\]", plan)]
@@ -93,6 +93,13 @@ def test_second_pages_cut_before_the_shuffle(stored):
     assert "In(event, [route,user_visit])" in plan
 
 
+def test_offers_meet_distinct_references_not_events(stored):
+    plan = _plan(journeys.user_journey(stored, OPTIONS))
+    assert plan.count("Exchange hashpartitioning(offer_id,") == 2
+    assert "Exchange hashpartitioning(user_id, visit_id, offer_id" in plan
+    assert "EqualTo(event,redirected_to_offer)" in plan
+
+
 def test_journey_strings_are_sorted_by_slice(stored):
     plan = _plan(journeys.user_journey(stored, OPTIONS))
     assert re.search(r"Exchange hashpartitioning\(user_id, session_number, _groupingexpression", plan)
@@ -100,7 +107,7 @@ def test_journey_strings_are_sorted_by_slice(stored):
 
 
 def test_page_counts_shuffle_counts_not_events(stored):
-    rows = journey_events(stored, OPTIONS, with_category=False)
+    rows = journey_events(stored, OPTIONS)
     plan = _plan(page_counts(rows, numbered_visits(stored, OPTIONS)))
     assert "partial_count" in plan
     assert "posexplode" not in plan

@@ -267,7 +267,7 @@ def test_random_sessions(spark, seed):
         for key, e in expected.items()
     }
 
-    events, numbered = journey_events(t, options, with_category=False), numbered_visits(t, options)
+    events, numbered = journey_events(t, options), numbered_visits(t, options)
     seconds = {(r[0], r[1]): r[2] for r in second_pages(events, numbered).collect()}
     assert seconds == {key: e["tokens"][1] for key, e in expected.items() if len(e["tokens"]) > 1}
 
@@ -289,7 +289,7 @@ def test_exports_and_events_agree(spark, seed):
     """Journey strings, split again, give what the events give directly."""
     t, *_ = _random_tables(spark, seed)
     texts = journeys.user_journey(t, OPTIONS)
-    events, numbered = journey_events(t, OPTIONS, with_category=False), numbered_visits(t, OPTIONS)
+    events, numbered = journey_events(t, OPTIONS), numbered_visits(t, OPTIONS)
 
     ends = ["user_id", "session_number", "journey_len", "first_page", "last_page"]
     direct = session_measures(events, numbered)

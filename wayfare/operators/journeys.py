@@ -34,7 +34,7 @@ from wayfare.functions.references import (
 )
 from wayfare.functions.times import SLICE_SECONDS, VISIT_SLICE_SECONDS, AsOf, since, slice_of
 from wayfare.operators.gaps import early_events, product_time
-from wayfare.operators.keys import SESSION
+from wayfare.operators.keys import SESSION, VISIT
 from wayfare.operators.visits import active_visits, number_visits
 from wayfare.sources.tables import Tables
 
@@ -59,16 +59,39 @@ def recent_events(tables: Tables, options: JourneyOptions) -> DataFrame:
     return tables.user_event.filter(since("created", options.as_of, options.lookback_days))
 
 
-def numbered_visits(tables: Tables, options: JourneyOptions) -> DataFrame:
-    """``user_id, visit_id, session_number`` of the visits a report covers."""
+def numbered_visits(tables: Tables, options: JourneyOptions, with_category: bool = False) -> DataFrame:
+    """``user_id, visit_id, session_number, offer_category_id`` of the visits a report covers.
+
+    The category is the largest among the offers a visit led to; it is NULL
+    throughout unless asked for.
+    """
     visits = tables.user_visit
     if options.filter_visits:
         visits = visits.filter(since("session_start", options.as_of, options.lookback_days))
     active = active_visits(recent_events(tables, options), tables.user, visits)
-    return number_visits(active, options.max_session, options.visit_slice_seconds)
+    numbered = number_visits(active, options.max_session, options.visit_slice_seconds)
+    if not with_category:
+        return numbered.withColumn("offer_category_id", F.lit(None).cast("int"))
+    return numbered.join(visit_categories(tables, options), VISIT, "left")
+
+
+def visit_categories(tables: Tables, options: JourneyOptions) -> DataFrame:
+    """Largest offer category per (user, visit).
+
+    Offers are looked up for the distinct offers of a visit, so the event rows,
+    most of which lead to no offer, never join on an offer id.
+    """
+    led = (
+        recent_events(tables, options)
+        .filter(F.col("event") == OFFER_REDIRECT)
+        .select("user_id", visit_key("user_visit_id").alias("visit_id"), offer_ref().alias("offer_id"))
+        .distinct()
+    )
+    offers = tables.offer.select(F.col("id").alias("offer_id"), "offer_category_id")
+    return led.join(offers, "offer_id").groupBy(*VISIT).agg(F.max("offer_category_id").alias("offer_category_id"))
 
 
-def journey_events(tables: Tables, options: JourneyOptions, with_category: bool = True) -> DataFrame:
+def journey_events(tables: Tables, options: JourneyOptions) -> DataFrame:
     """One narrow row per recent event, with page name and references resolved.
 
     Clicks and redirects become flags where the event is read, so the shuffles
@@ -86,30 +109,26 @@ def journey_events(tables: Tables, options: JourneyOptions, with_category: bool
         (F.col("event") == OFFER_REDIRECT).alias("to_offer"),
         offer_ref().alias("offer_id"),
     )
-    rows = rows.withColumn("page_text", journey_text("page_name"))
-    if not with_category:
-        return rows.withColumn("offer_category_id", F.lit(None).cast("int"))
-    # Size decides: Spark broadcasts the offers only below its threshold.
-    offers = tables.offer.select(F.col("id").alias("offer_id"), "offer_category_id")
-    return rows.join(offers, "offer_id", "left")
+    return rows.withColumn("page_text", journey_text("page_name"))
 
 
 def session_measures(rows: DataFrame, numbered: DataFrame) -> DataFrame:
     """Figures per session, without journey strings."""
-    per_visit = rows.groupBy("user_id", "visit_id").agg(*_row_figures())
-    return _finish(per_visit.join(numbered, ["user_id", "visit_id"]).groupBy(*SESSION).agg(*_merged_figures()))
+    per_visit = rows.groupBy(*VISIT).agg(*_row_figures())
+    return _finish(per_visit.join(numbered, VISIT).groupBy(*SESSION).agg(*_merged_figures()))
 
 
 def session_texts(
     rows: DataFrame, numbered: DataFrame, with_page_info: bool = False, slice_seconds: int = SLICE_SECONDS
 ) -> DataFrame:
     """Figures per session plus ``journey_pages`` (and ``page_info_array``)."""
-    return roll_up_texts(rows.join(numbered, ["user_id", "visit_id"]), with_page_info, slice_seconds)
+    return roll_up_texts(rows.join(numbered, VISIT), with_page_info, slice_seconds)
 
 
 def roll_up_texts(rows: DataFrame, with_page_info: bool = False, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """As ``session_texts``, for rows that carry their session number."""
-    partial = [*_row_figures(), _ordered(F.when(_paged(), F.struct("created", "id", "page_text"))).alias("steps")]
+    step = F.when(_paged(), F.struct("created", "id", "page_text"))
+    partial = [*_row_figures(), _category(), _ordered(step).alias("steps")]
     if with_page_info:
         partial.append(_ordered(F.struct("created", "id", "event", "page_name")).alias("infos"))
     sliced = rows.groupBy(*SESSION, slice_of("created", slice_seconds).alias("slice")).agg(*partial)
@@ -177,8 +196,8 @@ def session_summary(tables: Tables, options: JourneyOptions, with_category: bool
     Has every column of a journey report but the journey string, and in its
     place ``first_page`` and ``last_page``. Unused columns are pruned.
     """
-    rows = journey_events(tables, options, with_category)
-    return with_users(session_measures(rows, numbered_visits(tables, options)), tables, options)
+    numbered = numbered_visits(tables, options, with_category)
+    return with_users(session_measures(journey_events(tables, options), numbered), tables, options)
 
 
 def page_events(rows: DataFrame) -> DataFrame:
@@ -198,11 +217,11 @@ def page_counts(rows: DataFrame, numbered: DataFrame) -> DataFrame:
     """
     per_visit = (
         page_events(rows)
-        .groupBy("user_id", "visit_id", "page_text")
+        .groupBy(*VISIT, "page_text")
         .agg(F.count("page_text").alias("visits"))
         .filter(F.col("visits") > 0)
     )
-    return per_visit.join(numbered, ["user_id", "visit_id"]).select(
+    return per_visit.join(numbered, VISIT).select(
         *SESSION, F.explode(tokens("page_text")).alias("page"), "visits"
     )
 
@@ -221,7 +240,7 @@ def second_pages(rows: DataFrame, numbered: DataFrame) -> DataFrame:
     )
     in_session = W.partitionBy(*SESSION).orderBy(*by_time)
     heads = (
-        heads.join(numbered, ["user_id", "visit_id"])
+        heads.join(numbered, VISIT)
         .withColumn("place", F.row_number().over(in_session))
         .filter(F.col("place") <= 2)
     )
@@ -242,7 +261,7 @@ def session_items(rows: DataFrame, numbered: DataFrame) -> DataFrame:
     """
     pages = (
         page_events(rows)
-        .groupBy("user_id", "visit_id", "page_text")
+        .groupBy(*VISIT, "page_text")
         .agg(F.min(F.struct("created", "id")).alias("seen"), F.count("page_text").alias("visits"))
         .filter(F.col("visits") > 0)
     )
@@ -255,7 +274,7 @@ def session_items(rows: DataFrame, numbered: DataFrame) -> DataFrame:
         F.min(at).alias("first_at"), F.min(F.when(bracketed, at)).alias("cut_at")
     )
     sessions = (
-        firsts.join(numbered, ["user_id", "visit_id"])
+        firsts.join(numbered, VISIT)
         .groupBy(*SESSION)
         .agg(F.collect_set(F.struct("item", "first_at")).alias("found"), F.min("cut_at").alias("cut_at"))
     )
@@ -293,10 +312,10 @@ def anchor_times(rows: DataFrame, numbered: DataFrame, anchor_event: str) -> Dat
     """``user_id, session_number, anchor_time``: first anchor event per session."""
     per_visit = (
         rows.filter(F.col("event") == anchor_event)
-        .groupBy("user_id", "visit_id")
+        .groupBy(*VISIT)
         .agg(F.min("created").alias("anchor_time"))
     )
-    sessions = per_visit.join(numbered, ["user_id", "visit_id"]).groupBy(*SESSION)
+    sessions = per_visit.join(numbered, VISIT).groupBy(*SESSION)
     return sessions.agg(F.min("anchor_time").alias("anchor_time"))
 
 
@@ -307,13 +326,13 @@ def rows_after_anchor(rows: DataFrame, numbered: DataFrame, anchor_event: str, k
     lookup by (user, visit) and carry their session number afterwards.
     """
     lookup = numbered.join(anchor_times(rows, numbered, anchor_event), SESSION)
-    after = rows.filter(F.col("event") == kept_event).join(lookup, ["user_id", "visit_id"])
+    after = rows.filter(F.col("event") == kept_event).join(lookup, VISIT)
     return after.filter(F.col("created") > F.col("anchor_time"))
 
 
 def roll_up_measures(rows: DataFrame) -> DataFrame:
     """As ``session_measures``, for rows that carry their session number."""
-    return _finish(rows.groupBy(*SESSION).agg(*_row_figures()))
+    return _finish(rows.groupBy(*SESSION).agg(*_row_figures(), _category()))
 
 
 def user_page_arrays(rows: DataFrame, users: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
@@ -350,7 +369,6 @@ def _row_figures() -> list[Column]:
         F.sum(F.length("page_text")).alias("chars"),
         F.sum(occurrences("page_text", ",")).alias("commas"),
         F.max("offer_id").alias("offer_id"),
-        F.max("offer_category_id").alias("offer_category_id"),
         F.count_if("on_banner").alias("banner_clicks"),
         F.count_if("on_attribute").alias("attr_clicks"),
         F.count_if("to_offer").alias("redirected"),
@@ -361,14 +379,19 @@ def _row_figures() -> list[Column]:
 
 def _merged_figures() -> list[Column]:
     added = ["pages", "chars", "commas", "banner_clicks", "attr_clicks", "redirected"]
-    largest = ["offer_id", "offer_category_id", "tail"]
+    largest = ["offer_id", "tail"]
     return [
         *[F.sum(name).alias(name) for name in added],
         *[F.max(name).alias(name) for name in largest],
+        _category(),
         F.min("head").alias("head"),
     ]
 
 
+def _category() -> Column:
+    return F.max("offer_category_id").alias("offer_category_id")
+
+
 def _finish(merged: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Turn added figures into the session columns."""
     blank = (F.col("pages") == 0) | ((F.col("pages") == 1) & (F.col("chars") == 0))

@@ -1,3 +1,5 @@
 """Grouping keys shared by the operators."""
 
 SESSION = ["user_id", "session_number"]
+# The user of the events, and the visit they belong to.
+VISIT = ["user_id", "visit_id"]

@@ -141,7 +141,7 @@ def _converted_filled(tables: Tables, options: JourneyOptions) -> DataFrame:
 
 
 def _rows_and_numbers(tables: Tables, options: JourneyOptions) -> tuple[DataFrame, DataFrame]:
-    return journey_events(tables, options, with_category=False), numbered_visits(tables, options)
+    return journey_events(tables, options), numbered_visits(tables, options)
 
 
 def _session_parts(tables: Tables, options: JourneyOptions) -> tuple[DataFrame, DataFrame, DataFrame]:

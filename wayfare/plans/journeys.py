@@ -67,7 +67,7 @@ def journey_after_event(
 ) -> DataFrame:
     """Route pages after a session's first anchor event, ordered by user and session."""
     rows = rows_after_anchor(
-        journey_events(tables, options, with_category=False), numbered_visits(tables, options), anchor_event, ROUTE
+        journey_events(tables, options), numbered_visits(tables, options), anchor_event, ROUTE
     )
     sessions = with_users(roll_up_texts(rows, slice_seconds=options.slice_seconds), tables)
     return sessions.select(*_HEAD, "funnel_id", "journey_pages").orderBy(*_HEAD)
@@ -78,7 +78,7 @@ def summary_after_event(
 ) -> DataFrame:
     """The same sessions as fixed-size rows: funnel, length, first and last page."""
     rows = rows_after_anchor(
-        journey_events(tables, options, with_category=False), numbered_visits(tables, options), anchor_event, ROUTE
+        journey_events(tables, options), numbered_visits(tables, options), anchor_event, ROUTE
     )
     sessions = with_users(roll_up_measures(rows), tables)
     return sessions.select(*_HEAD, "funnel_id", "journey_len", "first_page", "last_page")
@@ -88,14 +88,14 @@ def session_anchors(
     tables: Tables, options: JourneyOptions = AFTER_EVENT, anchor_event: str = CHAT_LIMIT
 ) -> DataFrame:
     """First anchor event per session, with the user's funnel."""
-    rows = journey_events(tables, options, with_category=False)
+    rows = journey_events(tables, options)
     anchors = with_users(anchor_times(rows, numbered_visits(tables, options), anchor_event), tables)
     return anchors.select(*_HEAD, "funnel_id", "anchor_time")
 
 
 def journey_steps(tables: Tables, options: JourneyOptions = JOURNEY) -> DataFrame:
     """The journey in row form: user, session, position, page name."""
-    rows = journey_events(tables, options, with_category=False).join(
+    rows = journey_events(tables, options).join(
         numbered_visits(tables, options), ["user_id", "visit_id"]
     )
     return ordered_steps(rows, _HEAD, slice_seconds=options.slice_seconds)
@@ -128,7 +128,8 @@ def user_page_steps(
 
 def _sessions(tables: Tables, options: JourneyOptions, with_page_info: bool, timed: bool) -> DataFrame:
     rows = journey_events(tables, options)
-    texts = session_texts(rows, numbered_visits(tables, options), with_page_info, options.slice_seconds)
+    numbered = numbered_visits(tables, options, with_category=True)
+    texts = session_texts(rows, numbered, with_page_info, options.slice_seconds)
     return with_users(texts, tables, options if timed else None)
 
 
