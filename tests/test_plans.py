@@ -31,7 +31,10 @@ def stored(spark, tmp_path_factory):
         getattr(t, name).write.parquet(f"{root}/{name}")
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    # Print scan filters in full.
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     yield Tables.from_parquet(spark, root)
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
