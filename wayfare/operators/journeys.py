@@ -69,10 +69,14 @@ def numbered_visits(tables: Tables, options: JourneyOptions, with_category: bool
     if options.filter_visits:
         visits = visits.filter(since("session_start", options.as_of, options.lookback_days))
     active = active_visits(recent_events(tables, options), tables.user, visits)
-    numbered = number_visits(active, options.max_session, options.visit_slice_seconds)
-    if not with_category:
-        return numbered.withColumn("offer_category_id", F.lit(None).cast("int"))
-    return numbered.join(visit_categories(tables, options), VISIT, "left")
+    # Categories join before the numbering, not after it: event rows join the
+    # result by visit, and Spark can split a busy visit only in a join whose
+    # sides come straight from a shuffle.
+    if with_category:
+        active = active.join(visit_categories(tables, options), VISIT, "left")
+    else:
+        active = active.withColumn("offer_category_id", F.lit(None).cast("int"))
+    return number_visits(active, options.max_session, options.visit_slice_seconds)
 
 
 def visit_categories(tables: Tables, options: JourneyOptions) -> DataFrame:

@@ -32,7 +32,7 @@ def active_visits(events: DataFrame, users: DataFrame, visits: DataFrame) -> Dat
 def number_visits(
     active: DataFrame, max_session: int | None = None, slice_seconds: int = VISIT_SLICE_SECONDS
 ) -> DataFrame:
-    """``user_id, visit_id, session_number`` of every active pair.
+    """``user_id, visit_id, session_number`` of every active pair, and its other columns.
 
     Visits that start at the same time share a number. ``max_session`` keeps
     the first sessions, numbered before the cut.
@@ -42,8 +42,9 @@ def number_visits(
     if max_session is not None:
         # Implied by the cut below; lets Spark drop later visits before the shuffle.
         ranked = ranked.filter(F.col("rank_inside") <= max_session)
+    carried = [name for name in active.columns if name not in ("owner_id", "session_start")]
     numbered = ranked.join(_slice_offsets(sliced), ["owner_id", "slice"]).select(
-        "user_id", "visit_id", _number().alias("session_number")
+        *carried, _number().alias("session_number")
     )
     return numbered if max_session is None else numbered.filter(F.col("session_number") <= max_session)
 
