@@ -96,6 +96,17 @@ def test_second_pages_cut_before_the_shuffle(stored):
     assert "In(event, [route,user_visit])" in plan
 
 
+def test_event_rows_join_a_plain_shuffle(stored):
+    """The side they join must come straight from a shuffle for a busy visit to be split."""
+    lines = _plan(journeys.user_journey(stored, OPTIONS)).split("\n")
+    joins = [i for i, line in enumerate(lines) if "SortMergeJoin [user_id, visit_id]" in line and "Inner" in line]
+    assert len(joins) == 1
+    depth = re.search(r"[+:]-", lines[joins[0] + 1]).start()
+    sides = [i for i, line in enumerate(lines) if i > joins[0] and line[depth:depth + 7] in (":- Sort", "+- Sort")][:2]
+    assert len(sides) == 2
+    assert all("Exchange hashpartitioning(user_id, visit_id" in lines[i + 1] for i in sides)
+
+
 def test_offers_meet_distinct_references_not_events(stored):
     plan = _plan(journeys.user_journey(stored, OPTIONS))
     assert plan.count("Exchange hashpartitioning(offer_id,") == 2
