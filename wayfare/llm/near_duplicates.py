@@ -3,8 +3,8 @@
 Texts with one shingle set form a class. Classes that share a band of minima are
 compared; within a band's bucket every class meets the smallest one first, which
 settles buckets of true copies in linear work. Only buckets whose classes are then
-still in several components are compared further, in blocks, by signature. Every
-link counts only after its full shingle sets have been compared.
+still in several components are compared further, in blocks. Every link counts
+only after its full shingle sets have been compared.
 """
 
 from __future__ import annotations
@@ -147,37 +147,66 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.filter(_agreement("mark_a", "mark_b") >= LEAST_AGREEMENT).select("a", "b")
 
 
-def _across(shared: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of classes in one bucket that are in different components and have similar signatures.
-
-    A bucket is compared in blocks of about BLOCK classes, every block with every
-    other, so that no task holds a bucket and only likely pairs leave a task.
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sets, as products of 0/1 rows over the elements that several sets have."""
+    sizes = [*map(len, left), *map(len, right)]
+    elements, place, times = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    wide = (times > 1)[place]
+    owner, column = owner[wide], column[place[wide]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [first, first + 4096])
+        table = np.zeros((len(sizes), 4096), np.float32)
+        table[owner[a:b], column[a:b] - first] = 1
+        out += table[: len(left)] @ table[len(left) :].T
+    return out
+
+
+def _across(shared: DataFrame, found: DataFrame, documents: DataFrame) -> DataFrame:
+    """Links between classes that share a band and are in different components.
+
+    Documents around one long passage fill a bucket without being near-duplicates,
+    so that its pairs are many and its links few. A bucket is compared in blocks of
+    about BLOCK classes, every block with every other; full sets are compared in
+    the task, and only links leave it.
     """
     known = shared.join(found, shared["class"] == found["node"], "left").select("band", "class", F.coalesce("component", "class").alias("component"))
     open_ = known.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = known.join(open_.select("band", blocks.alias("blocks")), "band").join(classes.select("class", "signature"), "class")
+    rows = written(known.join(open_.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "band"))
+    kind = shared.schema["class"].dataType.simpleString()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            found = [shingler.set_of(t).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(found, pa.binary())], names=["class", "shingles"])
+
+    texts = documents.select(F.col("doc_id").alias("class"), "text").join(written(rows.select("class").distinct()), "class", "left_semi")
+    full = in_batches(texts, sets, f"class {kind}, shingles binary").dropDuplicates(["class"])
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("own")
-    placed = rows.select("band", "class", "component", "signature", "blocks", own)
+    placed = rows.join(full, "class").select("band", "class", "component", "shingles", "blocks", own)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = placed.select("band", "class", "component", "signature", "own", other).select(
-        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "component", "signature"
+    spread = placed.select("band", "class", "component", "shingles", "own", other).select(
+        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "component", "shingles"
     )
-    kind = classes.schema["class"].dataType.simpleString()
 
     def compare(key, frame):
         import pandas as pd
 
-        left, right = frame[frame.own == key[1]], frame[frame.own == key[2]]
-        out_a, out_b = [], []
-        if len(left) and len(right):
-            marks = np.stack([np.frombuffer(x, np.uint16) for x in right.signature])
-            ids, groups = right["class"].to_numpy(), right.component.to_numpy()
-            for node, group, mark in zip(left["class"], left.component, left.signature):
-                same = (marks == np.frombuffer(mark, np.uint16)).mean(axis=1)
-                for hit in ids[(same >= LEAST_AGREEMENT) & (groups != group)]:
-                    out_a.append(max(node, hit)), out_b.append(min(node, hit))
-        return pd.DataFrame({"a": out_a, "b": out_b})
+        left, right = frame[frame["own"] == key[1]], frame[frame["own"] == key[2]]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []})
+        one, two = ([np.frombuffer(x, np.uint64) for x in side["shingles"]] for side in (left, right))
+        common = _shared(one, two)
+        union = np.array([*map(len, one)])[:, None] + np.array([*map(len, two)]) - common
+        near = (100 * common >= PERCENT * union) & (left["component"].to_numpy()[:, None] != right["component"].to_numpy())
+        a, b = np.nonzero(near)
+        a, b = left["class"].to_numpy()[a], right["class"].to_numpy()[b]
+        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
     return spread.groupBy("band", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
 
@@ -208,11 +237,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     stars = shared.filter(F.col("class") != F.col("head")).select(F.col("class").alias("a"), F.col("head").alias("b")).distinct()
     links = written(_verified(_likely(stars, classes), documents))
     found = components(links)
-    rest = written(_across(shared.select("band", "class"), found, classes))
+    rest = written(_across(shared.select("band", "class"), found, documents))
     if not rest.isEmpty():
-        rest = rest.join(stars, ["a", "b"], "left_anti")
-        links = links.unionByName(written(_verified(rest, documents)))
-        found = components(links)
+        found = components(links.unionByName(rest))
     named = members.join(found, members["class"] == found["node"], "left")
     component = F.coalesce("component", "class", "doc_id")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
