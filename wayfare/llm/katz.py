@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from wayfare.llm.common import WORD, fold, in_batches, shared_folder, ship, written
 
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 1_500_000
 BUCKET_ENTRIES = 500_000
 LEAST_BUCKETS = 64
 #: Counts up to this are discounted (Katz's k).
