@@ -51,7 +51,7 @@ def load(spark: SparkSession, sf_dir: str, with_banners: bool = False) -> Tables
             "banner": banner,
             "banner_click": clicks,
             "postback": _postback(clicks),
-            "assets": banner.filter(F.col("id") % 4 != 3).select(
+            "assets": banner.select(
                 "image_url", ((F.col("id") + 1) * 1000 + 500).alias("size_bytes")
             ),
         }
@@ -141,13 +141,13 @@ def _user(customer: DataFrame, events: DataFrame) -> DataFrame:
         F.col("c_mktsegment").alias("device_vendor"),
         F.when(key % 11 == 0, "{}").otherwise(info).alias("user_info"),
         F.when(key % 4 == 0, 1).when(key % 4 == 3, 3).otherwise(8).alias("conversion_funnel_id"),
-        F.concat(F.lit("src"), (F.col("c_nationkey") % 4).cast("string")).alias("user_source"),
+        F.when(key % 13 != 0, F.concat(F.lit("src"), (F.col("c_nationkey") % 4).cast("string"))).alias("user_source"),
     )
 
 
 def _offer(part: DataFrame) -> DataFrame:
     key = F.col("p_partkey")
-    return part.filter(key < 100).select(
+    return part.select(
         key.alias("id"),
         (F.col("p_size") % 7).alias("offer_category_id"),
         F.when(key % 3 == 0, "cpc").when(key % 3 == 1, "cpa").alias("conversion_type"),

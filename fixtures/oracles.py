@@ -59,13 +59,13 @@ app_user AS (
     CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE 320 + c_custkey % 97 END AS width,
     CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE 640 + c_custkey % 203 END AS height,
     CASE c_custkey % 4 WHEN 0 THEN 1 WHEN 3 THEN 3 ELSE 8 END AS conversion_funnel_id,
-    'src' || (c_nationkey % 4) AS user_source
+    CASE WHEN c_custkey % 13 <> 0 THEN 'src' || (c_nationkey % 4) END AS user_source
   FROM customer LEFT JOIN (SELECT user_id, min(ts) AS first_ts FROM events GROUP BY user_id) f ON f.user_id = c_custkey
 ),
 offer AS (
   SELECT CAST(p_partkey AS INTEGER) AS id, CAST(p_size % 7 AS INTEGER) AS offer_category_id,
     CASE p_partkey % 3 WHEN 0 THEN 'cpc' WHEN 1 THEN 'cpa' END AS conversion_type
-  FROM part WHERE p_partkey < 100
+  FROM part
 ),
 banner AS (
   SELECT CAST(s_suppkey AS INTEGER) AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'mobile' ELSE 'desktop' END AS device,
@@ -86,7 +86,7 @@ postback AS (
   SELECT id, CAST(2.50 AS DECIMAL(18, 2)) FROM banner_click WHERE id % 6 = 0
 ),
 assets AS (
-  SELECT image_url, (id + 1) * 1000 + 500 AS size_bytes FROM banner WHERE id % 4 <> 3
+  SELECT image_url, (id + 1) * 1000 + 500 AS size_bytes FROM banner
 )"""
 
 _SECTION = "split_part(e.page, '/', 4)"
@@ -303,7 +303,7 @@ _SCORES = """WITH lexicon AS (
     ('on', -0.2), ('as', 0.8)) t (word, weight)
 ),
 words AS (
-  SELECT conv_id, turn, unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM conversations
+  SELECT conv_id, turn, unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS word FROM conversations
 ),
 scores AS (
   SELECT c.conv_id, c.turn, coalesce(s.polarity, 0.0) AS polarity
@@ -412,7 +412,7 @@ starts AS (SELECT DISTINCT owner_id, session_number, session_start FROM base)
   ends AS (SELECT *, string_split(coalesce(nullif(journey_pages, ''), 'nan'), ',') AS pages FROM after_anchor)
   {_steps("split_part(pages[-1], '[', 1)", "len(pages) = 1 OR pages[1] <> pages[-1]", "ends")}""",
         "nonconverted_by_source": f"""{_with(_journeys())}
-  SELECT funnel_id, user_source, CAST(sum(redirected) AS BIGINT) AS redirected_sum,
+  SELECT funnel_id, coalesce(user_source, '0') AS user_source, CAST(sum(redirected) AS BIGINT) AS redirected_sum,
     CAST(avg(redirected) AS DOUBLE) AS redirected_mean, count(DISTINCT user_id) AS users
   FROM journeys WHERE {_IDLE} AND funnel_id = 8 AND coalesce(pages[-1], '') NOT LIKE '%chats%' GROUP BY ALL""",
         "page_visits": f"""{_with(_journeys())}, visited AS (SELECT unnest(pages) AS page FROM journeys)
@@ -479,7 +479,7 @@ starts AS (SELECT DISTINCT owner_id, session_number, session_start FROM base)
   WHERE product_time > 9 AND redirected > 0 AND funnel_id = 1 AND session_number = 1
     AND user_id NOT IN (SELECT user_id FROM journeys WHERE session_number > 1)""",
         "chat_ending_counts": _with(_journeys())
-        + _steps("split_part(pages[-1], '[', 1)", f"{_CONVERTED} AND pages[-1] LIKE '%chats[%'"),
+        + _steps("split_part(pages[-1], '[', 1)", "redirected > 0 AND funnel_id IN (1, 8) AND pages[-1] LIKE '%chats[%'"),
     }
     for rule in ("bracketed", "with_visits", "plain_id", "inverted", "generic"):
         sql[f"page_name_{rule}"] = f"{_with()} SELECT id AS event_id, {_page(rule)} AS page_name FROM user_event e"

@@ -244,3 +244,16 @@ def test_single_session_converted(spark):
     ]
     found = groups.single_session_converted(_sessions(spark, rows))
     assert [r["user_id"] for r in found.collect()] == [1]
+
+
+def test_nonconverted_sessions_without_source_are_group_zero(spark):
+    from wayfare.operators import conversion, filters
+
+    rows = [(1, 8, None, 0, None, None, 20.0, "feed"), (2, 8, "a", 0, 0, 0, 20.0, None), (3, 8, "a", 0, 0, 0, 20.0, "chats")]
+    sessions = spark.createDataFrame(
+        rows,
+        "user_id int, funnel_id int, user_source string, redirected long, banner_clicks long, attr_clicks long, product_time double, last_page string",
+    )
+    kept = filters.fill_missing(sessions).filter(filters.not_converted([filters.MAIN_FUNNEL]))
+    found = {(r.user_source, r.users) for r in conversion.nonconverted_by_source(kept).collect()}
+    assert found == {("0", 1), ("a", 1)}

@@ -55,7 +55,7 @@ def test_lexicon(spark, tmp_path):
 def test_image_sizes(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "b1.gif").write_bytes(b"x" * 1500)
-    assert [tuple(r) for r in files.read_image_sizes(spark, str(tmp_path)).collect()] == [("b1.gif", 1500)]
+    assert [tuple(r) for r in files.read_image_sizes(spark, str(tmp_path)).collect()] == [("sub/b1.gif", 1500)]
 
 
 def test_json_sink(spark, tmp_path):
@@ -74,3 +74,30 @@ def test_jdbc_options():
         jdbc_options(connection)
     with pytest.raises(ValueError):
         jdbc_options(connection, table="a", split={"numPartitions": "4"})
+
+
+def test_image_sizes_keep_equal_names_of_two_folders_apart(spark, tmp_path):
+    for folder, size in (("one", 10), ("two", 20)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "b1.gif").write_bytes(b"x" * size)
+    found = {tuple(r) for r in files.read_image_sizes(spark, str(tmp_path)).collect()}
+    assert found == {("one/b1.gif", 10), ("two/b1.gif", 20)}
+
+
+def test_events_by_day_are_pruned(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from wayfare.sources.schemas import TABLES
+    from wayfare.sources.tables import Tables
+
+    rows = spark.createDataFrame([], TABLES["user_event"])
+    made = rows.union(spark.range(3).select(*[
+        (F.timestamp_add("DAY", F.col("id").cast("int"), F.lit("2024-01-10").cast("timestamp")).cast(f.dataType) if f.name == "created" else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in TABLES["user_event"].fields
+    ]))
+    made.withColumn("day", F.to_date("created")).write.partitionBy("day").parquet(str(tmp_path / "user_event"))
+    tables = Tables.from_parquet(spark, str(tmp_path), names=["user_event"], event_day="day")
+    recent = tables.events_since("2024-01-12", 1)
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    assert recent.count() == 2 and "day" not in recent.columns

@@ -15,8 +15,8 @@ LOOKBACK_DAYS = 30
 
 def banner_events(tables: Tables, as_of: AsOf = None, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """Banner shows and clicks with the banner's place and the bare page name."""
-    shown = tables.user_event.filter(
-        since("created", as_of, lookback_days) & F.col("event").isin(BANNER_SHOW, BANNER_CLICK)
+    shown = tables.events_since(as_of, lookback_days).filter(
+        F.col("event").isin(BANNER_SHOW, BANNER_CLICK)
     ).select("id", "user_id", "event", "attr_1", first_segment("page").alias("page_name"))
     known = tables.user.select(F.col("id").alias("user_id"))
     banners = tables.banner.select(
@@ -37,7 +37,7 @@ def impressions(tables: Tables, as_of: AsOf = None, lookback_days: int = LOOKBAC
     signup-day figure.
     """
     shows = (
-        tables.user_event.filter(since("created", as_of, lookback_days) & (F.col("event") == BANNER_SHOW))
+        tables.events_since(as_of, lookback_days).filter(F.col("event") == BANNER_SHOW)
         .groupBy("attr_1", "user_id", F.to_date("created").alias("day"))
         .agg(F.count(F.lit(1)).alias("shows"))
     )

@@ -29,7 +29,7 @@ def polarity(feedback: DataFrame, lexicon: DataFrame, keys: Sequence[str], text:
     row by row and are summed per text on the map side; the shuffle carries
     keys and two numbers, never the text.
     """
-    words = F.split(F.lower(text), "[^a-z]+")
+    words = F.split(F.lower(text), r"[^\p{L}]+")
     exploded = feedback.select(*keys, F.explode_outer(words).alias("word"), F.col(text).isNull().alias("missing"))
     scored = exploded.join(lexicon.select("word", F.col("polarity").alias("weight")), "word", "left")
     totals = scored.groupBy(*keys).agg(

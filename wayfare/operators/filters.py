@@ -21,6 +21,11 @@ def converted(funnels: Sequence[int] = STUDIED_FUNNELS, max_session: int | None
     return kept if max_session is None else kept & (F.col("session_number") <= max_session)
 
 
+def redirected(funnels: Sequence[int] = STUDIED_FUNNELS) -> Column:
+    """Sessions with a redirect to an offer, in the given funnels, however long they were."""
+    return (F.col("redirected") > 0) & F.col("funnel_id").isin(*funnels)
+
+
 def not_converted(funnels: Sequence[int] | None = None, max_session: int | None = None) -> Column:
     """Engaged sessions without any click or redirect."""
     kept = _engaged() & (F.col("redirected") == 0) & (F.col("banner_clicks") == 0) & (F.col("attr_clicks") == 0)

@@ -18,8 +18,8 @@ def top_groups(sessions: DataFrame, share: float = 0.2, keys: Sequence[str] = GR
     """The groups with most redirects, as many as ``share`` of the session count.
 
     Groups with a missing key do not count. Equal sums go by key order. The
-    sessions are read once; the groups are checkpointed and only their number
-    and the session count come to the driver.
+    sessions are read once; the groups are checkpointed and only the session
+    count comes to the driver.
     """
     use_checkpoint_dir(sessions.sparkSession)
     every = sessions.groupBy(*keys).agg(F.sum("redirected").alias("redirected"), F.count(F.lit(1)).alias("sessions"))
@@ -27,7 +27,7 @@ def top_groups(sessions: DataFrame, share: float = 0.2, keys: Sequence[str] = GR
     groups = every.dropna(subset=list(keys)).select(*keys, "redirected")
     size = every.agg(F.coalesce(F.sum("sessions"), F.lit(0)).alias("sessions")).first()
     wanted = int(size["sessions"] * share)
-    return groups if groups.count() <= wanted else _largest(groups, wanted, keys)
+    return _largest(groups, wanted, keys)
 
 
 def _largest(groups: DataFrame, wanted: int, keys: Sequence[str]) -> DataFrame:

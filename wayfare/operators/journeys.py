@@ -56,7 +56,7 @@ class JourneyOptions:
 
 
 def recent_events(tables: Tables, options: JourneyOptions) -> DataFrame:
-    return tables.user_event.filter(since("created", options.as_of, options.lookback_days))
+    return tables.events_since(options.as_of, options.lookback_days)
 
 
 def numbered_visits(tables: Tables, options: JourneyOptions, with_category: bool = False) -> DataFrame:
@@ -184,7 +184,7 @@ def with_users(sessions: DataFrame, tables: Tables, options: JourneyOptions | No
 
 def user_product_time(tables: Tables, options: JourneyOptions) -> DataFrame:
     events = early_events(
-        tables.user_event,
+        tables.events_since(options.as_of, options.lookback_days),
         tables.user,
         as_of=options.as_of,
         lookback_days=options.lookback_days,
@@ -283,7 +283,10 @@ def session_items(rows: DataFrame, numbered: DataFrame) -> DataFrame:
         .agg(F.collect_set(F.struct("item", "first_at")).alias("found"), F.min("cut_at").alias("cut_at"))
     )
     before_cut = F.filter("found", lambda f: F.col("cut_at").isNull() | (f["first_at"] <= F.col("cut_at")))
-    items = F.array_sort(F.array_distinct(F.transform(before_cut, lambda f: f["item"])))
+    # The string as a whole is stripped, so its first page loses blanks in front.
+    in_order = F.array_sort(F.transform(before_cut, lambda f: F.struct(f["first_at"], f["item"])))
+    stripped = F.transform(in_order, lambda f, i: F.when(i == 0, F.ltrim(f["item"])).otherwise(f["item"]))
+    items = F.array_sort(F.array_distinct(stripped))
     return sessions.select(*SESSION, items.alias("items"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.references import CHAT_LIMIT
 from wayfare.operators import conversion, groups, pages, patterns
-from wayfare.operators.filters import MAIN_FUNNEL, SESSION_CAP, converted, fill_missing, not_converted
+from wayfare.operators.filters import MAIN_FUNNEL, SESSION_CAP, converted, fill_missing, not_converted, redirected
 from wayfare.operators.journeys import (
     JourneyOptions,
     journey_events,
@@ -70,13 +70,14 @@ def last_page_after_event_report(
 
 
 def chat_ending_report(tables: Tables, options: JourneyOptions = JOURNEY) -> DataFrame:
-    """Converted sessions that end in a chat."""
-    return pages.ending_counts(_lean(tables, options).filter(converted()))
+    """Redirected sessions of the studied funnels that end in a chat."""
+    return pages.ending_counts(_lean(tables, options).filter(redirected()))
 
 
 def nonconverted_report(tables: Tables, options: JourneyOptions = JOURNEY) -> DataFrame:
-    """Sessions of the main funnel without click or redirect, by user source."""
-    return conversion.nonconverted_by_source(_lean(tables, options).filter(not_converted([MAIN_FUNNEL])))
+    """Sessions of the main funnel without click or redirect, by user source; no source is ``'0'``."""
+    sessions = fill_missing(_lean(tables, options))
+    return conversion.nonconverted_by_source(sessions.filter(not_converted([MAIN_FUNNEL])))
 
 
 def page_visit_report(tables: Tables, options: JourneyOptions = JOURNEY) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.pages import page_name
 from wayfare.functions.references import CHAT_LIMIT, ROUTE
-from wayfare.functions.times import SLICE_SECONDS, AsOf, since
+from wayfare.functions.times import SLICE_SECONDS, AsOf
 from wayfare.operators.journeys import (
     JourneyOptions,
     anchor_times,
@@ -134,7 +134,7 @@ def _sessions(tables: Tables, options: JourneyOptions, with_page_info: bool, tim
 
 
 def _user_pages(tables: Tables, as_of: AsOf, lookback_days: int) -> DataFrame:
-    return tables.user_event.filter(since("created", as_of, lookback_days)).select(
+    return tables.events_since(as_of, lookback_days).select(
         "user_id", "created", "id", "event", page_name("generic").alias("page_name")
     )
 

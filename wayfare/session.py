@@ -8,7 +8,6 @@ from pyspark.sql import SparkSession
 
 # Timestamps are zone-less everywhere; UTC keeps casts at the edges neutral.
 # AQE picks the partition count and splits skewed join partitions at run time.
-# A join whose smaller side fits a task's memory in every partition needs no sort.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -16,7 +15,6 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
     "spark.ui.enabled": "false",
 }

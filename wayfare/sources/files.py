@@ -23,7 +23,11 @@ def read_after_event(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_feedback(spark: SparkSession, path: str, schema: T.StructType = FEEDBACK) -> DataFrame:
-    """Feedback texts; a text may span lines and hold quotes."""
+    """Feedback texts; a text may span lines and hold quotes.
+
+    A file whose texts span lines cannot be split, so one task reads it whole:
+    hand over a folder of many files, or parquet.
+    """
     return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
 
 
@@ -35,10 +39,14 @@ def read_image_sizes(spark: SparkSession, path: str) -> DataFrame:
     """``(image_url, size_bytes)`` of the files under ``path``.
 
     Only names and lengths are selected, so file contents are not read. The
-    URL of an image is its file name.
+    URL of an image is its path below ``path``, so that equal names in two
+    folders stay apart.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("image_url"), F.col("length").alias("size_bytes"))
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
+    below = F.substring(F.col("path"), len(root) + 2, 1 << 30)
+    return files.select(below.alias("image_url"), F.col("length").alias("size_bytes"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

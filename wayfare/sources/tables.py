@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayfare.functions.times import AsOf, since
 from wayfare.sources.schemas import TABLES
 
 # Image sizes come from files, not from the database.
@@ -27,11 +28,27 @@ class Tables:
     banner_click: DataFrame | None = None
     postback: DataFrame | None = None
     assets: DataFrame | None = None
+    event_day: str | None = None
+
+    def events_since(self, as_of: AsOf, days: int) -> DataFrame:
+        """Events of the last ``days`` and today; a named day column prunes folders."""
+        recent = self.user_event.filter(since("created", as_of, days))
+        if self.event_day is None:
+            return recent
+        return recent.filter(since(self.event_day, as_of, days)).drop(self.event_day)
 
     @classmethod
-    def from_parquet(cls, spark: SparkSession, root: str, names: Sequence[str] = tuple(TABLES)) -> Tables:
-        """One parquet folder per table under ``root``."""
-        return cls(**{name: spark.read.schema(TABLES[name]).parquet(f"{root}/{name}") for name in names})
+    def from_parquet(cls, spark: SparkSession, root: str, names: Sequence[str] = tuple(TABLES), event_day: str | None = None) -> Tables:
+        """One parquet folder per table under ``root``.
+
+        ``event_day`` names the date column that events are partitioned by, if
+        they are: the calendar date of ``created``.
+        """
+        schemas = {name: T.StructType(list(TABLES[name].fields)) for name in names}
+        if event_day is not None and "user_event" in schemas:
+            schemas["user_event"].add(event_day, T.DateType())
+        read = {name: spark.read.schema(schema).parquet(f"{root}/{name}") for name, schema in schemas.items()}
+        return cls(**read, event_day=event_day)
 
     @classmethod
     def from_jdbc(
