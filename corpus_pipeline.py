@@ -7,7 +7,7 @@ columns of ``documents``. NULL or empty texts go at the first stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.llm import decontaminate, language, mixing, near_duplicates, pii
@@ -17,6 +17,12 @@ from wayfare.llm.common import table, written
 LEAST_SHARE = 0.5
 
 
+def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with other names for columns that an operator's results would replace, and the columns to select afterwards."""
+    own = {c: f"_own_{c}" for c in docs.columns if c.lower() in names}
+    return docs.withColumnsRenamed(own), [F.col(own.get(c, c)).alias(c) for c in docs.columns]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are mainly in one learned language; texts without a letter go.
 
@@ -26,8 +32,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language.learn(docs.filter(~language.held_out()).select("doc_id", "text", "lang"))
     if not model[0]:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = language.identify(docs, model)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    aside, back = _aside(docs, "lang_pred", "score", "lang_mix")
+    found = language.identify(aside, model)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*back)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +51,8 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind in brackets; all documents stay."""
-    found = pii.find_pii(docs)
+    aside, back = _aside(docs, "pii_base", "pii_added", "pii_redacted")
+    found = pii.find_pii(aside)
     changed = F.size("pii_base") + F.size("pii_added") > 0
     return found.select(
         *(
@@ -52,8 +60,8 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             if c == "text"
             else F.when(changed, F.char_length("pii_redacted").cast("long")).otherwise(F.col(c)).alias(c)
             if c == "n_chars"
-            else F.col(c)
-            for c in docs.columns
+            else column
+            for c, column in zip(docs.columns, back)
         )
     )
 

@@ -52,6 +52,12 @@ def in_batches(frame: DataFrame, function, schema: str) -> DataFrame:
     return frame.mapInArrow(function, schema)
 
 
+def without(frame: DataFrame, *names: str) -> DataFrame:
+    """``frame`` without the columns that bear one of ``names``, in any case."""
+    taken = {n.lower() for n in names}
+    return frame.select(*(f"`{c}`" for c in frame.columns if c.lower() not in taken))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that ``spark.checkpoint.dir`` names."""
     use_checkpoint_dir(spark)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import fold, in_batches
+from wayfare.llm.common import fold, in_batches, without
 
 WINDOW = 10
 SHARD_WORDS = 1_000_000
@@ -241,10 +241,11 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[objec
 def find_overlaps(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``documents`` with hit_words, hit_spans (start, end in words, merged) and hit_items.
 
-    All input columns stay. NULL and empty texts have no words and no hits; NULL
+    All input columns but those of these names stay. NULL and empty texts have no words and no hits; NULL
     or empty items have no windows; without items nothing is hit. Repeated rows
     give repeated rows. Items of several rows with one id count as one item.
     """
+    documents = without(documents, "n_words", "hit_words", "hit_spans", "hit_items")
     kind = benchmark.schema["item_id"].dataType.simpleString()
     added = f"n_words long, hit_spans array<struct<start:long,end:long>>, hit_items array<{kind}>"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
@@ -307,7 +308,9 @@ def without_overlaps(documents: DataFrame, benchmark: DataFrame, most: float = 0
     its first word's start to its last word's end; rows without hits are untouched.
     """
     columns = documents.columns
-    found = find_overlaps(documents, benchmark).filter(F.col("hit_words") <= most * F.col("n_words"))
+    # Columns with names of the result step aside meanwhile.
+    aside = {c: f"_own_{c}" for c in columns if c.lower() in ("n_words", "hit_words", "hit_spans", "hit_items")}
+    found = find_overlaps(documents.withColumnsRenamed(aside), benchmark).filter(F.col("hit_words") <= most * F.col("n_words"))
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -319,7 +322,7 @@ def without_overlaps(documents: DataFrame, benchmark: DataFrame, most: float = 0
     found = found.withColumn("text", cleaned)
     if "n_chars" in columns:
         found = found.withColumn("n_chars", F.when(F.col("hit_words") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(*columns)
+    return found.select(*(F.col(aside.get(c, c)).alias(c) for c in columns))
 
 
 def _cut(text: str, spans) -> str:

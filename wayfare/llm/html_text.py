@@ -40,7 +40,8 @@ _BOILERPLATE = re.compile(
 _HEADER = re.compile(r"(?:^|[-_ ])header(?:$|[-_ 0-9])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 _CLOSES_P = frozenset("p div article section main ul ol dl table h1 h2 h3 h4 h5 h6 pre blockquote header footer nav aside form figure hr address details".split())
-_CONTAINERS = frozenset("html body main article section div td table tbody tr center blockquote figure details ul ol dl li dd header".split())
+#: The empty tag is the page itself, for what stands outside all containers.
+_CONTAINERS = frozenset(["", *"html body main article section div td table tbody tr center blockquote figure details ul ol dl li dd header".split()])
 
 
 class Node:
@@ -91,7 +92,7 @@ def read_page(source: str, along: str | None = None) -> tuple[list[Node], list[s
     stack, nodes = [root], [root]
     blocks: list[str] = []
     pieces: list[str] = []
-    link = taken = 0  # open <a>, open containers on the path
+    link, taken = 0, int(along == "")  # open <a>, open containers on the path
 
     def flush() -> None:
         if not pieces:
@@ -181,7 +182,7 @@ def scored_paths(source: str, most: int = 3) -> list[tuple[str, int]]:
 
 def extract(source: str, path: str | None) -> str:
     """Text along ``path``; along the page's own best path where that one is not there."""
-    blocks = read_page(source, path)[1] if path else []
+    blocks = read_page(source, path)[1] if path is not None else []
     if not blocks:
         own = scored_paths(source, 1)
         blocks = read_page(source, own[0][0])[1] if own else []
@@ -228,7 +229,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(s or "", p or default) for s, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist())]
+            texts = [extract(s or "", default if p is None else p) for s, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import in_batches
+from wayfare.llm.common import in_batches, without
 
 SAMPLE_ROWS = 40_000
 SLOTS = 1 << 17
@@ -40,9 +40,9 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Slots of the letter trigrams of a text, lower-cased, with counts; other characters are one gap."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     codes = np.where(_letters()[codes], codes, 0)
-    codes = codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])].astype(np.uint64)
     if not codes.any():
         return np.zeros(0, np.int64), np.zeros(0)
+    codes = codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])].astype(np.uint64)
     codes = np.concatenate([codes, _GAP]) if codes[-1] else codes
     codes = np.concatenate([_GAP, codes]) if codes[0] else codes
     a, b, c = codes[:-2], codes[1:-1], codes[2:]
@@ -130,16 +130,18 @@ def proportions(slots: np.ndarray, counts: np.ndarray, logs: np.ndarray) -> np.n
 def identify(documents: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """``documents`` with lang_pred, score and lang_mix (language to proportion, the selected set).
 
-    All input columns stay; only ``text`` is read. A text that is NULL or has no
+    All input columns but those of these names stay; only ``text`` is read. A text that is NULL or has no
     letter gets ``und``, score 0 and an empty map; with no language learned every
     text does. Repeated rows give repeated rows. Ties go to the first language by name.
     """
+    documents = without(documents, "lang_pred", "score", "lang_mix")
     names, logs = model
     sent = documents.sparkSession.sparkContext.broadcast((names, logs.astype(np.float32)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, logs = sent.value
+        entries = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
         logs = logs.astype(float)
         for batch in batches:
             labels, scores, mixes = [], [], []
@@ -151,13 +153,14 @@ def identify(documents: DataFrame, model: tuple[list[str], np.ndarray]) -> DataF
                 share = proportions(slots, counts, logs)
                 top = int(share.argmax())
                 labels.append(names[top]), scores.append(min(1.0, float(share[top])))
-                mixes.append([(names[i], float(share[i])) for i in np.flatnonzero(share)])
+                mixes.append([{"lang": names[i], "share": float(share[i])} for i in np.flatnonzero(share)])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(mixes, pa.map_(pa.string(), pa.float64()))],
+                [*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(mixes, entries)],
                 names=[*batch.schema.names, "lang_pred", "score", "lang_mix"],
             )
 
-    return in_batches(documents, predict, f"{schema}, lang_pred string, score double, lang_mix map<string,double>")
+    found = in_batches(documents, predict, f"{schema}, lang_pred string, score double, lang_mix array<struct<lang:string,share:double>>")
+    return found.withColumn("lang_mix", F.map_from_entries("lang_mix"))
 
 
 def held_out(divisor: int = 4, rest: int = 2):

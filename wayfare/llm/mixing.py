@@ -93,8 +93,8 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 def _with_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     """Join on source, NULL meeting NULL; ``right`` has one row per source."""
-    right = right.withColumnRenamed("source", "_source")
-    return left.join(right, F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
+    right = right.withColumnRenamed("source", "_mixed_source")
+    return left.join(right, F.col("source").eqNullSafe(F.col("_mixed_source")), how).drop("_mixed_source")
 
 
 def _copies(rows: DataFrame, edges: DataFrame) -> DataFrame:

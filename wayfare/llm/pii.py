@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.llm import pii_crf
-from wayfare.llm.common import in_batches
+from wayfare.llm.common import in_batches, without
 from wayfare.llm.pii_rules import KINDS, base_spans, luhn, valid_ip
 
 CONTEXT = 2
@@ -118,11 +118,12 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
 def find_pii(documents: DataFrame, field: pii_crf.Field | None = None, text: str = "text") -> DataFrame:
     """``documents`` with pii_base and pii_added (arrays of start, end, kind) and pii_redacted.
 
-    Every column of the input stays; a NULL text has no spans and stays NULL, an
+    Every column of the input but those of these names stays; a NULL text has no spans and stays NULL, an
     empty one has none. Repeated rows give repeated rows. Offsets are code points,
     end exclusive. ``field`` defaults to one trained on the 600 rows of
     ``pii_crf.labelled_table()``, and any other table can be trained on.
     """
+    documents = without(documents, "pii_base", "pii_added", "pii_redacted")
     field = field or pii_crf.default_field()
     model = documents.sparkSession.sparkContext.broadcast((field.names, field.emit, field.step))
     spans = "array<struct<start:int,end:int,kind:string>>"

@@ -86,15 +86,14 @@ class Field:
 
     def decode(self, sequences: list[list[str]], cells: int = 200_000) -> list[list[int]]:
         """Best tags of every sequence; one numpy batch per group of similar lengths."""
-        order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
+        order = sorted((i for i, s in enumerate(sequences) if s), key=lambda i: len(sequences[i]))
         out: list[list[int]] = [[] for _ in sequences]
         while order:
             longest = len(sequences[order[-1]])
-            take = order[-max(1, cells // max(1, longest)) :]
+            take = order[-max(1, cells // longest) :]
             del order[-len(take) :]
-            if longest:
-                for i, path in zip(take, self._viterbi([self.emissions(sequences[j]) for j in take])):
-                    out[i] = path
+            for i, path in zip(take, self._viterbi([self.emissions(sequences[j]) for j in take])):
+                out[i] = path
         return out
 
     def _viterbi(self, scores: list[np.ndarray]) -> list[list[int]]:
