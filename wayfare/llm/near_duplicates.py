@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfare.llm.common import WORD, fold, in_batches, written
+from wayfare.llm.common import in_batches, written
 from wayfare.llm.components import components
 
 SHINGLE = 5
@@ -33,8 +33,8 @@ BLOCK = 512
 _CACHE = 400_000
 
 _rng = np.random.default_rng(20240611)
-_A = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_A = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _STEPS = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -49,10 +49,11 @@ class Shingler:
     """Shingle sets as sorted 64-bit hashes; word hashes are kept in a bounded cache."""
 
     def __init__(self) -> None:
-        self.words: dict[str, int] = {}
+        self.words: dict[bytes, int] = {}
 
     def set_of(self, text: str | None) -> np.ndarray:
-        words = WORD.findall(fold(text)) if text else []
+        # Of bytes, lower() folds A-Z alone and split() cuts at the six ASCII white-space characters alone.
+        words = text.encode().lower().split() if text else []
         if not words:
             return np.zeros(0, np.uint64)
         known = self.words
@@ -68,19 +69,24 @@ class Shingler:
         count = len(words) - width + 1
         total = np.full(count, width, np.uint64)
         for i in range(width):
-            total += _mixed(hashes[i : i + count] * _STEPS[i])
-            total *= _STEPS[-1 - i]
+            total += hashes[i : i + count] * _STEPS[i]
         return np.unique(_mixed(total))
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
-    """The smallest value of each of the universal hashes a * x + b over a set."""
-    low = np.full(len(_A), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 2048):
-        part = np.multiply.outer(_A, shingles[at : at + 2048])
+    """The smallest value of each of the universal hashes a * x + b over a set, in 32 bits."""
+    low = np.full(len(_A), np.iinfo(np.uint32).max, np.uint32)
+    short = (shingles >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 2048):
+        part = np.multiply.outer(_A, short[at : at + 2048])
         part += _B[:, None]
         np.minimum(low, part.min(axis=1), out=low)
-    return low
+    return _mixed(low.astype(np.uint64))
+
+
+def _mark(low: np.ndarray) -> bytes:
+    """A signature of 16 bits a minimum."""
+    return (low >> np.uint64(48)).astype(np.uint16).tobytes()
 
 
 def signatures(documents: DataFrame) -> DataFrame:
@@ -98,9 +104,9 @@ def signatures(documents: DataFrame) -> DataFrame:
                 if not len(shingles):
                     bands.append(None), marks.append(None)
                     continue
-                low = _mixed(minima(shingles))
+                low = minima(shingles)
                 bands.append(_mixed((low.reshape(BANDS, ROWS) * _BAND).sum(axis=1, dtype=np.uint64)).astype(np.int64))
-                marks.append((low >> np.uint64(48)).astype(np.uint16).tobytes())
+                marks.append(_mark(low))
             halves = [[(n >> shift & (1 << 64) - 1) - (1 << 63) for n in names] for shift in (64, 0)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(h, pa.int64()) for h in halves), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
@@ -147,6 +153,15 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.filter(_agreement("mark_a", "mark_b") >= LEAST_AGREEMENT).select("a", "b")
 
 
+def _agreeing(left, right) -> np.ndarray:
+    """Whether signatures of the two lists agree on LEAST_AGREEMENT of their places, for each with each."""
+    one, two = (np.frombuffer(b"".join(side), np.uint16).reshape(len(side), -1) for side in (left, right))
+    equal = np.zeros((len(one), len(two)), np.uint16)
+    for place in range(one.shape[1]):
+        equal += one[:, place, None] == two[:, place]
+    return equal >= LEAST_AGREEMENT * one.shape[1]
+
+
 def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of sets, as products of 0/1 rows over the elements that several sets have."""
     sizes = [*map(len, left), *map(len, right)]
@@ -171,8 +186,9 @@ def _across(shared: DataFrame, found: DataFrame, documents: DataFrame) -> DataFr
 
     Documents around one long passage fill a bucket without being near-duplicates,
     so that its pairs are many and its links few. A bucket is compared in blocks of
-    about BLOCK classes, every block with every other; full sets are compared in
-    the task, and only links leave it.
+    about BLOCK classes, every block with every other. In the task, the classes whose
+    signatures agree enough with one of another component are compared in full, and
+    only links leave it.
     """
     known = shared.join(found, shared["class"] == found["node"], "left").select("band", "class", F.coalesce("component", "class").alias("component"))
     open_ = known.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high")
@@ -182,16 +198,17 @@ def _across(shared: DataFrame, found: DataFrame, documents: DataFrame) -> DataFr
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            found = [shingler.set_of(t).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(found, pa.binary())], names=["class", "shingles"])
+            found = [shingler.set_of(t) for t in batch.column("text").to_pylist()]
+            columns = (pa.array([make(x) for x in found], pa.binary()) for make in (np.ndarray.tobytes, lambda x: _mark(minima(x))))
+            yield pa.RecordBatch.from_arrays([batch.column("class"), *columns], names=["class", "shingles", "signature"])
 
     texts = documents.select(F.col("doc_id").alias("class"), "text").join(written(rows.select("class").distinct()), "class", "left_semi")
-    full = in_batches(texts, sets, f"class {kind}, shingles binary").dropDuplicates(["class"])
+    full = in_batches(texts, sets, f"class {kind}, shingles binary, signature binary").dropDuplicates(["class"])
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("own")
-    placed = rows.join(full, "class").select("band", "class", "component", "shingles", "blocks", own)
+    placed = rows.join(full, "class").select("band", "class", "component", "shingles", "signature", "blocks", own)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = placed.select("band", "class", "component", "shingles", "own", other).select(
-        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "component", "shingles"
+    spread = placed.select("band", "class", "component", "shingles", "signature", "own", other).select(
+        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "component", "shingles", "signature"
     )
 
     def compare(key, frame):
@@ -200,11 +217,14 @@ def _across(shared: DataFrame, found: DataFrame, documents: DataFrame) -> DataFr
         left, right = frame[frame["own"] == key[1]], frame[frame["own"] == key[2]]
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": []})
+        likely = _agreeing(left["signature"], right["signature"]) & (left["component"].to_numpy()[:, None] != right["component"].to_numpy())
+        left, right, likely = left[likely.any(axis=1)], right[likely.any(axis=0)], likely[likely.any(axis=1)][:, likely.any(axis=0)]
+        if not len(left):
+            return pd.DataFrame({"a": [], "b": []})
         one, two = ([np.frombuffer(x, np.uint64) for x in side["shingles"]] for side in (left, right))
         common = _shared(one, two)
         union = np.array([*map(len, one)])[:, None] + np.array([*map(len, two)]) - common
-        near = (100 * common >= PERCENT * union) & (left["component"].to_numpy()[:, None] != right["component"].to_numpy())
-        a, b = np.nonzero(near)
+        a, b = np.nonzero(likely & (100 * common >= PERCENT * union))
         a, b = left["class"].to_numpy()[a], right["class"].to_numpy()[b]
         return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
