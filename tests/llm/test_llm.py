@@ -338,6 +338,28 @@ def test_overlaps(spark, documents, empty, block_words):
     assert all(r.n_hit == 0 and not r.contaminated for r in none)
 
 
+def test_cut_takes_whole_hit_words_and_nothing_else(spark, empty):
+    item = "Please Name THE capital City of Every Country in The World"
+    texts = [f"A B. I say: {item.upper()}! Then, Ünder A tree, WE rest and Sing a Song of old times Again", "No Passage HERE at All", item, f"{item}. X Y Z\n" * 2, None, "", f"Q{item}", "A B C"]
+    docs = spark.createDataFrame([(i, t, len(t or ""), "own") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, hit_words string")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.without_overlaps(docs, benchmark).collect()}
+    for i, text in enumerate(texts):
+        words, hit, _ = _plain_hits(text, [(1, item)])
+        assert (i in got) == (2 * len(hit) <= len(words))
+        if i not in got:
+            continue
+        assert got[i].hit_words == "own"
+        if not hit:
+            assert (got[i].text, got[i].n_chars) == (text, len(text or ""))
+        else:
+            left = [w for k, w in enumerate(words) if k not in hit]
+            assert decontaminate.WORD.findall(fold(got[i].text)) == left and got[i].n_chars == len(got[i].text)
+    assert got[0].text.startswith("A B. I say: ! Then, Ünder A tree") and 2 not in got
+    assert {r.doc_id: r.text for r in decontaminate.without_overlaps(docs, benchmark.limit(0)).collect()} == dict(enumerate(texts))
+    assert decontaminate.without_overlaps(empty, benchmark).count() == 0
+
+
 def test_index_against_plain_search():
     r = random.Random(4)
     for _ in range(40):

@@ -264,7 +264,7 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame, width: int = WINDO
                 part = batch.slice(start, stop - start)
                 start = max(stop, 1)
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
-                rows: list[tuple[int, list, set]] = [(len(WORD.findall(t)) if t else 0, [], set()) for t in texts] if not sent else []
+                rows: list[tuple[int, list, set]] = [(len(WORD.findall(fold(t))) if t else 0, [], set()) for t in texts] if not sent else []
                 for block in sent:
                     got = block.value.hits(texts)
                     rows = [(n, s + (rows[i][1] if rows else []), set(f) | (rows[i][2] if rows else set())) for i, (n, s, f) in enumerate(got)]
@@ -326,7 +326,8 @@ def without_overlaps(documents: DataFrame, benchmark: DataFrame, most: float = 0
 
 
 def _cut(text: str, spans) -> str:
-    places = [(m.start(), m.end()) for m in WORD.finditer(text)]
+    # Spans count the words of the folded text, whose places are those of the text.
+    places = [(m.start(), m.end()) for m in WORD.finditer(fold(text))]
     parts, at = [], 0
     for span in spans:
         parts.append(text[at : places[span["start"]][0]])
