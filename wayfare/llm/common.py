@@ -7,7 +7,9 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfare.session import use_checkpoint_dir
@@ -16,6 +18,9 @@ from wayfare.session import use_checkpoint_dir
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_CLASS)
 
+#: Texts that a task turns into Python objects at a time.
+SLICE_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,10 +51,24 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def in_batches(frame: DataFrame, function, schema: str) -> DataFrame:
-    """``frame.mapInArrow`` with this package's code at hand on the executors."""
+def in_batches(frame: DataFrame, function, schema: str, most_bytes: int | None = None) -> DataFrame:
+    """``frame.mapInArrow`` with this package's code at hand on the executors.
+
+    With ``most_bytes``, batches are cut to about that size, which bounds what
+    ``function`` makes of one batch of texts.
+    """
     ship(frame.sparkSession)
-    return frame.mapInArrow(function, schema)
+    if most_bytes is None:
+        return frame.mapInArrow(function, schema)
+    return frame.mapInArrow(lambda batches: function(smaller(batches, most_bytes)), schema)
+
+
+def smaller(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``most_bytes``, a row at least."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * most_bytes // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def without(frame: DataFrame, *names: str) -> DataFrame:

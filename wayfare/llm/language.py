@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import in_batches, without
+from wayfare.llm.common import SLICE_BYTES, in_batches, without
 
 SAMPLE_ROWS = 40_000
 SLOTS = 1 << 17
@@ -159,7 +159,7 @@ def identify(documents: DataFrame, model: tuple[list[str], np.ndarray]) -> DataF
                 names=[*batch.schema.names, "lang_pred", "score", "lang_mix"],
             )
 
-    found = in_batches(documents, predict, f"{schema}, lang_pred string, score double, lang_mix array<struct<lang:string,share:double>>")
+    found = in_batches(documents, predict, f"{schema}, lang_pred string, score double, lang_mix array<struct<lang:string,share:double>>", SLICE_BYTES)
     return found.withColumn("lang_mix", F.map_from_entries("lang_mix"))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfare.llm.common import in_batches, written
+from wayfare.llm.common import SLICE_BYTES, in_batches, written
 from wayfare.llm.components import components
 
 SHINGLE = 5
@@ -113,7 +113,7 @@ def signatures(documents: DataFrame) -> DataFrame:
                 names=["doc_id", "set_a", "set_b", "n_shingles", "bands", "signature"],
             )
 
-    return in_batches(documents.select("doc_id", "text"), sign, f"doc_id {kind}, set_a long, set_b long, n_shingles long, bands array<long>, signature binary")
+    return in_batches(documents.select("doc_id", "text"), sign, f"doc_id {kind}, set_a long, set_b long, n_shingles long, bands array<long>, signature binary", SLICE_BYTES)
 
 
 def _verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def _verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     # Repeated ids can bring a pair more than once.
-    return in_batches(both.select("a", "b", "text_a", "text_b"), compare, f"a {kind}, b {kind}").distinct()
+    return in_batches(both.select("a", "b", "text_a", "text_b"), compare, f"a {kind}, b {kind}", SLICE_BYTES).distinct()
 
 
 @F.pandas_udf(T.DoubleType())
@@ -203,7 +203,7 @@ def _across(shared: DataFrame, found: DataFrame, documents: DataFrame) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("class"), *columns], names=["class", "shingles", "signature"])
 
     texts = documents.select(F.col("doc_id").alias("class"), "text").join(written(rows.select("class").distinct()), "class", "left_semi")
-    full = in_batches(texts, sets, f"class {kind}, shingles binary, signature binary").dropDuplicates(["class"])
+    full = in_batches(texts, sets, f"class {kind}, shingles binary, signature binary", SLICE_BYTES).dropDuplicates(["class"])
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("own")
     placed = rows.join(full, "class").select("band", "class", "component", "shingles", "signature", "blocks", own)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
