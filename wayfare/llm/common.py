@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -55,12 +56,26 @@ def in_batches(frame: DataFrame, function, schema: str, most_bytes: int | None =
     """``frame.mapInArrow`` with this package's code at hand on the executors.
 
     With ``most_bytes``, batches are cut to about that size, which bounds what
-    ``function`` makes of one batch of texts.
+    ``function`` makes of one batch of texts. A worker that is done gives its free
+    memory back, as it waits for a minute beside the workers of the next stage.
     """
     ship(frame.sparkSession)
-    if most_bytes is None:
-        return frame.mapInArrow(function, schema)
-    return frame.mapInArrow(lambda batches: function(smaller(batches, most_bytes)), schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches if most_bytes is None else smaller(batches, most_bytes))
+        finally:
+            give_back()
+
+    return frame.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return free memory of Arrow and, where the C library can do so, of malloc to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def smaller(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
