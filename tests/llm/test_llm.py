@@ -183,6 +183,40 @@ def test_vector_links(spark):
     assert vector_links.vector_links(frame.limit(0)).count() == 0
 
 
+def _isolated_pairs(n, loose):
+    """``n`` vectors of 32 dimensions, then as many that make pairs of cosine 0.905 to 0.92 with them, then ``loose`` others."""
+    r = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    a = unit(r.standard_normal((n, 32)))
+    b = r.standard_normal((n, 32))
+    b = unit(b - (a * b).sum(axis=1)[:, None] * a)
+    c = r.uniform(0.905, 0.92, n)[:, None]
+    return np.concatenate([a, c * a + np.sqrt(1 - c * c) * b, r.standard_normal((loose, 32))])
+
+
+def test_isolated_pairs_are_found_however_long_the_codes(spark, monkeypatch):
+    monkeypatch.setattr(vector_links, "LEAF", 2)
+    n = 400
+    rows = [(i, v.tolist()) for i, v in enumerate(_isolated_pairs(n, 5200))]
+    got = {x.vec_id: x for x in vector_links.vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert sum(got[n + i].component_id == i for i in range(n)) >= 0.95 * n
+    assert vector_links.forests_for(10**9) > vector_links.forests_for(10**6) > vector_links.forests_for(1000)
+
+
+def test_audit_counts_a_linked_vector_once(spark):
+    n, r = 40, np.random.default_rng(9)
+    centre = r.standard_normal(32)
+    vectors = [*_isolated_pairs(n, 60), *(centre + 0.01 * r.standard_normal((500, 32)))]
+    nodes, _ = vector_links.nodes_of(spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>"))
+
+    def known(found):
+        links = [1 if i % n < found else 0 for i in range(2 * n)] + [0] * 60 + [499] * 500
+        return spark.createDataFrame([(i, 1, x) for i, x in enumerate(links)], "node long, copies long, n_links long")
+
+    assert vector_links.audit(known(n), nodes) == 1.0
+    assert vector_links.audit(known(n // 2), nodes) == pytest.approx(0.5)
+
+
 def test_components(spark):
     r = random.Random(2)
     pairs = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(180)] + [(400 + i, 401 + i) for i in range(40)] + [(500, i) for i in range(501, 560)] + [(7, 7), (None, 1)]

@@ -1,12 +1,13 @@
 """Near-duplicate vectors by NN-descent.
 
-Equal vectors form one node. A forest of random hyperplane codes gives every node
-a first list of neighbours; rounds of NN-descent then compare the neighbours of
-each node with one another and keep what is nearer, until a round brings no new
-link. A list that is full of links is saturated: there is more than it holds. Saturated
+Equal vectors form one node. Forests of random hyperplane codes, more of them the
+longer the codes, give every node a first list of neighbours; rounds of NN-descent
+then compare the neighbours of each node with one another and keep what is nearer,
+until a round brings no new link. A list that is full of links is saturated: there is more than it holds. Saturated
 components are compared in whole, block by block, and only counts leave a block;
 saturated nodes also search the other components until no link joins two. Links
-are confirmed in double precision. An audit against brute force tells the recall.
+are confirmed in double precision. An audit against brute force tells the recall;
+while it is short, forests of new planes go on.
 """
 
 from __future__ import annotations
@@ -26,14 +27,15 @@ COSINE = 0.9
 #: Half-precision similarities are off by less than this; what they let through is confirmed.
 MARGIN = 0.005
 NEIGHBOURS = 8
+#: Trees of one forest; ``forests_for`` tells how many forests a table needs.
 TREES = 12
 LEAF = 48
 BLOCK = 512
 #: Rows of many small groups that one call of Python compares.
 BUNDLE_ROWS = 6000
-MOST_ROUNDS = 8
-#: A round that adds a smaller share of links than this is the last, unless the audit asks for more.
+#: A round that adds a smaller share of links than this is the last of its forest.
 SETTLED = 0.002
+#: Nodes audited of each stratum with links; of those without, four times as many.
 AUDIT_ROWS = 256
 AUDIT_RECALL = 0.97
 _PAIR = "u long, v long, s float"
@@ -91,13 +93,18 @@ def nodes_of(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, members
 
 
-def _leaves(nodes: DataFrame, count: int, trees: int) -> DataFrame:
-    """tree, code, part and the columns of ``nodes``: one row per node and tree.
+def _bits(count: int) -> int:
+    return max(1, int(np.ceil(np.log2(max(2, count / LEAF)))))
 
-    A leaf is the nodes on the same sides of random hyperplanes. Larger leaves are
-    dealt out to parts of about LEAF nodes; the descent finds what that separates.
-    """
-    bits = max(1, int(np.ceil(np.log2(max(2, count / LEAF)))))
+
+def forests_for(count: int) -> int:
+    """Forests in which a pair of cosine ``COSINE`` shares a leaf with a chance of ``AUDIT_RECALL`` or more."""
+    chance = (1 - np.arccos(COSINE) / np.pi) ** _bits(count)
+    return int(np.ceil(np.log(1 - AUDIT_RECALL) / np.log1p(-chance) / TREES))
+
+
+def _coded(nodes: DataFrame, bits: int, trees: int, seed: int) -> DataFrame:
+    """tree, code and the columns of ``nodes``: one row per node and tree, the code being its sides of random hyperplanes."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -106,16 +113,25 @@ def _leaves(nodes: DataFrame, count: int, trees: int) -> DataFrame:
                 continue
             x = _stacked(batch.column("v").to_pylist())
             if x.shape[1] not in planes:
-                planes[x.shape[1]] = np.random.default_rng(97).standard_normal((x.shape[1], bits * trees)).astype(np.float32)
+                planes[x.shape[1]] = np.random.default_rng(97 + seed).standard_normal((x.shape[1], bits * trees)).astype(np.float32)
             sides = (x @ planes[x.shape[1]] > 0).reshape(len(x), trees, bits)
             codes = (sides * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(codes), pa.list_(pa.int64()))], names=[*batch.schema.names, "codes"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema)
     coded = written(in_batches(nodes, code, f"{schema}, codes array<long>"))
-    rows = coded.select(*nodes.columns, F.posexplode("codes").alias("tree", "code"))
+    return coded.select(*nodes.columns, F.posexplode("codes").alias("tree", "code"))
+
+
+def _leaves(nodes: DataFrame, count: int, trees: int, seed: int) -> DataFrame:
+    """tree, code, part and the columns of ``nodes``: one row per node and tree.
+
+    A leaf is the nodes of one code. Larger leaves are dealt out to parts of about
+    LEAF nodes, by another hash for each ``seed``.
+    """
+    rows = _coded(nodes, _bits(count), trees, seed)
     sizes = rows.groupBy("tree", "code").agg(F.ceil(F.count("*") / (1.5 * LEAF)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("id", "tree"), F.col("parts")).alias("part")
+    part = F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.col("parts")).alias("part")
     return rows.join(sizes, ["tree", "code"]).select("tree", "code", part, *nodes.columns)
 
 
@@ -166,9 +182,15 @@ def _kept(pairs: DataFrame, k: int) -> DataFrame:
     return in_batches(pairs, cut, _PAIR).groupBy("u").agg(best.alias("near"))
 
 
-def first_lists(nodes: DataFrame, count: int, k: int = NEIGHBOURS, trees: int = TREES) -> DataFrame:
-    leaves = _leaves(nodes.select("id", "v"), count, trees)
-    return _kept(_compared(leaves, ["tree", "code", "part"], count * trees, k), k)
+def with_forest(lists: DataFrame | None, nodes: DataFrame, count: int, seed: int, k: int = NEIGHBOURS) -> DataFrame:
+    """``lists``, if any, with what the leaves of one more forest bring."""
+    leaves = _leaves(nodes.select("id", "v"), count, TREES, seed)
+    found = _compared(leaves, ["tree", "code", "part"], count * TREES, k)
+    return _kept(found if lists is None else found.unionByName(_flat(lists)), k)
+
+
+def _flat(lists: DataFrame) -> DataFrame:
+    return lists.select("u", F.explode("near").alias("n")).select("u", "n.v", "n.s")
 
 
 def descend(lists: DataFrame, nodes: DataFrame, count: int, k: int = NEIGHBOURS) -> DataFrame:
@@ -184,8 +206,7 @@ def descend(lists: DataFrame, nodes: DataFrame, count: int, k: int = NEIGHBOURS)
     known = nodes.select("id", "v").join(floor, "id")
     around = both.join(degree, "u").select(F.col("u").alias("hub"), F.pmod(F.xxhash64("v"), F.col("parts")).alias("part"), F.col("v").alias("id")).join(known, "id")
     found = _compared(around, ["hub", "part"], 2 * k * count, k)
-    old = lists.select("u", F.explode("near").alias("n")).select("u", "n.v", "n.s")
-    return _kept(found.unionByName(old), k)
+    return _kept(found.unionByName(_flat(lists)), k)
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -203,7 +224,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _links(lists: DataFrame) -> DataFrame:
-    return lists.select("u", F.explode("near").alias("n")).select("u", "n.v", "n.s").filter(F.col("s") >= COSINE - MARGIN)
+    return _flat(lists).filter(F.col("s") >= COSINE - MARGIN)
 
 
 def _counts_in_whole(component: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -232,33 +253,55 @@ def _counts_in_whole(component: DataFrame, nodes: DataFrame) -> DataFrame:
     return spread.groupBy("component", "i", "j").applyInPandas(count, "id long, linked long").groupBy("id").agg(F.sum("linked").alias("linked"))
 
 
-def audit(result: DataFrame, embeddings: DataFrame, rows: int = AUDIT_ROWS) -> float:
-    """Share of the links of at most ``rows`` vectors (spread by hash) that ``result`` has, against brute force."""
-    ids = [r.vec_id for r in result.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).collect()]
-    picked = embeddings.filter(F.col("vec_id").isin(ids)).select("vec_id", "embedding").dropDuplicates(["vec_id"]).collect()
-    queries = {r.vec_id: np.array(r.embedding, float) for r in picked if r.embedding and None not in r.embedding}
+def audit(known: DataFrame, nodes: DataFrame, k: int = NEIGHBOURS, rows: int = AUDIT_ROWS) -> float:
+    """Mean share of its links that a linked node has in ``known`` (node, copies, n_links), against brute force.
+
+    Every linked node counts once, however many links it has. Nodes without a
+    link, with few and with k or more are sampled apart (by hash) and weighted by
+    how many there are; the smaller of the means of the nodes with few and with
+    many true links is returned, and 1 if no sampled node has a link. Ids that
+    several vectors bear are not sampled.
+    """
+    single = nodes.groupBy("id").agg(F.count("*").alias("n")).filter("n = 1").select(F.col("id").alias("node"))
+    others = F.col("n_links") - F.col("copies") + 1
+    strata = known.join(single, "node", "left_semi").select("node", others.alias("have"), F.when(others == 0, 0).when(others < k, 1).otherwise(2).alias("stratum"))
+    sizes = {r.stratum: r.n for r in strata.groupBy("stratum").agg(F.count("*").alias("n")).collect()}
+    weights, queries, have = {}, {}, {}
+    for stratum, size in sizes.items():
+        picked = strata.filter(F.col("stratum") == stratum).orderBy(F.xxhash64("node"), "node").limit(rows if stratum else 4 * rows)
+        for r in picked.join(nodes.select(F.col("id").alias("node"), "exact"), "node").collect():
+            queries[r.node], have[r.node] = bytes(r.exact), r.have
+            weights[r.node] = size / min(size, rows if stratum else 4 * rows)
+    if not queries:
+        return 1.0
+    ids = list(queries)
+    sent = nodes.sparkSession.sparkContext.broadcast([queries[i] for i in ids])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = dict.fromkeys(queries, 0)
-        with np.errstate(all="ignore"):
-            for batch in batches:
-                by_width: dict[int, list[np.ndarray]] = {}
-                for x in batch.column("embedding").to_pylist():
-                    if x and None not in x:
-                        by_width.setdefault(len(x), []).append(np.array(x, float))
-                for width, group in by_width.items():
-                    mine = [q for q in queries if len(queries[q]) == width]
-                    if mine:
-                        a, b = np.stack([queries[q] for q in mine]), np.stack(group)
-                        s = (a / np.linalg.norm(a, axis=1)[:, None]) @ (b / np.linalg.norm(b, axis=1)[:, None]).T
-                        for q, n in zip(mine, (s >= COSINE).sum(axis=1)):
-                            totals[q] += int(n)
-        yield pa.RecordBatch.from_pydict({"vec_id": pa.array(list(totals), pa.int64()), "n": pa.array(list(totals.values()), pa.int64())})
-
-    true = in_batches(embeddings.select("embedding"), scan, "vec_id long, n long").groupBy("vec_id").agg((F.sum("n") - 1).alias("n")).collect()
-    have = {r.vec_id: r.n_links for r in result.filter(F.col("vec_id").isin(ids)).select("vec_id", "n_links").collect()}
-    total = sum(max(0, r.n) for r in true)
-    return sum(min(max(0, r.n), have[r.vec_id]) for r in true) / total if total else 1.0
+        totals, widths = np.zeros(len(ids), np.int64), np.array(list(map(len, sent.value)))
+        asked = {w: np.stack([np.frombuffer(q) for q in sent.value if len(q) == w]) for w in set(widths.tolist())}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                vectors, copies = part.column("exact").to_pylist(), np.asarray(part.column("copies"))
+                lengths = np.array(list(map(len, vectors)))
+                for w, q in asked.items():
+                    if (mine := lengths == w).any():
+                        near = q @ np.stack([np.frombuffer(x) for x in vectors if len(x) == w]).T >= COSINE + 1e-9  # what rounding decides is not missed
+                        totals[widths == w] += near @ copies[mine]
+        yield pa.RecordBatch.from_pydict({"at": pa.array(range(len(ids)), pa.int64()), "n": pa.array(totals, pa.int64())})
+
+    true = in_batches(nodes.select("copies", "exact"), scan, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    own = {r.id: r.copies for r in nodes.filter(F.col("id").isin(ids)).select("id", "copies").collect()}
+    sums = {False: [0.0, 0.0], True: [0.0, 0.0]}
+    for r in true:
+        node, n = ids[r["at"]], r["n"] - own[ids[r["at"]]]
+        if n > 0:
+            total = sums[n >= k]
+            total[0] += weights[node] * min(n, have[node]) / n
+            total[1] += weights[node]
+    sent.unpersist()
+    return min((a / b for a, b in sums.values() if b), default=1.0)
 
 
 def vector_links(embeddings: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
@@ -273,25 +316,25 @@ def vector_links(embeddings: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     ship(embeddings.sparkSession)
     nodes, members = nodes_of(embeddings)
     count = nodes.count()
-    lists = written(first_lists(nodes, count, k))
-    recall, rounds, seen, result = 0.0, 0, -1, None
-    while rounds < MOST_ROUNDS and (result is None or recall < AUDIT_RECALL):
-        while rounds < MOST_ROUNDS:
-            lists = written(descend(lists, nodes, count, k))
-            rounds += 1
-            links = _links(lists).count()
-            if links <= seen * (1 + SETTLED):
-                break
-            seen = links
-        result = written(_finished(lists, nodes, members, count, k))
-        recall = audit(result, embeddings)
+    lists, recall, forests, known = None, 0.0, 0, None
+    while known is None or recall < AUDIT_RECALL:
+        for _ in range(1 if known is not None else forests_for(count)):
+            lists = written(with_forest(lists, nodes, count, forests, k))
+            forests += 1
         seen = -1
-    if result is None:
-        result = written(_finished(lists, nodes, members, count, k))
+        while (links := _links(lists).count()) > seen * (1 + SETTLED):
+            seen = links
+            lists = written(descend(lists, nodes, count, k))
+        known = written(_finished(lists, nodes, count, k))
+        recall = audit(known, nodes, k)
+    named = members.join(known.drop("copies"), "node", "left")
+    component = F.coalesce("component", "vec_id")
+    result = named.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
     return result.withColumn("audit_recall", F.lit(float(recall)))
 
 
-def _finished(lists: DataFrame, nodes: DataFrame, members: DataFrame, count: int, k: int) -> DataFrame:
+def _finished(lists: DataFrame, nodes: DataFrame, count: int, k: int) -> DataFrame:
+    """node, copies, n_links, component of every node."""
     links = written(_confirmed(_links(lists), nodes))
     ends = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     full = written(ends.groupBy("u").count().filter(F.col("count") >= k).select(F.col("u").alias("id")))
@@ -299,7 +342,7 @@ def _finished(lists: DataFrame, nodes: DataFrame, members: DataFrame, count: int
     # Saturated nodes may have links to other components that their lists had no room for.
     while not full.isEmpty():
         searched = nodes.join(full, "id").join(found.select(F.col("node").alias("id"), "component"), "id").select("id", "v", "component")
-        leaves = _leaves(searched, max(2, count), TREES)
+        leaves = _leaves(searched, max(2, count), TREES, 0)
         across = _compared(leaves, ["tree", "code", "part"], count, k).filter(F.col("s") >= COSINE - MARGIN)
         more = written(_confirmed(across, nodes))
         if more.isEmpty():
@@ -311,13 +354,10 @@ def _finished(lists: DataFrame, nodes: DataFrame, members: DataFrame, count: int
     weight = nodes.select(F.col("id").alias("v"), "copies")
     ends = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     single = ends.join(weight, "v").groupBy(F.col("u").alias("id")).agg(F.sum("copies").alias("listed"))
-    known = (
+    return (
         nodes.select("id", "copies")
         .join(single, "id", "left")
         .join(whole, "id", "left")
         .join(found.select(F.col("node").alias("id"), "component"), "id", "left")
-        .select(F.col("id").alias("node"), (F.coalesce("linked", "listed", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+        .select(F.col("id").alias("node"), "copies", (F.coalesce("linked", "listed", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
     )
-    named = members.join(known, "node", "left")
-    component = F.coalesce("component", "vec_id")
-    return named.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
