@@ -217,6 +217,25 @@ def test_audit_counts_a_linked_vector_once(spark):
     assert vector_links.audit(known(n // 2), nodes) == pytest.approx(0.5)
 
 
+def test_saturated_components_joined_by_few_links_are_one(spark):
+    r = np.random.default_rng(12)
+    a, b, off = np.zeros(48), np.zeros(48), np.zeros(48)
+    a[0], b[1], off[2] = 1, 1, 1
+    unit = lambda x: x / np.linalg.norm(x)
+    far = unit(np.cos(0.62) * a + np.sin(0.62) * b)  # two groups of near copies, not linked but for a pair
+    groups = [unit(c + 0.012 * r.standard_normal(48)) for c in (a, far) for _ in range(1500)]
+    x = unit(np.cos(0.09) * a + np.sin(0.09) * b)
+    y = unit(np.cos(0.53) * a + np.sin(0.53) * b)
+    vectors = [*groups, x, y]
+    m = np.stack(vectors)
+    linked = m @ m.T >= 0.9
+    assert not linked[:1500, 1500:3000].any() and linked[3000, 3001] and not linked[3000, 1500:3000].any() and not linked[3001, :1500].any()
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {v.vec_id: v for v in vector_links.vector_links(frame).collect()}
+    assert {v.component_id for v in got.values()} == {0}
+    assert all(got[i].n_links == linked[i].sum() - 1 for i in got)
+
+
 def test_components(spark):
     r = random.Random(2)
     pairs = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(180)] + [(400 + i, 401 + i) for i in range(40)] + [(500, i) for i in range(501, 560)] + [(7, 7), (None, 1)]

@@ -5,7 +5,7 @@ longer the codes, give every node a first list of neighbours; rounds of NN-desce
 then compare the neighbours of each node with one another and keep what is nearer,
 until a round brings no new link. A list that is full of links is saturated: there is more than it holds. Saturated
 components are compared in whole, block by block, and only counts leave a block;
-saturated nodes also search the other components until no link joins two. Links
+saturated nodes also search the other components, in leaves that are not cut, until no link joins two. Links
 are confirmed in double precision. An audit against brute force tells the recall;
 while it is short, forests of new planes go on.
 """
@@ -35,6 +35,8 @@ BLOCK = 512
 BUNDLE_ROWS = 6000
 #: A round that adds a smaller share of links than this is the last of its forest.
 SETTLED = 0.002
+#: Forests in a row that have to bring no link between saturated components, at least.
+QUIET = 2
 #: Nodes audited of each stratum with links; of those without, four times as many.
 AUDIT_ROWS = 256
 AUDIT_RECALL = 0.97
@@ -113,7 +115,7 @@ def _coded(nodes: DataFrame, bits: int, trees: int, seed: int) -> DataFrame:
                 continue
             x = _stacked(batch.column("v").to_pylist())
             if x.shape[1] not in planes:
-                planes[x.shape[1]] = np.random.default_rng(97 + seed).standard_normal((x.shape[1], bits * trees)).astype(np.float32)
+                planes[x.shape[1]] = np.random.default_rng([97, seed % (1 << 32)]).standard_normal((x.shape[1], bits * trees)).astype(np.float32)
             sides = (x @ planes[x.shape[1]] > 0).reshape(len(x), trees, bits)
             codes = (sides * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(codes), pa.list_(pa.int64()))], names=[*batch.schema.names, "codes"])
@@ -227,6 +229,33 @@ def _links(lists: DataFrame) -> DataFrame:
     return _flat(lists).filter(F.col("s") >= COSINE - MARGIN)
 
 
+def _across(searched: DataFrame, count: int, k: int, seed: int) -> DataFrame:
+    """Candidate links between nodes of different components among the ``count`` rows of ``searched`` (id, v, component).
+
+    No leaf of the forest ``seed`` is cut: its nodes go to blocks of about BLOCK, those
+    of a component of BLOCK nodes or more there to blocks of its own, and all blocks
+    meet but two of one component.
+    """
+    rows = _coded(searched, _bits(count), TREES, seed)
+    sizes = written(rows.groupBy("tree", "code", "component").agg(F.count("*").alias("n")))
+    large = F.col("n") >= BLOCK
+    leaf = sizes.groupBy("tree", "code").agg(F.count("*").alias("kinds"), F.sum(F.when(~large, F.col("n"))).alias("rest")).filter("kinds > 1")
+    placed = sizes.join(leaf, ["tree", "code"]).select(
+        "tree", "code", "component", F.when(large, F.col("component")).alias("owner"), F.ceil(F.when(large, F.col("n")).otherwise(F.col("rest")) / BLOCK).cast("int").alias("blocks")
+    )
+    block = F.xxhash64("owner", "part").alias("block")
+    parts = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part")
+    blocks = placed.select("tree", "code", "owner", "blocks").distinct().select("tree", "code", "owner", parts).select("tree", "code", "owner", block)
+    left, right = (blocks.select("tree", "code", F.col("owner").alias(f"{x}_owner"), F.col("block").alias(x)) for x in "ij")
+    apart = F.coalesce(F.col("i_owner") != F.col("j_owner"), F.lit(True))  # blocks of several components also meet themselves
+    pairs = written(left.join(right, ["tree", "code"]).filter((F.col("i") <= F.col("j")) & apart).select("tree", "code", "i", "j"))
+    sides = pairs.select("tree", "code", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    part = F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")).cast("int").alias("part")
+    dealt = rows.join(placed, ["tree", "code", "component"]).select("tree", "code", "id", "v", "component", "owner", part)
+    spread = dealt.select("tree", "code", "id", "v", "component", block).join(sides, ["tree", "code", "block"]).drop("block")
+    return _compared(spread, ["tree", "code", "i", "j"], pairs.count() * BLOCK, k).filter(F.col("s") >= COSINE - MARGIN)
+
+
 def _counts_in_whole(component: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, linked: how many vectors each node of ``component`` (node, component) is linked with there.
 
@@ -337,22 +366,28 @@ def _finished(lists: DataFrame, nodes: DataFrame, count: int, k: int) -> DataFra
     """node, copies, n_links, component of every node."""
     links = written(_confirmed(_links(lists), nodes))
     ends = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    full = written(ends.groupBy("u").count().filter(F.col("count") >= k).select(F.col("u").alias("id")))
+    full = written(_links(lists).groupBy("u").count().unionByName(ends.groupBy("u").count()).filter(F.col("count") >= k).select(F.col("u").alias("id")).distinct())
     found = written(components(links))
     # Saturated nodes may have links to other components that their lists had no room for.
-    while not full.isEmpty():
-        searched = nodes.join(full, "id").join(found.select(F.col("node").alias("id"), "component"), "id").select("id", "v", "component")
-        leaves = _leaves(searched, max(2, count), TREES, 0)
-        across = _compared(leaves, ["tree", "code", "part"], count, k).filter(F.col("s") >= COSINE - MARGIN)
-        more = written(_confirmed(across, nodes))
-        if more.isEmpty():
+    # They are searched by one new forest after the other, until as many as a link needs to be found bring none.
+    room, quiet, seed = full.count(), 0, 0
+    named = found.select(F.col("node").alias("id"), "component")
+    while quiet < max(QUIET, forests_for(room)):
+        searched = written(nodes.join(full, "id").join(named, "id", "left").select("id", "v", F.coalesce("component", "id").alias("component")))
+        if searched.select("component").distinct().limit(2).count() < 2:
             break
-        links = written(links.unionByName(more).distinct())
-        found = written(components(links))
+        seed -= 1
+        more = written(_confirmed(_across(searched, room, k, seed), nodes))
+        quiet += 1
+        if not more.isEmpty():
+            quiet = 0
+            links = written(links.unionByName(more).distinct())
+            found = written(components(links))
+            named = found.select(F.col("node").alias("id"), "component")
+    ends = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     saturated = found.join(full.select(F.col("id").alias("node")), "node").select("component").distinct()
     whole = _counts_in_whole(found.join(saturated, "component"), nodes)
     weight = nodes.select(F.col("id").alias("v"), "copies")
-    ends = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     single = ends.join(weight, "v").groupBy(F.col("u").alias("id")).agg(F.sum("copies").alias("listed"))
     return (
         nodes.select("id", "copies")
