@@ -485,6 +485,19 @@ def test_language(spark, documents, empty):
     assert {x.lang_pred for x in language.identify(documents, nothing).collect()} == {"und"}
 
 
+def test_a_few_labels_among_many_rows_are_all_learned(spark):
+    rows = [(i, "the cat sat on the mat", None) for i in range(3000)]
+    rows += [(3000 + i, "wer das liest ist gut", "de") for i in range(20)]
+    rows += [(4000 + i, f"one of them says {'abcdefghij'[i % 10]}", "en") for i in range(400)] + [(5000, "qui quae quod", "la")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, logs = language.learn(frame, 40)
+    assert names == ["de", "en", "la"]
+    slots, _ = language.trigrams("qui quae quod")
+    assert (logs[2][slots] > logs[0][slots]).all()
+    every = language.learn(frame.filter("lang = 'de'"), 1000)
+    assert np.allclose(np.exp(logs[0]) / np.exp(logs[0]).max(), np.exp(every[1][0]) / np.exp(every[1][0]).max())
+
+
 # URL lists
 
 

@@ -3,7 +3,7 @@
 Every document is taken as a mixture of languages; expectation-maximisation over
 its character trigrams estimates the proportions, and the set of languages is the
 one with the best likelihood less a penalty per language. Trigram counts per
-language are learned from a bounded sample of labelled rows.
+language are learned from its labelled rows, or from a sample where it has many.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from wayfare.llm.common import SLICE_BYTES, in_batches, without
 
+#: A language of up to so many labelled rows is learned from all of them, another from about so many.
 SAMPLE_ROWS = 40_000
 SLOTS = 1 << 17
 SMOOTHING = 0.1
@@ -52,13 +53,14 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities (language, slot) from about ``sample_rows`` rows of (doc_id, text, lang).
+    """Languages and log probabilities (language, slot) from the labelled rows of (doc_id, text, lang).
 
-    At most ``SLOTS`` counts per language reach the driver. Rows without text or
-    language teach nothing.
+    A language of at most ``sample_rows`` rows gives all of them, another one about
+    so many, picked by hash. At most ``SLOTS`` counts per language reach the driver.
+    Rows without text or language teach nothing.
     """
     labelled = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    step = max(1, documents.count() // sample_rows)
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -75,7 +77,7 @@ def learn(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[st
                 names=["lang", "slot", "n"],
             )
 
-    sampled = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("lang", "text")
+    sampled = labelled.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64("doc_id", "text"), F.col("rows")) < sample_rows).select("lang", "text")
     sums = in_batches(sampled, gather, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     packed = sums.groupBy("lang").agg(F.collect_list(F.struct("slot", "n")).alias("cells")).orderBy("lang").collect()
     counts = np.zeros((len(packed), SLOTS))
