@@ -363,6 +363,28 @@ def test_main_text(spark):
     assert html_text.main_text(frame.limit(0)).count() == 0
 
 
+def test_headline_and_lead_beside_sections_stay_and_other_templates_keep_their_article(spark):
+    body = "<section class=part><p>" + "part of the text " * 30 + "</p></section>"
+    sentence = "A long sentence of the other template. " * 20
+    pages = [
+        *(f"<body><div class=top><article><h1>Head {i}</h1><p>Lead {i}</p>{body * 3}<ul><li>Item</ul></article></div><p><a href=x>All the news of today</a>" for i in range(4)),
+        *(f"<body><div class=box><h1>Head {i}</h1><div class=a><p>{'first words ' * 40}</div><div class=a><p>more</div></div><div class=rest><a href=y>Go to the other pages</a></div>" for i in range(2)),
+        f"<body><article><section class=part><p>scrap</p></section></article><td class=main><p>{sentence}</td>",
+    ]
+    hosts = ["a.example"] * 4 + ["b.example"] * 2 + ["a.example"]
+    frame = spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, (h, p) in enumerate(zip(hosts, pages))], "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n\n") for r in html_text.main_text(frame).collect()}
+    for i in range(4):
+        assert got[i] == [f"Head {i}", f"Lead {i}", *[("part of the text " * 30).strip()] * 3, "Item"]
+    assert got[4] == ["Head 0", ("first words " * 40).strip(), "more"]
+    assert got[6] == [sentence.strip()]
+
+
+def test_all_paths_of_a_page_vote():
+    page = "<body>" + "".join(f"<div class={c}><p>{'word ' * n}</div>" for c, n in zip("abcdef", range(9, 3, -1)))
+    assert len(html_text.scored_paths(page)) > 5
+
+
 # Benchmark passages
 
 

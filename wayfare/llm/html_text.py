@@ -2,7 +2,9 @@
 
 Each page scores its containers; Spark adds the scores up per host and
 generalised tag-class path; each page is then read again along its host's best
-path. What a page is scored and read with is a small scanner over its tags.
+path and what surrounds it of the same article, or along its own best path where
+the host's holds a scrap of it. What a page is scored and read with is a small
+scanner over its tags.
 """
 
 from __future__ import annotations
@@ -19,6 +21,10 @@ from wayfare.llm.common import in_batches, written
 
 #: Bound on the exception rows that are broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 20_000
+#: A host's path that holds less than this share of the text of the page's own best path is not the page's.
+LEAST_COVER = 0.25
+#: Text directly in the body counts as part of the article from this share of it on.
+BODY_SHARE = 0.1
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg)\b(?P<rawattrs>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -45,11 +51,13 @@ _CONTAINERS = frozenset(["", *"html body main article section div td table tbody
 
 
 class Node:
-    __slots__ = ("tag", "path", "dropped", "parent", "own", "linked", "score")
+    """An element; ``at`` is its number in order of start tags, and the next ``size`` numbers are those below it and its own."""
 
-    def __init__(self, tag: str, path: str, dropped: bool, parent: Node | None):
-        self.tag, self.path, self.dropped, self.parent = tag, path, dropped, parent
-        self.own = self.linked = self.score = 0
+    __slots__ = ("tag", "path", "dropped", "parent", "at", "size", "own", "linked", "score", "direct", "kept", "links")
+
+    def __init__(self, tag: str, path: str, dropped: bool, parent: Node | None, at: int):
+        self.tag, self.path, self.dropped, self.parent, self.at, self.size = tag, path, dropped, parent, at, 1
+        self.own = self.linked = self.score = self.direct = self.kept = self.links = 0
 
 
 def _container(node: Node) -> Node:
@@ -82,17 +90,17 @@ def _is_dropped(tag: str, attributes: dict[str, str], inside_article: bool) -> b
     return bool(_BOILERPLATE.search(attributes.get("class", "")) or _BOILERPLATE.search(attributes.get("id", "")))
 
 
-def read_page(source: str, along: str | None = None) -> tuple[list[Node], list[str]]:
-    """The page's containers, and the blocks below the containers whose path is ``along``.
+def read_page(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
+    """The page's elements, and its blocks outside dropped elements, as they stand, with the number of their element.
 
     Linear in the page. Unclosed tags are closed by what follows them: a block
     closes an open paragraph, an end tag closes all up to its start tag.
     """
-    root = Node("", "", False, None)
+    root = Node("", "", False, None, 0)
     stack, nodes = [root], [root]
-    blocks: list[str] = []
+    blocks: list[tuple[int, str]] = []
     pieces: list[str] = []
-    link, taken = 0, int(along == "")  # open <a>, open containers on the path
+    link = 0  # open <a>
 
     def flush() -> None:
         if not pieces:
@@ -102,18 +110,12 @@ def read_page(source: str, along: str | None = None) -> tuple[list[Node], list[s
         top = stack[-1]
         if not text or top.dropped:
             return
-        if taken and (block := " ".join(html.unescape(text).split())):
-            blocks.append(block)
+        blocks.append((top.at, text))
         node = _container(top)
+        node.direct += len(text)
         if top.tag not in ("ul", "ol", "li"):  # lists are as often menus as text
             node.own += len(text)
 
-    def pop() -> None:
-        nonlocal taken
-        gone = stack.pop()
-        if along is not None and gone.path == along and not gone.dropped:
-            taken -= 1
-
     at = 0
     for m in _TOKEN.finditer(source):
         if m.start() > at:
@@ -138,55 +140,113 @@ def read_page(source: str, along: str | None = None) -> tuple[list[Node], list[s
         if m["end"]:
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
             if depth and not (tag == "p" and any(n.tag in _CONTAINERS for n in stack[depth + 1 :])):
-                while len(stack) > depth:
-                    pop()
+                del stack[depth:]
             continue
         if tag in _VOID:
             continue
-        if tag in _CLOSES_P and stack[-1].tag == "p":
-            pop()
-        elif tag == "li" and stack[-1].tag == "li":
-            pop()
+        if stack[-1].tag == "p" if tag in _CLOSES_P else tag == "li" and stack[-1].tag == "li":
+            stack.pop()
         attributes = _attributes(m["attrs"])
         top = stack[-1]
         inside = any(n.tag in ("article", "main") for n in stack)
-        node = Node(tag, f"{top.path}/{_generalised(tag, attributes)}" if tag in _CONTAINERS else top.path + "/" + tag, top.dropped or _is_dropped(tag, attributes, inside), top)
+        node = Node(tag, f"{top.path}/{_generalised(tag, attributes)}" if tag in _CONTAINERS else top.path + "/" + tag, top.dropped or _is_dropped(tag, attributes, inside), top, len(nodes))
         nodes.append(node)
         stack.append(node)
-        if along is not None and node.path == along and not node.dropped:
-            taken += 1
     if at < len(source) and not stack[-1].dropped:
         pieces.append(source[at:])
     flush()
     return nodes, blocks
 
 
-def scored_paths(source: str, most: int = 3) -> list[tuple[str, int]]:
-    """The best container paths of a page with whole-number scores.
-
-    A container has the text of its own blocks in full and a third of what its
-    child containers have, less what stands in links.
-    """
-    nodes, _ = read_page(source)
+def _scored(nodes: list[Node]) -> list[tuple[str, int]]:
     totals: dict[str, int] = {}
     for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.size += node.size
         if node.dropped or node.tag not in _CONTAINERS:
             continue
         score = 3 * max(0, node.own - 2 * node.linked) + node.score
+        node.kept += node.direct
+        node.links += node.linked
         if node.parent is not None:
-            _container(node.parent).score += score // 3
+            above = _container(node.parent)
+            above.score += score // 3
+            above.kept += node.kept
+            above.links += node.links
         if score:
             totals[node.path] = totals.get(node.path, 0) + score
-    return sorted(totals.items(), key=lambda x: (-x[1], x[0]))[:most]
+    return sorted(totals.items(), key=lambda x: (-x[1], x[0]))
+
+
+def scored_paths(source: str) -> list[tuple[str, int]]:
+    """The container paths of a page with whole-number scores, best first.
+
+    A container has the text of its own blocks in full and a third of what its
+    child containers have, less what stands in links.
+    """
+    return _scored(read_page(source)[0])
+
+
+def _article(nodes: list[Node], path: str) -> list[Node]:
+    """The containers to read for ``path``: those that bear it, or one that holds them all and more of the same article.
+
+    That is the nearest ``article`` around them, else the nearest ``main``, unless
+    what it has besides is mostly links. Else containers are climbed as long as
+    they have text of their own besides (a headline, a lead), less in other
+    children than on the path, and not mostly links; the body only where its own
+    text is no trifle.
+    """
+    found: list[Node] = []
+    for node in nodes:
+        if node.path == path and not node.dropped and not (found and node.at < found[-1].at + found[-1].size):
+            found.append(node)
+    if not found:
+        return []
+    covered, linked, last = sum(n.kept for n in found), sum(n.links for n in found), found[-1].at
+
+    def around(node: Node) -> Iterator[Node]:
+        while node.parent is not None:
+            node = _container(node.parent)
+            if node.at + node.size > last:
+                yield node
+
+    def prose(node: Node) -> bool:
+        return 2 * (node.links - linked) <= node.kept - covered
+
+    if any(n.tag in ("article", "main") for n in found):
+        return found
+    above = list(around(found[0]))
+    named = next((n for n in above if n.tag == "article"), None) or next((n for n in above if n.tag == "main" and prose(n)), None)
+    if named is not None:
+        return [named]
+    for node in above:
+        own, least = node.direct - 2 * node.linked, BODY_SHARE * covered if node.tag in ("", "html", "body") else 0
+        if own <= least or node.kept - covered - node.direct > covered or not prose(node):
+            break
+        found, covered, linked = [node], node.kept, node.links
+    return found
+
+
+def _text(nodes: list[Node], blocks: list[tuple[int, str]], path: str) -> str:
+    out, spans = [], [(n.at, n.at + n.size) for n in _article(nodes, path)]
+    for at, raw in blocks:
+        while spans and at >= spans[0][1]:
+            spans.pop(0)
+        if spans and at >= spans[0][0] and (block := " ".join(html.unescape(raw).split())):
+            out.append(block)
+    return "\n\n".join(out)
 
 
 def extract(source: str, path: str | None) -> str:
-    """Text along ``path``; along the page's own best path where that one is not there."""
-    blocks = read_page(source, path)[1] if path is not None else []
-    if not blocks:
-        own = scored_paths(source, 1)
-        blocks = read_page(source, own[0][0])[1] if own else []
-    return "\n\n".join(blocks)
+    """Text along ``path``; along the page's own best path where that one holds little of it or is not there."""
+    nodes, blocks = read_page(source)
+    own = _scored(nodes)
+    text = _text(nodes, blocks, path) if path is not None else ""
+    if own and own[0][0] != path:
+        best = _text(nodes, blocks, own[0][0])
+        if len(text) < LEAST_COVER * len(best):
+            return best
+    return text
 
 
 def _host():
