@@ -157,6 +157,17 @@ def test_field_adds_what_the_patterns_miss_and_redaction_keeps_the_rest(field):
     assert pii.added_spans(field, ["plain words only", ""], [[], []]) == [[], []]
 
 
+def test_cues_count_in_any_case_and_bare(field):
+    def found(text):
+        return [(text[a:b], k) for a, b, k in pii.added_spans(field, [text], [pii.base_spans(text)])[0]]
+
+    assert found("please write jo [AT] mail [DOT] org soon") == [("jo [AT] mail [DOT] org", "email")]
+    assert found("please write jo(AT)mail(DOT)org soon") == [("jo(AT)mail(DOT)org", "email")]
+    assert found("please write jo at mail dot org soon") == [("jo at mail dot org", "email")]
+    assert found("we looked at this and at the dot on the map") == []
+    assert pii_crf.shape("a" * 300 + "7") == "a9"
+
+
 # Vectors
 
 

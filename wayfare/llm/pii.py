@@ -1,7 +1,7 @@
 """Personal data: base patterns plus spans that a conditional random field adds.
 
 The field reads the neighbourhoods of words that hold a digit, an '@' or a
-bracketed 'at' or 'dot'; every other word is outside by definition. A span it
+bracketed 'at' or 'dot', or are one of these two, in any case; every other word is outside by definition. A span it
 finds is added where no base span overlaps it and its digits fit its kind.
 """
 
@@ -20,7 +20,7 @@ from wayfare.llm.common import in_batches, without
 from wayfare.llm.pii_rules import KINDS, base_spans, luhn, valid_ip
 
 CONTEXT = 2
-_CUE = re.compile(r"[0-9@]+|[\[(](?:at|dot)[\])]")
+_CUE = re.compile(r"[0-9@]+|[\[(](?i:at|dot)[\])]|(?<!\S)(?i:at|dot)(?!\S)")
 _SPACE = re.compile(r"\s")
 _WORD = re.compile(r"\S+")
 _DIGIT = re.compile(r"[0-9]")
@@ -68,7 +68,7 @@ def _fits(kind: str, text: str) -> bool:
         return bool(quad) and valid_ip(quad[1])
     if kind == "phone":
         return 7 <= len(digits) <= 15 and not re.search(r"[A-Za-z]", text)
-    return bool(re.search(r"@|\bat\b", text)) and bool(re.search(r"\.|\bdot\b", text))
+    return bool(re.search(r"@|\bat\b", text, re.I)) and bool(re.search(r"\.|\bdot\b", text, re.I))
 
 
 def added_spans(field: pii_crf.Field, texts: list[str], base: list[list[tuple[int, int, str]]]) -> list[list[tuple[int, int, str]]]:

@@ -19,15 +19,16 @@ from wayfare.llm.pii_rules import KINDS, luhn
 
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 #: Words that say what follows; their features carry the word itself.
-CUES = frozenset("at dot phone tel call mobile fax email mail ip host card visa payment order no ref version date".split())
+CUES = frozenset("at dot phone tel call mobile fax email mail ip host card visa payment order no ref version date com org net".split())
 _RUN = re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]")
+_SPELT = re.compile(r"[\[(](?:at|dot)[\])]|^(?:at|dot)$", re.I)
 _EDGE = "".join(map(chr, (*range(33, 48), *range(58, 64), 91, 93, 94, 95, 96, 123, 124, 125, 126)))
 
 
 def shape(word: str) -> str:
     """Letters and digits become classes; digit runs keep their length up to 20."""
     parts = []
-    for run in _RUN.findall(word[:200]):
+    for run in _RUN.findall(word):
         c = run[0]
         if c.isdigit():
             parts.append("9" * min(len(run), 20))
@@ -41,6 +42,7 @@ def shape(word: str) -> str:
 
 
 def features(word: str) -> list[str]:
+    word = _SPELT.sub(lambda m: m[0].lower(), word)
     bare = word.strip(_EDGE)
     digits = "".join(re.findall(r"[0-9]", word))
     got = ["bias", f"s={shape(bare)}", f"n={min(len(digits), 20)}", f"first={shape(word[:1])}", f"last={shape(word[-1:])}"]
@@ -228,7 +230,10 @@ def labelled_table(rows: int = 600, seed: int = 11) -> list[tuple[list[str], lis
     def email() -> list[str]:
         name = r.choice((word, word))().strip(".,%#!").lower() + r.choice(("", f".{num(2)}", f"_{num(1)}"))
         host, top = word().strip(".,%#!").lower(), r.choice(("com", "org", "net"))
-        return r.choice(([f"{name}@{host}.{top}"], [f"<{name}@{host}.{top}>"], [name, "[at]", host, "[dot]", top], [name, "(at)", f"{host}.{top}"], [f"{name}[at]{host}[dot]{top}"]))
+        return r.choice(
+            ([f"{name}@{host}.{top}"], [f"<{name}@{host}.{top}>"], [name, "[at]", host, "[dot]", top], [name, "(at)", f"{host}.{top}"], [name, "(at)", host, "(dot)", top],
+             [f"{name}[at]{host}[dot]{top}"], [f"{name}(at){host}(dot){top}"], *[[name, "at", host, "dot", top]] * 3)
+        )
 
     def phone() -> list[str]:
         return r.choice(
@@ -239,7 +244,8 @@ def labelled_table(rows: int = 600, seed: int = 11) -> list[tuple[list[str], lis
         return r.choice(
             ([num(r.randint(1, 8))], [card_digits(False)], [f"{num(4)}-{r.randint(10, 12)}-{r.randint(10, 28)}"], [f"${num(3)}.{num(2)}"], [f"{num(1)}.{num(1)}.{num(1)}"], [f"v{num(1)}.{num(2)}"],
              ["".join(r.choice("0123456789abcdef") for _ in range(r.randint(12, 32)))], [f"password={''.join(r.choice('0123456789abcdef') for _ in range(18))}"],
-             ["AKIA" + "".join(r.choice("ABCDEFGHJKLMNPQRSTUVXYZ0123456789") for _ in range(16))], [f"#{num(6)}"], [f"{num(2)}:{num(2)}"], [num(4)], [f"{num(2)}%"], [f"{num(3)}.{num(3)}.{num(3)}.{num(3)}9"], ["@" + word().strip(".,%#!").lower()], [num(r.randint(20, 30))])
+             ["AKIA" + "".join(r.choice("ABCDEFGHJKLMNPQRSTUVXYZ0123456789") for _ in range(16))], [f"#{num(6)}"], [f"{num(2)}:{num(2)}"], [num(4)], [f"{num(2)}%"], [f"{num(3)}.{num(3)}.{num(3)}.{num(3)}9"], ["@" + word().strip(".,%#!").lower()], [num(r.randint(20, 30))],
+             [word(), "at", word()], ["at", num(2)], [word(), "at", word(), word()], ["the", "dot", word()], ["at", "the", "dot", word()])
         )
 
     cue = {"email": ("email", "mail"), "ip": ("ip", "host"), "card": ("card", "visa"), "phone": ("tel", "phone", "call")}
