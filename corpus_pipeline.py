@@ -38,10 +38,23 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id; rows without id stay."""
-    kept = near_duplicates.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    single = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    """One document of each group of near-duplicates, that of the smallest id.
+
+    Of equal rows one stays. Where an id is NULL or different rows bear it, rows are
+    linked and dropped by keys of their own, in the order of id, text and the rest.
+    """
+    rest = F.xxhash64(F.to_json(F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")))))
+    marked = docs.select("*", F.md5(F.col("text").cast("binary")).alias("_text"), rest.alias("_rest"))
+    rows = written(marked.select("doc_id", "_text", "_rest").distinct())
+    if rows.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        kept = near_duplicates.near_duplicates(docs).filter("kept").select("doc_id").distinct()
+        return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    order = F.col("doc_id").asc_nulls_last(), F.col("_text"), F.col("_rest")
+    keys = written(rows.orderBy(*order).select(F.monotonically_increasing_id().alias("_key"), *(F.col(c).alias(f"_of_{c}") for c in rows.columns)))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in rows.columns]
+    keyed = written(marked.join(keys, same).select(*docs.columns, "_key"))
+    kept = near_duplicates.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

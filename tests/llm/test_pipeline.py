@@ -72,3 +72,11 @@ def test_edge_rows(spark):
             part = written(stage(spark, part, SF_DIR))
         assert part.count() in (0, 1, 2)
         assert {(r.score, r.n_words) for r in part.collect()} <= {("own", 7)}
+
+
+def test_rows_of_one_id_and_rows_without_id_are_documents_of_their_own(spark):
+    one, two, three, four = ("".join(f"{w}{i} " for i in range(30)) for w in "abcd")
+    rows = [(1, one, "x"), (1, two, "x"), (2, one, "x"), (None, three, "x"), (None, three, "x"), (None, three, "y"), (None, four, "x"), (7, four, "x"), (8, "", "x"), (3, two + "z", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF_DIR).collect())
+    assert got == sorted([("1", one), ("1", two), ("None", three), ("7", four), ("8", "")])
