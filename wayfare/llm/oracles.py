@@ -89,4 +89,78 @@ SELECT c.page_id, c.url, c.host, c.fetched_at, f.page_id IS NOT NULL AS blocked,
 FROM captured c LEFT JOIN first_hits f USING (page_id)
 """
 
-ORACLES = {"op8_mixing": MIXING, "op10_url_filters": URL_FILTERS}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+# crc32 of the id as text, bit by bit; SQL has no function for it.
+_CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, c: list_reduce(list_prepend(xor(crc, c), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+
+def _leaf_text(text: str) -> str:
+    fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(concat(" + ", ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + "))"
+
+
+def _merkle_levels(name: str, levels: int) -> str:
+    """CTEs from the nodes ``{name}0 (tree, place, digest)`` up: siblings of each level, then its parents; and the last nodes."""
+    out = []
+    for k in range(levels):
+        run = "OVER (PARTITION BY tree, place // 16 ORDER BY place ROWS BETWEEN"
+        out.append(f"""{name}s{k} AS (
+  SELECT tree, place, coalesce(string_agg(digest, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lhs,
+         coalesce(string_agg(digest, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rhs
+  FROM {name}{k} WHERE tree IN (SELECT tree FROM {name}{k} GROUP BY tree HAVING count(*) > 1)
+), {name}{k + 1} AS (
+  SELECT tree, place // 16 AS place, sha256(string_agg(digest, '' ORDER BY place)) AS digest
+  FROM {name}{k} WHERE tree IN (SELECT tree FROM {name}{k} GROUP BY tree HAVING count(*) > 1) GROUP BY tree, place // 16
+)""")
+    last = " UNION ALL ".join(f"SELECT tree, max(digest) AS digest FROM {name}{k} GROUP BY tree HAVING count(*) = 1" for k in range(levels + 1))
+    return ",\n".join(out) + f",\n{name}_roots AS ({last})"
+
+
+_ROW_LEVELS, _SOURCE_LEVELS = 6, 4
+_STEPS = [(f"a{k}", f"n1s{k}", "r.tree", f"r.place // {16**k}") for k in range(_ROW_LEVELS)]
+_STEPS += [(f"b{k}", f"n2s{k}", "0", f"r.tree // {16**k}") for k in range(_SOURCE_LEVELS)]
+
+
+def _merkle_folds() -> str:
+    """One CTE a step, as a nested expression would double at each."""
+    out, before = [], "told_rows"
+    for k, (name, siblings, tree, place) in enumerate(_STEPS):
+        out.append(f"""f{k} AS (
+  SELECT r.* REPLACE (CASE WHEN s.tree IS NULL THEN r.node ELSE sha256(s.lhs || r.node || s.rhs) END AS node,
+                      CASE WHEN s.tree IS NULL THEN r.proof ELSE r.proof || s.lhs || s.rhs END AS proof)
+  FROM {before} r LEFT JOIN {siblings} s ON s.tree = {tree} AND s.place = {place}
+)""")
+        before = f"f{k}"
+    return ",\n".join(out)
+
+
+MERKLE = f"""
+WITH sources AS (
+  SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM documents)
+), leaves AS (
+  SELECT doc_id, source, {_leaf_text("text")} AS leaf,
+         CASE WHEN {_CRC32} % 5 = 0 THEN {_leaf_text(f"translate(text, '{_UPPER}', '{_LOWER}')")} END AS told
+  FROM documents
+), placed AS (
+  SELECT doc_id, tree, leaf, coalesce(told, leaf) AS told, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place
+  FROM leaves JOIN sources ON leaves.source IS NOT DISTINCT FROM sources.source
+), n10 AS (
+  SELECT tree, place, leaf AS digest FROM placed
+),
+{_merkle_levels("n1", _ROW_LEVELS)},
+n20 AS (
+  SELECT 0 AS tree, tree AS place, digest FROM n1_roots
+),
+{_merkle_levels("n2", _SOURCE_LEVELS)},
+told_rows AS (
+  SELECT doc_id, tree, place, leaf, told AS node, '' AS proof FROM placed
+),
+{_merkle_folds()}
+SELECT f.doc_id, f.leaf, s.digest AS subroot, t.digest AS root, sha256(f.proof) AS proof_sha256, f.node AS folded_root, f.node = t.digest AS verified
+FROM f{len(_STEPS) - 1} f JOIN n1_roots s ON s.tree = f.tree CROSS JOIN n2_roots t
+"""
+
+ORACLES = {"op8_mixing": MIXING, "op10_url_filters": URL_FILTERS, "op11_merkle_manifest": MERKLE}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import decontaminate, html_text, katz, language, mixing, near_duplicates, pii, token_counts, url_filters, vector_links
+from wayfare.llm import decontaminate, html_text, katz, language, merkle, mixing, near_duplicates, packing, periodic_runs, pii, token_counts, url_filters, vector_links
 from wayfare.llm.common import table
 
 
@@ -93,6 +94,23 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "host", "fetched_at", "blocked", "n_entries", "first_kind", "first_value", "first_since")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    told = F.when(tampered, merkle.leaf_of([lowered if c == "text" else F.col(c) for c in merkle.FIELDS]))
+    return merkle.manifest(documents, told)
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), code).drop("collapsed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -106,5 +124,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixing,
         op9_language,
         op10_url_filters,
+        op11_merkle_manifest,
+        op12_packing,
+        op13_periodic_runs,
     )
 }
