@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfare.operators.daily import write_days
+from wayfare.session import use_checkpoint_dir
+from wayfare.sources.days import DaySettings
 from wayfare.sources.schemas import LEXICON, TABLES
 from wayfare.sources.tables import Tables, conform
 
@@ -58,6 +65,16 @@ def load(spark: SparkSession, sf_dir: str, with_banners: bool = False) -> Tables
     return Tables(**{name: conform(df, TABLES[name]) for name, df in tables.items()})
 
 
+def load_by_day(spark: SparkSession, sf_dir: str, settings: DaySettings, detailed: bool = False) -> Tables:
+    """The journey tables with their events stored by day, in two steps that overlap, and no events."""
+    tables = load(spark, sf_dir)
+    use_checkpoint_dir(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/days-{uuid.uuid4().hex}"
+    write_days(tables, root, dt.date(2023, 12, 30), dt.date(2024, 1, 20), settings, detailed)
+    days = write_days(tables, root, dt.date(2024, 1, 20), dt.date(2024, 3, 1), settings, detailed)
+    return replace(tables, user_event=None, days=days)
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.schema(COLUMNS[table]).parquet(f"{sf_dir}/{table}.parquet")
 

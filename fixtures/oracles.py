@@ -354,6 +354,17 @@ paged AS (
 )"""
 
 
+# Reports that are also made from tables stored by day, with the same result.
+BY_DAY = [
+    "user_journey",
+    "user_journey_detailed",
+    "journey_after_event",
+    "popular_interactions",
+    "page_visits",
+    "funnel_stats_by_funnel_session_category",
+]
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
         "events_lookback": f"""{_with()}
@@ -486,4 +497,5 @@ starts AS (SELECT DISTINCT owner_id, session_number, session_start FROM base)
     names = ["funnel", "category", "session", "funnel_session", "screen", "funnel_session_category"]
     for name, keys in zip(names, _SETS, strict=True):
         sql[f"funnel_stats_by_{name}"] = _with(_journeys(), _FILLED) + _stats(keys)
+    sql |= {f"{name}_by_day": sql[name] for name in BY_DAY}
     return sql

@@ -23,6 +23,7 @@ from wayfare.operators.pages import most_visited
 from wayfare.operators.visits import active_visits, session_bounds
 from wayfare.plans import analyses, journeys
 from wayfare.plans.feedback import feedback_report
+from wayfare.sources.days import DaySettings
 from wayfare.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +39,13 @@ def _tables(query: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: query(adaptors.load(spark, sf_dir))
 
 
+def _by_day(query: Callable[[Tables, JourneyOptions], DataFrame], options: JourneyOptions, detailed: bool = False) -> Query:
+    """A report on the tables stored by day; it takes the same SQL as the one on events."""
+    options = replace(options, **PROFILE)
+    settings = DaySettings(options.page_rule, options.horizon_hours, options.gap_cap_seconds, options.slice_seconds)
+    return lambda spark, sf_dir: query(adaptors.load_by_day(spark, sf_dir, settings, detailed), options)
+
+
 def _banners(query: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: query(adaptors.load(spark, sf_dir, with_banners=True))
 
@@ -112,8 +120,8 @@ def _gaps(t: Tables) -> DataFrame:
 # --- journeys ---------------------------------------------------------------
 
 
-def _detailed(t: Tables) -> DataFrame:
-    found = journeys.user_journey_detailed(t, _profile(journeys.DETAILED))
+def _detailed(t: Tables, options: JourneyOptions | None = None) -> DataFrame:
+    found = journeys.user_journey_detailed(t, options or _profile(journeys.DETAILED))
     lines = F.transform(
         "page_info_array",
         lambda i: F.concat_ws(
@@ -237,5 +245,13 @@ def queries() -> dict[str, Query]:
         "empty_rows": _sessions(lambda t: analyses.other_sessions(t, OPTIONS, empty=True)),
         "single_session_converted": _sessions(lambda t: analyses.single_session_report(t, RECENT)),
         "chat_ending_counts": _tables(lambda t: analyses.chat_ending_report(t, OPTIONS)),
+        "user_journey_by_day": _by_day(journeys.user_journey, journeys.JOURNEY),
+        "user_journey_detailed_by_day": _by_day(_detailed, journeys.DETAILED, detailed=True),
+        "journey_after_event_by_day": _by_day(journeys.journey_after_event, journeys.AFTER_EVENT),
+        "popular_interactions_by_day": _by_day(analyses.popular_interaction_report, journeys.JOURNEY),
+        "page_visits_by_day": _by_day(analyses.page_visit_report, journeys.JOURNEY),
+        "funnel_stats_by_funnel_session_category_by_day": _by_day(
+            lambda t, options: analyses.conversion_report(t, "funnel_session_category", options), journeys.JOURNEY
+        ),
     }
     return found

@@ -77,16 +77,26 @@ def product_time(events: DataFrame, gap_cap_seconds: int = 900, slice_seconds: i
 
     Users without such a gap have no row.
     """
+    return joined_presence(presence(events, gap_cap_seconds, slice_seconds), gap_cap_seconds)
+
+
+def presence(events: DataFrame, gap_cap_seconds: int = 900, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """``user_id, slice, first_created, last_created, spent``: what product time needs of a slice."""
     cap = seconds_interval(gap_cap_seconds)
     inside = W.partitionBy("user_id", "slice").orderBy("created")
     rows = _by_slice(events.select("user_id", "created"), slice_seconds).withColumn(
         "gap", F.col("created") - F.lag("created").over(inside)
     )
-    slices = rows.groupBy("user_id", "slice").agg(
+    return rows.groupBy("user_id", "slice").agg(
         F.min("created").alias("first_created"),
         F.max("created").alias("last_created"),
         F.sum(F.when(F.col("gap") <= cap, F.col("gap"))).alias("spent"),
     )
+
+
+def joined_presence(slices: DataFrame, gap_cap_seconds: int = 900) -> DataFrame:
+    """``user_id, product_time`` from the slices of ``presence``, whichever days they come from."""
+    cap = seconds_interval(gap_cap_seconds)
     in_order = W.partitionBy("user_id").orderBy("slice")
     joints = slices.select(
         "user_id", "spent", (F.col("first_created") - F.lag("last_created").over(in_order)).alias("joint")

@@ -33,9 +33,9 @@ from wayfare.functions.references import (
     visit_key,
 )
 from wayfare.functions.times import SLICE_SECONDS, VISIT_SLICE_SECONDS, AsOf, since, slice_of
-from wayfare.operators.gaps import early_events, product_time
+from wayfare.operators.gaps import early_events, joined_presence, product_time
 from wayfare.operators.keys import SESSION, VISIT
-from wayfare.operators.visits import active_visits, number_visits
+from wayfare.operators.visits import known_visits, number_visits
 from wayfare.sources.tables import Tables
 
 
@@ -68,7 +68,7 @@ def numbered_visits(tables: Tables, options: JourneyOptions, with_category: bool
     visits = tables.user_visit
     if options.filter_visits:
         visits = visits.filter(since("session_start", options.as_of, options.lookback_days))
-    active = active_visits(recent_events(tables, options), tables.user, visits)
+    active = known_visits(visit_pairs(tables, options), tables.user, visits)
     # Categories join before the numbering, not after it: event rows join the
     # result by visit, and Spark can split a busy visit only in a join whose
     # sides come straight from a shuffle.
@@ -79,18 +79,34 @@ def numbered_visits(tables: Tables, options: JourneyOptions, with_category: bool
     return number_visits(active, options.max_session, options.visit_slice_seconds)
 
 
+def visit_pairs(tables: Tables, options: JourneyOptions) -> DataFrame:
+    """Distinct (user, visit) pairs of the recent events."""
+    if tables.days is not None:
+        return _stored(tables, options, "visits").select(*VISIT).distinct()
+    return recent_events(tables, options).select("user_id", visit_key("user_visit_id").alias("visit_id")).distinct()
+
+
+def _stored(tables: Tables, options: JourneyOptions, part: str) -> DataFrame:
+    """One of the tables by day, for the days of a report."""
+    tables.days.check(options)
+    return tables.days.read(part, options.as_of, options.lookback_days)
+
+
 def visit_categories(tables: Tables, options: JourneyOptions) -> DataFrame:
     """Largest offer category per (user, visit).
 
     Offers are looked up for the distinct offers of a visit, so the event rows,
     most of which lead to no offer, never join on an offer id.
     """
-    led = (
-        recent_events(tables, options)
-        .filter(F.col("event") == OFFER_REDIRECT)
-        .select("user_id", visit_key("user_visit_id").alias("visit_id"), offer_ref().alias("offer_id"))
-        .distinct()
-    )
+    if tables.days is not None:
+        led = _stored(tables, options, "offers").select(*VISIT, "offer_id").distinct()
+    else:
+        led = (
+            recent_events(tables, options)
+            .filter(F.col("event") == OFFER_REDIRECT)
+            .select("user_id", visit_key("user_visit_id").alias("visit_id"), offer_ref().alias("offer_id"))
+            .distinct()
+        )
     offers = tables.offer.select(F.col("id").alias("offer_id"), "offer_category_id")
     return led.join(offers, "offer_id").groupBy(*VISIT).agg(F.max("offer_category_id").alias("offer_category_id"))
 
@@ -101,13 +117,18 @@ def journey_events(tables: Tables, options: JourneyOptions) -> DataFrame:
     Clicks and redirects become flags where the event is read, so the shuffles
     after it do not carry the texts they come from.
     """
-    rows = recent_events(tables, options).select(
+    return journey_rows(recent_events(tables, options), options.page_rule)
+
+
+def journey_rows(events: DataFrame, page_rule: str) -> DataFrame:
+    """The same of the given events."""
+    rows = events.select(
         "user_id",
         visit_key("user_visit_id").alias("visit_id"),
         "created",
         "id",
         "event",
-        page_name(options.page_rule).alias("page_name"),
+        page_name(page_rule).alias("page_name"),
         is_banner_click("event", banner_ref()).alias("on_banner"),
         is_attribute_click("event", banner_ref()).alias("on_attribute"),
         (F.col("event") == OFFER_REDIRECT).alias("to_offer"),
@@ -118,8 +139,24 @@ def journey_events(tables: Tables, options: JourneyOptions) -> DataFrame:
 
 def session_measures(rows: DataFrame, numbered: DataFrame) -> DataFrame:
     """Figures per session, without journey strings."""
-    per_visit = rows.groupBy(*VISIT).agg(*_row_figures())
-    return _finish(per_visit.join(numbered, VISIT).groupBy(*SESSION).agg(*_merged_figures()))
+    return merged_measures(visit_figures(rows), numbered)
+
+
+def visit_figures(rows: DataFrame, also: Sequence[str] = (), more: Sequence[Column] = ()) -> DataFrame:
+    """Figures that merge, per user and visit (and the keys ``also``), and ``more`` aggregates."""
+    return rows.groupBy(*also, *VISIT).agg(*_row_figures(), *more)
+
+
+def merged_measures(figures: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Figures per session from any number of partial figures per visit."""
+    return _finish(figures.join(numbered, VISIT).groupBy(*SESSION).agg(*_merged_figures()))
+
+
+def recent_figures(tables: Tables, options: JourneyOptions) -> DataFrame:
+    """Partial figures per visit: those stored by day, or one row a visit from events."""
+    if tables.days is not None:
+        return _stored(tables, options, "visits")
+    return visit_figures(journey_events(tables, options))
 
 
 def session_texts(
@@ -144,21 +181,53 @@ def roll_up_texts(rows: DataFrame, with_page_info: bool = False, slice_seconds:
         F.array_join(F.transform(_ordered(F.col("piece")), lambda part: part["text"]), ",").alias("journey_pages"),
     ]
     if with_page_info:
-        infos = F.flatten(F.transform(_ordered(F.struct("slice", "infos")), lambda part: part["infos"]))
-        whole.append(
-            F.transform(
-                infos,
-                lambda info: F.struct(
-                    info["event"].alias("event"),
-                    info["page_name"].alias("page_name"),
-                    F.to_date(info["created"]).alias("created_date"),
-                ),
-            ).alias("page_info_array")
-        )
+        whole.append(_page_info())
     kept = ["journey_pages", "page_info_array"] if with_page_info else ["journey_pages"]
     return _finish(sliced.groupBy(*SESSION).agg(*whole), kept)
 
 
+def recent_texts(tables: Tables, options: JourneyOptions, numbered: DataFrame, with_page_info: bool = False) -> DataFrame:
+    """``session_texts`` of the recent events, or the same from the tables by day."""
+    if tables.days is None:
+        return session_texts(journey_events(tables, options), numbered, with_page_info, options.slice_seconds)
+    measures = merged_measures(recent_figures(tables, options), numbered)
+    named = F.filter("steps", lambda step: step["page_name"].isNotNull())
+    pieces = _merged_slices(_stored(tables, options, "steps").withColumn("steps", named), numbered, "steps")
+    text = F.array_join(F.transform("steps", lambda step: journey_text(step["page_name"])), ",")
+    pieces = pieces.select(*SESSION, F.when(F.size("steps") > 0, F.struct("slice", text.alias("text"))).alias("piece"))
+    texts = pieces.groupBy(*SESSION).agg(
+        F.array_join(F.transform(_ordered(F.col("piece")), lambda part: part["text"]), ",").alias("journey_pages")
+    )
+    found = measures.join(texts, SESSION, "left").withColumn("journey_pages", F.coalesce("journey_pages", F.lit("")))
+    if with_page_info:
+        infos = _merged_slices(_stored(tables, options, "infos"), numbered, "infos")
+        found = found.join(infos.groupBy(*SESSION).agg(_page_info()), SESSION, "left")
+    return found
+
+
+def _merged_slices(stored: DataFrame, numbered: DataFrame, name: str) -> DataFrame:
+    """Sorted arrays per (session, slice) from those per (visit, slice)."""
+    merged = F.sort_array(F.flatten(F.collect_list(name)))
+    return stored.join(numbered, VISIT).groupBy(*SESSION, "slice").agg(merged.alias(name))
+
+
+def _page_info() -> Column:
+    infos = F.flatten(F.transform(_ordered(F.struct("slice", "infos")), lambda part: part["infos"]))
+    return F.transform(
+        infos,
+        lambda info: F.struct(
+            info["event"].alias("event"),
+            info["page_name"].alias("page_name"),
+            F.to_date(info["created"]).alias("created_date"),
+        ),
+    ).alias("page_info_array")
+
+
+def slice_steps(rows: DataFrame, value: Column, name: str, slice_seconds: int) -> DataFrame:
+    """``day, user_id, visit_id, slice`` and the sorted array ``name`` of ``value`` for stored days."""
+    return rows.groupBy("day", *VISIT, slice_of("created", slice_seconds).alias("slice")).agg(_ordered(value).alias(name))
+
+
 def user_profile(users: DataFrame) -> DataFrame:
     return users.select(
         F.col("id").alias("user_id"),
@@ -183,6 +252,10 @@ def with_users(sessions: DataFrame, tables: Tables, options: JourneyOptions | No
 
 
 def user_product_time(tables: Tables, options: JourneyOptions) -> DataFrame:
+    if tables.days is not None:
+        devices = tables.user.filter(F.col("device") == options.device).select(F.col("id").alias("user_id"))
+        slices = _stored(tables, options, "presence").join(devices, "user_id", "left_semi")
+        return joined_presence(slices, options.gap_cap_seconds)
     events = early_events(
         tables.events_since(options.as_of, options.lookback_days),
         tables.user,
@@ -201,7 +274,7 @@ def session_summary(tables: Tables, options: JourneyOptions, with_category: bool
     place ``first_page`` and ``last_page``. Unused columns are pruned.
     """
     numbered = numbered_visits(tables, options, with_category)
-    return with_users(session_measures(journey_events(tables, options), numbered), tables, options)
+    return with_users(merged_measures(recent_figures(tables, options), numbered), tables, options)
 
 
 def page_events(rows: DataFrame) -> DataFrame:
@@ -219,15 +292,39 @@ def page_counts(rows: DataFrame, numbered: DataFrame) -> DataFrame:
 
     A page may repeat over rows; pages are raw journey tokens.
     """
-    per_visit = (
+    return counted_pages(visit_pages(rows), numbered)
+
+
+def visit_pages(rows: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """How often a visit shows a page text, and when first, as figures that merge."""
+    return (
         page_events(rows)
-        .groupBy(*VISIT, "page_text")
-        .agg(F.count("page_text").alias("visits"))
+        .groupBy(*also, *VISIT, "page_text")
+        .agg(F.count("page_text").alias("visits"), F.min(F.struct("created", "id")).alias("seen"))
         .filter(F.col("visits") > 0)
     )
-    return per_visit.join(numbered, VISIT).select(
-        *SESSION, F.explode(tokens("page_text")).alias("page"), "visits"
-    )
+
+
+def counted_pages(pages: DataFrame, numbered: DataFrame) -> DataFrame:
+    """As ``page_counts``, from the rows of ``visit_pages``."""
+    return pages.join(numbered, VISIT).select(*SESSION, F.explode(tokens("page_text")).alias("page"), "visits")
+
+
+def recent_pages(tables: Tables, options: JourneyOptions) -> DataFrame:
+    """Page texts per visit: those stored by day, or from events."""
+    if tables.days is not None:
+        return _stored(tables, options, "pages")
+    return visit_pages(journey_events(tables, options))
+
+
+def recent_page_rows(tables: Tables, options: JourneyOptions) -> DataFrame:
+    """``journey_events`` of the events that can name a page; from the stored steps where there are any."""
+    if tables.days is None:
+        return page_events(journey_events(tables, options))
+    steps = _stored(tables, options, "steps").select(*VISIT, F.explode("steps").alias("step")).select(*VISIT, "step.*")
+    flags = [F.lit(False).alias(name) for name in ("on_banner", "on_attribute", "to_offer")]
+    no_offer = F.lit(None).cast("int").alias("offer_id")
+    return steps.select("*", journey_text("page_name").alias("page_text"), *flags, no_offer)
 
 
 def second_pages(rows: DataFrame, numbered: DataFrame) -> DataFrame:
@@ -263,12 +360,11 @@ def session_items(rows: DataFrame, numbered: DataFrame) -> DataFrame:
     Only the first time of each page is kept per visit, so the collected list
     is a set of page names, not of events.
     """
-    pages = (
-        page_events(rows)
-        .groupBy(*VISIT, "page_text")
-        .agg(F.min(F.struct("created", "id")).alias("seen"), F.count("page_text").alias("visits"))
-        .filter(F.col("visits") > 0)
-    )
+    return page_items(visit_pages(rows), numbered)
+
+
+def page_items(pages: DataFrame, numbered: DataFrame) -> DataFrame:
+    """As ``session_items``, from the rows of ``visit_pages``."""
     token = pages.select("user_id", "visit_id", "seen", F.posexplode(tokens("page_text")).alias("place", "token"))
     at = F.struct("seen", "place")
     bracketed = F.col("token").contains("[")
@@ -315,26 +411,43 @@ def ordered_steps(
     )
 
 
-def anchor_times(rows: DataFrame, numbered: DataFrame, anchor_event: str) -> DataFrame:
-    """``user_id, session_number, anchor_time``: first anchor event per session."""
-    per_visit = (
-        rows.filter(F.col("event") == anchor_event)
-        .groupBy(*VISIT)
-        .agg(F.min("created").alias("anchor_time"))
+def visit_anchors(tables: Tables, options: JourneyOptions, anchor_event: str) -> DataFrame:
+    """``user_id, visit_id, anchor_time`` of all active pairs: the first anchor event, NULL without one."""
+    if tables.days is not None:
+        tables.days.check(options, anchor_event)
+        return _stored(tables, options, "visits").groupBy(*VISIT).agg(F.min("anchor_time").alias("anchor_time"))
+    return (
+        recent_events(tables, options)
+        .groupBy("user_id", visit_key("user_visit_id").alias("visit_id"))
+        .agg(F.min(F.when(F.col("event") == anchor_event, F.col("created"))).alias("anchor_time"))
     )
-    sessions = per_visit.join(numbered, VISIT).groupBy(*SESSION)
-    return sessions.agg(F.min("anchor_time").alias("anchor_time"))
 
 
-def rows_after_anchor(rows: DataFrame, numbered: DataFrame, anchor_event: str, kept_event: str) -> DataFrame:
-    """Rows of one event type strictly after their session's first anchor.
+def anchored_visits(tables: Tables, options: JourneyOptions, anchor_event: str) -> DataFrame:
+    """``user_id, visit_id, session_number, anchor_time`` of sessions with an anchor event.
 
-    The anchor time joins the visit list first, so events meet one narrow
-    lookup by (user, visit) and carry their session number afterwards.
+    One fold per visit finds the pairs and their anchors, so visits are numbered
+    once. A session has the first anchor of its visits.
     """
-    lookup = numbered.join(anchor_times(rows, numbered, anchor_event), SESSION)
-    after = rows.filter(F.col("event") == kept_event).join(lookup, VISIT)
-    return after.filter(F.col("created") > F.col("anchor_time"))
+    visits = tables.user_visit
+    if options.filter_visits:
+        visits = visits.filter(since("session_start", options.as_of, options.lookback_days))
+    active = known_visits(visit_anchors(tables, options, anchor_event), tables.user, visits)
+    numbered = number_visits(active, options.max_session, options.visit_slice_seconds)
+    first = F.min("anchor_time").over(W.partitionBy(*SESSION))
+    return numbered.withColumn("anchor_time", first).filter(F.col("anchor_time").isNotNull())
+
+
+def anchor_times(anchored: DataFrame) -> DataFrame:
+    """``user_id, session_number, anchor_time``: first anchor event per session."""
+    return anchored.groupBy(*SESSION).agg(F.min("anchor_time").alias("anchor_time"))
+
+
+def rows_after_anchor(rows: DataFrame, anchored: DataFrame, kept_event: str) -> DataFrame:
+    """Rows of one event type strictly after their session's first anchor."""
+    after = rows.filter(F.col("event") == kept_event).join(anchored, VISIT)
+    no_offer = F.lit(None).cast("int").alias("offer_category_id")
+    return after.filter(F.col("created") > F.col("anchor_time")).select("*", no_offer)
 
 
 def roll_up_measures(rows: DataFrame) -> DataFrame:

@@ -24,9 +24,14 @@ def active_visits(events: DataFrame, users: DataFrame, visits: DataFrame) -> Dat
     to distinct pairs before anything is joined.
     """
     pairs = events.select("user_id", visit_key("user_visit_id").alias("visit_id")).distinct()
+    return known_visits(pairs, users, visits)
+
+
+def known_visits(pairs: DataFrame, users: DataFrame, visits: DataFrame) -> DataFrame:
+    """The same for (user, visit) pairs that are distinct already; their other columns stay."""
     known = pairs.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
     starts = visits.select(visit_key("id").alias("visit_id"), F.col("user_id").alias("owner_id"), "session_start")
-    return known.join(starts, "visit_id").select("user_id", "visit_id", "owner_id", "session_start")
+    return known.join(starts, "visit_id").select(*pairs.columns, "owner_id", "session_start")
 
 
 def number_visits(

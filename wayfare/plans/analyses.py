@@ -17,12 +17,14 @@ from wayfare.operators import conversion, groups, pages, patterns
 from wayfare.operators.filters import MAIN_FUNNEL, SESSION_CAP, converted, fill_missing, not_converted, redirected
 from wayfare.operators.journeys import (
     JourneyOptions,
-    journey_events,
+    counted_pages,
+    merged_measures,
     numbered_visits,
-    page_counts,
+    page_items,
+    recent_figures,
+    recent_page_rows,
+    recent_pages,
     second_pages,
-    session_items,
-    session_measures,
     session_summary,
     with_users,
 )
@@ -58,8 +60,9 @@ def conversion_report_sets(tables: Tables, options: JourneyOptions = JOURNEY) ->
 
 def second_page_report(tables: Tables, options: JourneyOptions = JOURNEY) -> DataFrame:
     """Second pages of converted sessions."""
-    sessions, rows, numbered = _session_parts(tables, options)
-    return pages.second_page_counts(sessions.filter(converted()).join(second_pages(rows, numbered), SESSION))
+    sessions, numbered = _session_parts(tables, options)
+    second = second_pages(recent_page_rows(tables, options), numbered)
+    return pages.second_page_counts(sessions.filter(converted()).join(second, SESSION))
 
 
 def last_page_after_event_report(
@@ -82,8 +85,9 @@ def nonconverted_report(tables: Tables, options: JourneyOptions = JOURNEY) -> Da
 
 def page_visit_report(tables: Tables, options: JourneyOptions = JOURNEY) -> DataFrame:
     """Visits per page over all sessions."""
-    rows, numbered = _rows_and_numbers(tables, options)
-    return pages.page_visits(session_measures(rows, numbered), page_counts(rows, numbered))
+    numbered = numbered_visits(tables, options)
+    sessions = merged_measures(recent_figures(tables, options), numbered)
+    return pages.page_visits(sessions, counted_pages(recent_pages(tables, options), numbered))
 
 
 def popular_interaction_report(tables: Tables, options: JourneyOptions = JOURNEY) -> DataFrame:
@@ -98,15 +102,16 @@ def average_page_report(tables: Tables, options: JourneyOptions = JOURNEY, page:
 
 def all_page_report(tables: Tables, options: JourneyOptions = JOURNEY) -> DataFrame:
     """Pages of converted sessions, with and without ids."""
-    sessions, rows, numbered = _session_parts(tables, options)
-    return pages.all_pages(sessions.filter(converted()), page_counts(rows, numbered))
+    sessions, numbered = _session_parts(tables, options)
+    return pages.all_pages(sessions.filter(converted()), counted_pages(recent_pages(tables, options), numbered))
 
 
 def pattern_report(tables: Tables, options: JourneyOptions = JOURNEY, min_support: float = 0.01) -> DataFrame:
     """Page sets that occur together in early converted sessions of the main funnel."""
-    sessions, rows, numbered = _session_parts(tables, options)
+    sessions, numbered = _session_parts(tables, options)
     wanted = sessions.filter(converted([MAIN_FUNNEL], SESSION_CAP))
-    return patterns.frequent_itemsets(patterns.transactions(wanted, session_items(rows, numbered)), min_support)
+    items = page_items(recent_pages(tables, options), numbered)
+    return patterns.frequent_itemsets(patterns.transactions(wanted, items), min_support)
 
 
 def top_group_report(tables: Tables, options: JourneyOptions = JOURNEY) -> DataFrame:
@@ -141,16 +146,13 @@ def _converted_filled(tables: Tables, options: JourneyOptions) -> DataFrame:
     return fill_missing(session_summary(tables, options)).filter(converted())
 
 
-def _rows_and_numbers(tables: Tables, options: JourneyOptions) -> tuple[DataFrame, DataFrame]:
-    return journey_events(tables, options), numbered_visits(tables, options)
-
-
-def _session_parts(tables: Tables, options: JourneyOptions) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sessions, and the rows and numbered visits they come from."""
-    rows, numbered = _rows_and_numbers(tables, options)
-    return with_users(session_measures(rows, numbered), tables, options), rows, numbered
+def _session_parts(tables: Tables, options: JourneyOptions) -> tuple[DataFrame, DataFrame]:
+    """Sessions, and the numbered visits they come from."""
+    numbered = numbered_visits(tables, options)
+    return with_users(merged_measures(recent_figures(tables, options), numbered), tables, options), numbered
 
 
 def _idle_pages(tables: Tables, options: JourneyOptions) -> tuple[DataFrame, DataFrame]:
-    sessions, rows, numbered = _session_parts(tables, options)
-    return sessions.filter(not_converted(max_session=SESSION_CAP)), page_counts(rows, numbered)
+    sessions, numbered = _session_parts(tables, options)
+    counted = counted_pages(recent_pages(tables, options), numbered)
+    return sessions.filter(not_converted(max_session=SESSION_CAP)), counted

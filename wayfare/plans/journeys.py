@@ -11,13 +11,14 @@ from wayfare.functions.times import SLICE_SECONDS, AsOf
 from wayfare.operators.journeys import (
     JourneyOptions,
     anchor_times,
-    journey_events,
+    anchored_visits,
     numbered_visits,
     ordered_steps,
+    recent_page_rows,
+    recent_texts,
     roll_up_measures,
     roll_up_texts,
     rows_after_anchor,
-    session_texts,
     user_page_arrays,
     with_users,
 )
@@ -66,9 +67,7 @@ def journey_after_event(
     tables: Tables, options: JourneyOptions = AFTER_EVENT, anchor_event: str = CHAT_LIMIT
 ) -> DataFrame:
     """Route pages after a session's first anchor event, ordered by user and session."""
-    rows = rows_after_anchor(
-        journey_events(tables, options), numbered_visits(tables, options), anchor_event, ROUTE
-    )
+    rows = _after_anchor(tables, options, anchor_event)
     sessions = with_users(roll_up_texts(rows, slice_seconds=options.slice_seconds), tables)
     return sessions.select(*_HEAD, "funnel_id", "journey_pages").orderBy(*_HEAD)
 
@@ -77,9 +76,7 @@ def summary_after_event(
     tables: Tables, options: JourneyOptions = AFTER_EVENT, anchor_event: str = CHAT_LIMIT
 ) -> DataFrame:
     """The same sessions as fixed-size rows: funnel, length, first and last page."""
-    rows = rows_after_anchor(
-        journey_events(tables, options), numbered_visits(tables, options), anchor_event, ROUTE
-    )
+    rows = _after_anchor(tables, options, anchor_event)
     sessions = with_users(roll_up_measures(rows), tables)
     return sessions.select(*_HEAD, "funnel_id", "journey_len", "first_page", "last_page")
 
@@ -88,14 +85,13 @@ def session_anchors(
     tables: Tables, options: JourneyOptions = AFTER_EVENT, anchor_event: str = CHAT_LIMIT
 ) -> DataFrame:
     """First anchor event per session, with the user's funnel."""
-    rows = journey_events(tables, options)
-    anchors = with_users(anchor_times(rows, numbered_visits(tables, options), anchor_event), tables)
+    anchors = with_users(anchor_times(anchored_visits(tables, options, anchor_event)), tables)
     return anchors.select(*_HEAD, "funnel_id", "anchor_time")
 
 
 def journey_steps(tables: Tables, options: JourneyOptions = JOURNEY) -> DataFrame:
     """The journey in row form: user, session, position, page name."""
-    rows = journey_events(tables, options).join(
+    rows = recent_page_rows(tables, options).join(
         numbered_visits(tables, options), ["user_id", "visit_id"]
     )
     return ordered_steps(rows, _HEAD, slice_seconds=options.slice_seconds)
@@ -127,12 +123,16 @@ def user_page_steps(
 
 
 def _sessions(tables: Tables, options: JourneyOptions, with_page_info: bool, timed: bool) -> DataFrame:
-    rows = journey_events(tables, options)
     numbered = numbered_visits(tables, options, with_category=True)
-    texts = session_texts(rows, numbered, with_page_info, options.slice_seconds)
+    texts = recent_texts(tables, options, numbered, with_page_info)
     return with_users(texts, tables, options if timed else None)
 
 
+def _after_anchor(tables: Tables, options: JourneyOptions, anchor_event: str) -> DataFrame:
+    anchored = anchored_visits(tables, options, anchor_event)
+    return rows_after_anchor(recent_page_rows(tables, options), anchored, ROUTE)
+
+
 def _user_pages(tables: Tables, as_of: AsOf, lookback_days: int) -> DataFrame:
     return tables.events_since(as_of, lookback_days).select(
         "user_id", "created", "id", "event", page_name("generic").alias("page_name")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfare.functions.times import AsOf, since
+from wayfare.sources.days import DayTables
 from wayfare.sources.schemas import TABLES
 
 # Image sizes come from files, not from the database.
@@ -18,7 +19,10 @@ DATABASE_TABLES = tuple(name for name in TABLES if name != "assets")
 
 @dataclass(frozen=True)
 class Tables:
-    """The tables the reports read. A report touches only those it needs."""
+    """The tables the reports read. A report touches only those it needs.
+
+    With ``days``, the journey reports read the tables stored by day and no events.
+    """
 
     user_event: DataFrame | None = None
     user: DataFrame | None = None
@@ -29,6 +33,7 @@ class Tables:
     postback: DataFrame | None = None
     assets: DataFrame | None = None
     event_day: str | None = None
+    days: DayTables | None = None
 
     def events_since(self, as_of: AsOf, days: int) -> DataFrame:
         """Events of the last ``days`` and today; a named day column prunes folders."""
