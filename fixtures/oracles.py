@@ -465,6 +465,12 @@ starts AS (SELECT DISTINCT owner_id, session_number, session_start FROM base)
   SELECT s.banner_id, s.users, s.impressions, d.impressions_24hours
   FROM shown s LEFT JOIN shown_24h d ON d.banner_id = s.banner_id""",
         "banner_impressions_24h": f"{_with(_SHOWS)} SELECT banner_id, impressions_24hours FROM shown_24h",
+        "banner_click_pages": f"""{_with()}
+  SELECT c.id, c.user_id, c.banner_id, c.offer_id, b.device, b.placement,
+    trim(split_part(split_part(c.page, '/', 4), '?', 1)) AS page_name, o.conversion_type
+  FROM banner_click c JOIN app_user u ON u.id = c.user_id JOIN offer o ON o.id = c.offer_id
+    JOIN banner b ON b.id = c.banner_id
+  WHERE {_since("c.created", 31)}""",
         "banner_clicks": f"{_with(_clicks('postback'))} SELECT * FROM clicked",
         "banner_clicks_dedup": f"{_with(_clicks(_SUMMED))} SELECT * FROM clicked",
         "banner_report": f"{_with(_SHOWS, _clicks('postback'), _REPORT)} SELECT * FROM report",
@@ -481,6 +487,10 @@ starts AS (SELECT DISTINCT owner_id, session_number, session_start FROM base)
         "top_groups": f"{_with(_journeys(), _TOP)} SELECT {_GROUP_KEYS}, redirected FROM top",
         "top_group_rows": f"""{_with(_journeys(), _TOP)}
   SELECT {_HEAD}, redirected FROM journeys j WHERE {_IN_TOP} AND redirected > 0""",
+        "top_group_all_rows": f"{_with(_journeys(), _TOP)} SELECT {_HEAD}, redirected FROM journeys j WHERE {_IN_TOP}",
+        "top_group_page_visits": f"""{_with(_journeys(), _TOP)},
+  visited AS (SELECT unnest(pages) AS page FROM journeys j WHERE {_IN_TOP} AND redirected > 0)
+  SELECT trim(split_part(page, '[', 1)) AS page, count(*) AS visits FROM visited GROUP BY ALL""",
         "other_rows": f"""{_with(_journeys(), _TOP)}
   SELECT {_HEAD}, redirected FROM journeys j WHERE NOT {_IN_TOP} AND redirected <= 0""",
         "empty_rows": f"""{_with(_journeys(), _TOP)}

@@ -172,6 +172,11 @@ def _report(t: Tables) -> DataFrame:
     return banners.banner_report(t, IMAGES, AS_OF, OPTIONS.lookback_days)
 
 
+def _click_pages(t: Tables) -> DataFrame:
+    found = banners.click_pages(t, AS_OF, OPTIONS.lookback_days)
+    return found.select("id", "user_id", "banner_id", "offer_id", "device", "placement", "page_name", "conversion_type")
+
+
 def _clicks(fan_out: bool) -> Query:
     return _banners(lambda t: _money(banners.clicks(t, IMAGES, AS_OF, OPTIONS.lookback_days, fan_out)))
 
@@ -228,6 +233,7 @@ def queries() -> dict[str, Query]:
         "frequent_itemsets": _tables(_itemsets),
         "banner_impressions": _banners(lambda t: banners.impressions(t, AS_OF, OPTIONS.lookback_days)),
         "banner_impressions_24h": _banners(lambda t: banners.impressions_24h(t, AS_OF, OPTIONS.lookback_days)),
+        "banner_click_pages": _banners(_click_pages),
         "banner_clicks": _clicks(fan_out=True),
         "banner_clicks_dedup": _clicks(fan_out=False),
         "banner_report": _banners(lambda t: _money(_report(t))),
@@ -241,6 +247,8 @@ def queries() -> dict[str, Query]:
         ),
         "top_groups": _tables(lambda t: analyses.top_group_report(t, OPTIONS)),
         "top_group_rows": _sessions(lambda t: analyses.top_group_sessions(t, OPTIONS)),
+        "top_group_all_rows": _sessions(lambda t: analyses.top_group_sessions(t, OPTIONS, converted_only=False)),
+        "top_group_page_visits": _tables(lambda t: analyses.top_group_page_report(t, OPTIONS)),
         "other_rows": _sessions(lambda t: analyses.other_sessions(t, OPTIONS)),
         "empty_rows": _sessions(lambda t: analyses.other_sessions(t, OPTIONS, empty=True)),
         "single_session_converted": _sessions(lambda t: analyses.single_session_report(t, RECENT)),

@@ -2,13 +2,17 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 
+import numpy as np
 import pytest
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import functions as F
 
 from wayfare.operators import conversion, groups, pages, patterns
 from wayfare.operators.exports import items_from_journeys, pages_from_journeys, summary_from_journeys
 from wayfare.operators.filters import converted, fill_missing, not_converted
+from wayfare.operators.keys import hot_keys, with_hot_keys
 
 SESSIONS = """user_id long, session_number int, funnel_id int, offer_category_id int, offer_id int, user_source string,
 product_time double, journey_pages string, banner_clicks long, attr_clicks long, redirected long"""
@@ -194,7 +198,38 @@ def test_support_on_the_limit_is_kept(spark):
     assert {tuple(r["items"]) for r in found.collect()} == {("x",), ("y",)}
 
 
-@pytest.mark.parametrize("share", [0.2, 0.35, 1.0])
+@pytest.mark.parametrize("parts", [1, 3])
+def test_itemsets_equal_the_miner_of_spark(spark, parts):
+    rng = random.Random(parts)
+    baskets = [([rng.choice("abcdefghij") for _ in range(rng.randint(0, 6))],) for _ in range(300)]
+    frame = spark.createDataFrame(baskets, "items array<string>").repartition(parts)
+    whole = frame.select(F.array_distinct("items").alias("items"))
+    mined = FPGrowth(itemsCol="items", minSupport=0.05).fit(whole).freqItemsets
+    expected = {(tuple(sorted(r["items"])), r["freq"]) for r in mined.collect()}
+    found = patterns.frequent_itemsets(frame, 0.05)
+    assert {(tuple(r["items"]), r["freq"]) for r in found.collect()} == expected
+    nulls = spark.createDataFrame([(["a", None, "a"],), ([None],)], "items array<string>")
+    assert [tuple(r) for r in patterns.frequent_itemsets(nulls, 0.5).collect()] == [(["a"], 1, 1, 0.5)]
+    assert patterns.frequent_itemsets(frame.limit(0), 0.1).collect() == []
+
+
+def test_itemsets_run_when_they_are_read(spark):
+    def fail(batches):
+        raise RuntimeError("read")
+
+    unread = spark.range(10).select(F.array(F.lit("a")).alias("items")).mapInArrow(fail, "items array<string>")
+    found = patterns.frequent_itemsets(unread, 0.1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_supported_sets():
+    sets, counts = [["a", "b"], ["a", "b", "c"], ["c"], []], np.array([2, 1, 4, 9])
+    assert sorted(patterns.supported(sets, counts, 3)) == [["a"], ["a", "b"], ["b"], ["c"]]
+    assert list(patterns.supported([], np.array([], np.int64), 0.0)) == []
+
+
+@pytest.mark.parametrize("share", [0.0, 0.01, 0.2, 0.35, 1.0, 3.0])
 def test_top_groups_equal_a_full_sort(spark, share):
     rng = random.Random(3)
     rows = [
@@ -233,6 +268,50 @@ def test_top_groups_equal_a_full_sort(spark, share):
     assert sorted(r["user_id"] for r in outside) == ids(lambda is_top, r: not is_top)
 
 
+def test_selection_reads_cuts_without_a_task_for_all(spark):
+    rows = [{"user_id": i, "funnel_id": 8, "offer_category_id": 1, "offer_id": i % 7, "redirected": 2 ** (i % 40)} for i in range(80)]
+    sessions = summary_from_journeys(_sessions(spark, rows))
+    found = groups.top_groups(sessions, 0.05)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    sums: dict[int, int] = {}
+    for r in rows:
+        sums[r["offer_id"]] = sums.get(r["offer_id"], 0) + r["redirected"]
+    best = sorted(sums.items(), key=lambda kv: (-kv[1], kv[0]))[:4]
+    assert {(r["offer_id"], r["redirected"]) for r in found.collect()} == set(best)
+
+
+def test_hot_and_missing_keys_do_not_gather(spark):
+    """Nine tenths of the sessions on one key, some on none: the hot ones are decided where they are read."""
+    keys = ("funnel_id", "session_number", "offer_category_id", "offer_id")
+    rows = [
+        {
+            "user_id": i,
+            "funnel_id": None if i % 100 == 7 else 8,
+            "offer_category_id": 1,
+            "offer_id": 5 if i % 10 else 100 + i,
+            "redirected": 1,
+        }
+        for i in range(3000)
+    ]
+    sessions = summary_from_journeys(_sessions(spark, rows)).repartition(8)
+    members = spark.createDataFrame([(8, 1, 1, 5), (8, 1, 1, 110), (8, 1, 1, 9999)], "funnel_id int, session_number int, offer_category_id int, offer_id int")
+    assert [tuple(r) for r in hot_keys(sessions, keys).collect()] == [(8, 1, 1, 5)]
+    inside = {i for i, r in enumerate(rows) if r["funnel_id"] and r["offer_id"] in (5, 110)}
+    assert {r["user_id"] for r in groups.rows_in_groups(sessions, members, converted_only=False).collect()} == inside
+    assert {r["user_id"] for r in groups.rows_outside_groups(sessions, members).collect()} == set(range(3000)) - inside
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # The rows that reach the shuffled join are those of neither kind.
+        plan = groups.rows_outside_groups(sessions, members)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") >= 2 and re.search(r"SortMergeJoin.*LeftAnti", plan)
+        marked = with_hot_keys(sessions, members, keys)
+        assert marked.filter("_member IS NULL AND funnel_id IS NOT NULL").count() == 300 - len([r for i, r in enumerate(rows) if i % 10 == 0 and not r["funnel_id"]])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_single_session_converted(spark):
     rows = [
         {"user_id": 1, "funnel_id": 1, "redirected": 1},

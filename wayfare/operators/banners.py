@@ -68,6 +68,21 @@ def impressions_24h(tables: Tables, as_of: AsOf = None, lookback_days: int = LOO
     return early.filter(F.col("impressions_24hours").isNotNull())
 
 
+def click_pages(tables: Tables, as_of: AsOf = None, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+    """Clicks on known banners and offers by known users, with the banner's place and the bare page name."""
+    clicked = tables.banner_click.filter(since("created", as_of, lookback_days) & F.col("banner_id").isNotNull())
+    offers = tables.offer.select(F.col("id").alias("offer_id"), "conversion_type")
+    banners = tables.banner.select(F.col("id").alias("banner_id"), "device", "placement", "image_url", "priority")
+    return (
+        clicked.select(
+            "id", "user_id", "banner_id", "offer_id", first_segment("page").alias("page_name"), "redirected_to_offer", "cpc_revenue"
+        )
+        .join(tables.user.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+        .join(offers, "offer_id")
+        .join(banners, "banner_id")
+    )
+
+
 def clicks(
     tables: Tables,
     base_url: str,
@@ -78,20 +93,20 @@ def clicks(
     """Clicks, redirects, CPA clicks and revenue per banner.
 
     With ``fan_out`` a click counts once per postback, in the counts and in
-    the click revenue; without, each click counts once. Postbacks are summed
-    per click first, so neither form multiplies rows.
+    the click revenue; without, each click counts once. Postbacks of the clicks
+    looked at are summed per click first, so neither form multiplies rows.
     """
-    postbacks = tables.postback.groupBy(F.col("banner_click_id").alias("id")).agg(
-        F.count(F.lit(1)).alias("postbacks"), F.sum("payout").alias("payout")
-    )
+    recent = tables.banner_click.filter(since("created", as_of, lookback_days) & F.col("banner_id").isNotNull())
+    # Postbacks bear no date; those of older clicks go before they are added up.
+    paid = tables.postback.withColumnRenamed("banner_click_id", "id").join(recent.select("id"), "id", "left_semi")
+    postbacks = paid.groupBy("id").agg(F.count(F.lit(1)).alias("postbacks"), F.sum("payout").alias("payout"))
     offers = tables.offer.select(F.col("id").alias("offer_id"), "conversion_type")
     banners = tables.banner.select(F.col("id").alias("banner_id"), "image_url", "priority")
     known = tables.user.select(F.col("id").alias("user_id"))
     times = F.greatest(F.coalesce("postbacks", F.lit(0)), F.lit(1)) if fan_out else F.lit(1)
     is_cpa = F.col("conversion_type") != "cpc"
     weighed = (
-        tables.banner_click.filter(since("created", as_of, lookback_days) & F.col("banner_id").isNotNull())
-        .select("id", "user_id", "banner_id", "offer_id", "redirected_to_offer", "cpc_revenue")
+        recent.select("id", "user_id", "banner_id", "offer_id", "redirected_to_offer", "cpc_revenue")
         .join(offers, "offer_id")
         .join(banners, "banner_id")
         .join(postbacks, "id", "left")

@@ -152,6 +152,34 @@ def merged_measures(figures: DataFrame, numbered: DataFrame) -> DataFrame:
     return _finish(figures.join(numbered, VISIT).groupBy(*SESSION).agg(*_merged_figures()))
 
 
+def visit_folds(rows: DataFrame) -> DataFrame:
+    """Per user and visit the figures that merge, and ``shown``: its distinct page texts, how often and when first.
+
+    Both come from one pass over the events, which are counted per page text first.
+    """
+    seen = F.min(F.struct("created", "id")).alias("seen")
+    per_page = rows.groupBy(*VISIT, "page_text").agg(*_row_figures(), seen)
+    shown = F.when(_paged(), F.struct("page_text", F.col("pages").alias("visits"), "seen"))
+    return per_page.groupBy(*VISIT).agg(*_merges(), F.collect_list(shown).alias("shown"))
+
+
+def session_folds(folds: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Figures per session, with the pages it shows."""
+    shown = F.flatten(F.collect_list("shown")).alias("shown")
+    return _finish(folds.join(numbered, VISIT).groupBy(*SESSION).agg(*_merged_figures(), shown), ["shown"])
+
+
+def recent_session_folds(tables: Tables, options: JourneyOptions, numbered: DataFrame) -> DataFrame:
+    """``session_folds`` of the recent events, or the same from the tables by day."""
+    if tables.days is None:
+        return session_folds(visit_folds(journey_events(tables, options)), numbered)
+    measures = merged_measures(recent_figures(tables, options), numbered)
+    shown = F.collect_list(F.struct("page_text", "visits", "seen")).alias("shown")
+    pages = _stored(tables, options, "pages").join(numbered, VISIT).groupBy(*SESSION).agg(shown)
+    none = F.array().cast(pages.schema["shown"].dataType)
+    return measures.join(pages, SESSION, "left").withColumn("shown", F.coalesce("shown", none))
+
+
 def recent_figures(tables: Tables, options: JourneyOptions) -> DataFrame:
     """Partial figures per visit: those stored by day, or one row a visit from events."""
     if tables.days is not None:
@@ -310,13 +338,6 @@ def counted_pages(pages: DataFrame, numbered: DataFrame) -> DataFrame:
     return pages.join(numbered, VISIT).select(*SESSION, F.explode(tokens("page_text")).alias("page"), "visits")
 
 
-def recent_pages(tables: Tables, options: JourneyOptions) -> DataFrame:
-    """Page texts per visit: those stored by day, or from events."""
-    if tables.days is not None:
-        return _stored(tables, options, "pages")
-    return visit_pages(journey_events(tables, options))
-
-
 def recent_page_rows(tables: Tables, options: JourneyOptions) -> DataFrame:
     """``journey_events`` of the events that can name a page; from the stored steps where there are any."""
     if tables.days is None:
@@ -354,36 +375,36 @@ def second_pages(rows: DataFrame, numbered: DataFrame) -> DataFrame:
 
 
 def session_items(rows: DataFrame, numbered: DataFrame) -> DataFrame:
-    """``user_id, session_number, items``: page set up to the first bracketed page.
+    """``user_id, session_number, items``: page set up to the first bracketed page, of sessions with pages."""
+    sessions = session_folds(visit_folds(rows), numbered).filter(F.size("shown") > 0)
+    return sessions.select(*SESSION, shown_items().alias("items"))
+
 
-    Equals the distinct tokens of the journey string cut at its first ``[``.
-    Only the first time of each page is kept per visit, so the collected list
-    is a set of page names, not of events.
+def shown_items(shown: str | Column = "shown") -> Column:
+    """The distinct tokens of the journey string cut at its first ``[``, from the pages a session shows.
+
+    Each page counts from its first time on, so this is a set of page names, not of events.
     """
-    return page_items(visit_pages(rows), numbered)
-
-
-def page_items(pages: DataFrame, numbered: DataFrame) -> DataFrame:
-    """As ``session_items``, from the rows of ``visit_pages``."""
-    token = pages.select("user_id", "visit_id", "seen", F.posexplode(tokens("page_text")).alias("place", "token"))
-    at = F.struct("seen", "place")
-    bracketed = F.col("token").contains("[")
-    # The cut token ends the string, so blanks before its bracket are trimmed.
-    item = F.when(bracketed, F.rtrim(general_page("token"))).otherwise(F.col("token"))
-    firsts = token.groupBy("user_id", "visit_id", item.alias("item")).agg(
-        F.min(at).alias("first_at"), F.min(F.when(bracketed, at)).alias("cut_at")
-    )
-    sessions = (
-        firsts.join(numbered, VISIT)
-        .groupBy(*SESSION)
-        .agg(F.collect_set(F.struct("item", "first_at")).alias("found"), F.min("cut_at").alias("cut_at"))
+    found = F.flatten(
+        F.transform(
+            shown,
+            lambda s: F.transform(
+                tokens(s["page_text"]),
+                lambda token, place: F.struct(F.struct(s["seen"].alias("seen"), place.alias("place")).alias("at"), token.alias("token")),
+            ),
+        )
     )
-    before_cut = F.filter("found", lambda f: F.col("cut_at").isNull() | (f["first_at"] <= F.col("cut_at")))
+    cut_at = F.array_min(F.transform(F.filter(found, lambda f: f["token"].contains("[")), lambda f: f["at"]))
+    before_cut = F.filter(found, lambda f: cut_at.isNull() | (f["at"] <= cut_at))
+
+    def item(token: Column) -> Column:
+        # The cut token ends the string, so blanks before its bracket are trimmed.
+        return F.when(token.contains("["), F.rtrim(general_page(token))).otherwise(token)
+
     # The string as a whole is stripped, so its first page loses blanks in front.
-    in_order = F.array_sort(F.transform(before_cut, lambda f: F.struct(f["first_at"], f["item"])))
+    in_order = F.array_sort(F.transform(before_cut, lambda f: F.struct(f["at"].alias("at"), item(f["token"]).alias("item"))))
     stripped = F.transform(in_order, lambda f, i: F.when(i == 0, F.ltrim(f["item"])).otherwise(f["item"]))
-    items = F.array_sort(F.array_distinct(stripped))
-    return sessions.select(*SESSION, items.alias("items"))
+    return F.array_sort(F.array_distinct(stripped))
 
 
 def ordered_steps(
@@ -498,12 +519,15 @@ def _row_figures() -> list[Column]:
 
 
 def _merged_figures() -> list[Column]:
+    return [*_merges(), _category()]
+
+
+def _merges() -> list[Column]:
     added = ["pages", "chars", "commas", "banner_clicks", "attr_clicks", "redirected"]
     largest = ["offer_id", "tail"]
     return [
         *[F.sum(name).alias(name) for name in added],
         *[F.max(name).alias(name) for name in largest],
-        _category(),
         F.min("head").alias("head"),
     ]
 

@@ -3,7 +3,8 @@
 Inputs are the session summary (``first_page, second_page, last_page,
 journey_len``) and the page rows ``user_id, session_number, page, visits``.
 Both come from events (``operators.journeys``) or from journey strings
-(``operators.exports``).
+(``operators.exports``). Sessions that carry their pages (``shown``) need no
+page rows.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.functions.pages import general_page
+from wayfare.functions.pages import general_page, tokens
 from wayfare.operators.keys import SESSION
 
 # How the analyses spell the journey of a session without pages.
@@ -52,7 +53,7 @@ def ending_counts(sessions: DataFrame, ending: str = "chats[") -> DataFrame:
     return _step_counts(kept, general_page("last_page"))
 
 
-def page_visits(sessions: DataFrame, pages: DataFrame) -> DataFrame:
+def page_visits(sessions: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """``page, visits`` over the given sessions, ids dropped, most visited first.
 
     A session without pages adds nothing.
@@ -60,7 +61,7 @@ def page_visits(sessions: DataFrame, pages: DataFrame) -> DataFrame:
     return most_visited(_counted(_pages_of(sessions, pages), F.trim(general_page("page"))))
 
 
-def popular_interactions(sessions: DataFrame, pages: DataFrame) -> DataFrame:
+def popular_interactions(sessions: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """``page, visits`` over the given sessions, ids kept, most visited first.
 
     A session without pages counts once, as page ``Null``.
@@ -68,14 +69,21 @@ def popular_interactions(sessions: DataFrame, pages: DataFrame) -> DataFrame:
     return most_visited(_counted(_tokens_of(sessions, pages, TOKEN_AS_NULL), F.col("page")))
 
 
-def all_pages(sessions: DataFrame, pages: DataFrame) -> DataFrame:
+def all_pages(sessions: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Distinct pages of the given sessions, with and without ids."""
-    raw = _tokens_of(sessions, pages, TOKEN_AS_ZERO).select("page").distinct()
-    return raw.union(raw.select(general_page("page"))).distinct()
+    raw = _tokens_of(sessions, pages, TOKEN_AS_ZERO)
+    return raw.select(F.explode(F.array("page", general_page("page"))).alias("page")).distinct()
 
 
-def average_page_per_user(sessions: DataFrame, pages: DataFrame, page: str = "browse") -> DataFrame:
+def average_page_per_user(sessions: DataFrame, pages: DataFrame | None = None, page: str = "browse") -> DataFrame:
     """One row: visits of a page in the given sessions over their distinct users."""
+    if pages is None:
+        wanted = F.filter(_shown_tokens(), lambda t: t["page"] == page)
+        visits = F.aggregate(wanted, F.lit(0).cast("bigint"), lambda n, t: n + t["visits"])
+        each = sessions.select("user_id", F.when(F.col("journey_len") > 0, visits).alias("seen"))
+        counted = each.agg(F.sum("seen").alias("seen"), F.count_distinct("user_id").alias("users"))
+        mean = F.coalesce("seen", F.lit(0)) / F.nullif(F.col("users"), F.lit(0))
+        return counted.select(mean.alias("average_visits"))
     seen = _pages_of(sessions, pages.filter(F.col("page") == page)).agg(F.sum("visits").alias("seen"))
     users = sessions.agg(F.count_distinct("user_id").alias("users"))
     mean = F.coalesce(seen.scalar(), F.lit(0)) / F.nullif(F.col("users"), F.lit(0))
@@ -92,14 +100,30 @@ def _counted(pages: DataFrame, page: Column) -> DataFrame:
     return pages.groupBy(page.alias("page")).agg(F.sum("visits").alias("visits"))
 
 
-def _pages_of(sessions: DataFrame, pages: DataFrame) -> DataFrame:
+def _pages_of(sessions: DataFrame, pages: DataFrame | None) -> DataFrame:
     """Page rows of the sessions that have a journey."""
+    if pages is None:
+        return sessions.filter(F.col("journey_len") > 0).select(F.explode(_shown_tokens()).alias("t")).select("t.*")
     kept = sessions.filter(F.col("journey_len") > 0).select(*SESSION)
     return pages.join(kept, SESSION, "left_semi")
 
 
-def _tokens_of(sessions: DataFrame, pages: DataFrame, empty_token: str) -> DataFrame:
+def _shown_tokens() -> Column:
+    """The tokens of the pages that a session shows, with how often it shows them."""
+    return F.flatten(
+        F.transform(
+            "shown",
+            lambda s: F.transform(tokens(s["page_text"]), lambda t: F.struct(t.alias("page"), s["visits"].alias("visits"))),
+        )
+    )
+
+
+def _tokens_of(sessions: DataFrame, pages: DataFrame | None, empty_token: str) -> DataFrame:
     """Page rows of the sessions, empty journeys spelled ``empty_token``."""
+    if pages is None:
+        blank = F.array(F.struct(F.lit(empty_token).alias("page"), F.lit(1).cast("bigint").alias("visits")))
+        spelled = F.when(F.col("journey_len") == 0, blank).otherwise(_shown_tokens())
+        return sessions.select(F.explode(spelled).alias("t")).select("t.*")
     empty = sessions.filter(F.col("journey_len") == 0).select(
         F.lit(empty_token).alias("page"), F.lit(1).cast("bigint").alias("visits")
     )

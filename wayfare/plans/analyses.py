@@ -17,15 +17,12 @@ from wayfare.operators import conversion, groups, pages, patterns
 from wayfare.operators.filters import MAIN_FUNNEL, SESSION_CAP, converted, fill_missing, not_converted, redirected
 from wayfare.operators.journeys import (
     JourneyOptions,
-    counted_pages,
-    merged_measures,
     numbered_visits,
-    page_items,
-    recent_figures,
     recent_page_rows,
-    recent_pages,
+    recent_session_folds,
     second_pages,
     session_summary,
+    shown_items,
     with_users,
 )
 from wayfare.operators.keys import SESSION
@@ -60,9 +57,8 @@ def conversion_report_sets(tables: Tables, options: JourneyOptions = JOURNEY) ->
 
 def second_page_report(tables: Tables, options: JourneyOptions = JOURNEY) -> DataFrame:
     """Second pages of converted sessions."""
-    sessions, numbered = _session_parts(tables, options)
-    second = second_pages(recent_page_rows(tables, options), numbered)
-    return pages.second_page_counts(sessions.filter(converted()).join(second, SESSION))
+    second = second_pages(recent_page_rows(tables, options), numbered_visits(tables, options))
+    return pages.second_page_counts(_lean(tables, options).filter(converted()).join(second, SESSION))
 
 
 def last_page_after_event_report(
@@ -85,33 +81,30 @@ def nonconverted_report(tables: Tables, options: JourneyOptions = JOURNEY) -> Da
 
 def page_visit_report(tables: Tables, options: JourneyOptions = JOURNEY) -> DataFrame:
     """Visits per page over all sessions."""
-    numbered = numbered_visits(tables, options)
-    sessions = merged_measures(recent_figures(tables, options), numbered)
-    return pages.page_visits(sessions, counted_pages(recent_pages(tables, options), numbered))
+    return pages.page_visits(recent_session_folds(tables, options, numbered_visits(tables, options)))
 
 
 def popular_interaction_report(tables: Tables, options: JourneyOptions = JOURNEY) -> DataFrame:
     """Visits per page over early sessions without click or redirect."""
-    return pages.popular_interactions(*_idle_pages(tables, options))
+    return pages.popular_interactions(_idle_sessions(tables, options))
 
 
 def average_page_report(tables: Tables, options: JourneyOptions = JOURNEY, page: str = "browse") -> DataFrame:
     """Visits of one page per user, over early sessions without click or redirect."""
-    return pages.average_page_per_user(*_idle_pages(tables, options), page)
+    return pages.average_page_per_user(_idle_sessions(tables, options), page=page)
 
 
 def all_page_report(tables: Tables, options: JourneyOptions = JOURNEY) -> DataFrame:
     """Pages of converted sessions, with and without ids."""
-    sessions, numbered = _session_parts(tables, options)
-    return pages.all_pages(sessions.filter(converted()), counted_pages(recent_pages(tables, options), numbered))
+    return pages.all_pages(_sessions_with_pages(tables, options).filter(converted()))
 
 
 def pattern_report(tables: Tables, options: JourneyOptions = JOURNEY, min_support: float = 0.01) -> DataFrame:
     """Page sets that occur together in early converted sessions of the main funnel."""
-    sessions, numbered = _session_parts(tables, options)
-    wanted = sessions.filter(converted([MAIN_FUNNEL], SESSION_CAP))
-    items = page_items(recent_pages(tables, options), numbered)
-    return patterns.frequent_itemsets(patterns.transactions(wanted, items), min_support)
+    wanted = _sessions_with_pages(tables, options).filter(converted([MAIN_FUNNEL], SESSION_CAP))
+    blank = F.array(F.lit(""))
+    baskets = wanted.select(F.when(F.size("shown") > 0, shown_items()).otherwise(blank).alias("items"))
+    return patterns.frequent_itemsets(baskets, min_support)
 
 
 def top_group_report(tables: Tables, options: JourneyOptions = JOURNEY) -> DataFrame:
@@ -119,15 +112,21 @@ def top_group_report(tables: Tables, options: JourneyOptions = JOURNEY) -> DataF
     return groups.top_groups(session_summary(tables, options))
 
 
-def top_group_sessions(tables: Tables, options: JourneyOptions = JOURNEY) -> DataFrame:
-    """Converted sessions of the top groups."""
-    sessions = session_summary(tables, options)
-    return groups.rows_in_groups(sessions, groups.top_groups(sessions))
+def top_group_sessions(tables: Tables, options: JourneyOptions = JOURNEY, converted_only: bool = True) -> DataFrame:
+    """Sessions of the top groups: the converted ones, or all."""
+    sessions = groups.kept(session_summary(tables, options))
+    return groups.rows_in_groups(sessions, groups.top_groups(sessions), converted_only=converted_only)
+
+
+def top_group_page_report(tables: Tables, options: JourneyOptions = JOURNEY) -> DataFrame:
+    """Visits per page over the converted sessions of the top groups."""
+    sessions = groups.kept(_sessions_with_pages(tables, options, with_category=True))
+    return pages.page_visits(groups.rows_in_groups(sessions, groups.top_groups(sessions)))
 
 
 def other_sessions(tables: Tables, options: JourneyOptions = JOURNEY, empty: bool = False) -> DataFrame:
     """Sessions outside the top groups: without redirects, or with ``empty`` without pages."""
-    sessions = session_summary(tables, options)
+    sessions = groups.kept(session_summary(tables, options))
     outside = groups.rows_outside_groups(sessions, groups.top_groups(sessions))
     return outside.filter(F.col("journey_len") == 0 if empty else F.col("redirected") <= 0)
 
@@ -146,13 +145,11 @@ def _converted_filled(tables: Tables, options: JourneyOptions) -> DataFrame:
     return fill_missing(session_summary(tables, options)).filter(converted())
 
 
-def _session_parts(tables: Tables, options: JourneyOptions) -> tuple[DataFrame, DataFrame]:
-    """Sessions, and the numbered visits they come from."""
-    numbered = numbered_visits(tables, options)
-    return with_users(merged_measures(recent_figures(tables, options), numbered), tables, options), numbered
+def _sessions_with_pages(tables: Tables, options: JourneyOptions, with_category: bool = False) -> DataFrame:
+    """The session summary with the pages each session shows."""
+    numbered = numbered_visits(tables, options, with_category)
+    return with_users(recent_session_folds(tables, options, numbered), tables, options)
 
 
-def _idle_pages(tables: Tables, options: JourneyOptions) -> tuple[DataFrame, DataFrame]:
-    sessions, numbered = _session_parts(tables, options)
-    counted = counted_pages(recent_pages(tables, options), numbered)
-    return sessions.filter(not_converted(max_session=SESSION_CAP)), counted
+def _idle_sessions(tables: Tables, options: JourneyOptions) -> DataFrame:
+    return _sessions_with_pages(tables, options).filter(not_converted(max_session=SESSION_CAP))
