@@ -354,6 +354,13 @@ paged AS (
 )"""
 
 
+_EVENT_ROWS = """
+event_rows AS (
+  SELECT user_id, session_number, row_number() OVER (PARTITION BY user_id, session_number ORDER BY created, id) AS position,
+    event, page_name, strftime(created, '%Y-%m-%d') AS created_date
+  FROM base
+)"""
+
 # Reports that are also made from tables stored by day, with the same result.
 BY_DAY = [
     "user_journey",
@@ -405,6 +412,18 @@ starts AS (SELECT DISTINCT owner_id, session_number, session_start FROM base)
   SELECT user_id, session_number, page_name,
     row_number() OVER (PARTITION BY user_id, session_number ORDER BY created, id) AS position
   FROM base WHERE page_name IS NOT NULL""",
+        "journey_chunks": f"""{_with(_base())}, steps AS (
+    SELECT user_id, session_number, replace(page_name, 'null', '') AS page,
+      row_number() OVER (PARTITION BY user_id, session_number ORDER BY created, id) AS position
+    FROM base WHERE page_name IS NOT NULL
+  )
+  SELECT user_id, session_number, (position - 1) // 2 AS chunk, count(*) AS pages,
+    string_agg(page, ',' ORDER BY position) AS journey_pages FROM steps GROUP BY ALL""",
+        "journey_event_rows": f"{_with(_base('plain_id'), _EVENT_ROWS)} SELECT * FROM event_rows",
+        "journey_event_chunks": f"""{_with(_base('plain_id'), _EVENT_ROWS)}
+  SELECT user_id, session_number, (position - 1) // 3 AS chunk,
+    string_agg(concat(event, '|', coalesce(page_name, '~'), '|', created_date), ';' ORDER BY position) AS page_info
+  FROM event_rows GROUP BY ALL""",
         "anchor_times": f"""{_with(_AFTER)}
   SELECT user_id, session_number, funnel_id, strftime(anchor_time, '%Y-%m-%d %H:%M:%S.%f') AS anchor_time
   FROM anchors WHERE session_number <= 5""",

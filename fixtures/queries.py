@@ -120,15 +120,28 @@ def _gaps(t: Tables) -> DataFrame:
 # --- journeys ---------------------------------------------------------------
 
 
-def _detailed(t: Tables, options: JourneyOptions | None = None) -> DataFrame:
-    found = journeys.user_journey_detailed(t, options or _profile(journeys.DETAILED))
-    lines = F.transform(
-        "page_info_array",
+def _lines(infos: str | Column) -> Column:
+    return F.transform(
+        infos,
         lambda i: F.concat_ws(
             "|", i["event"], F.coalesce(i["page_name"], F.lit("~")), i["created_date"].cast("string")
         ),
     )
-    return found.withColumn("page_info", F.array_join(lines, ";")).drop("page_info_array")
+
+
+def _event_rows(t: Tables) -> DataFrame:
+    found = journeys.journey_event_rows(t, _profile(journeys.DETAILED))
+    return found.withColumn("created_date", F.col("created_date").cast("string"))
+
+
+def _event_chunks(t: Tables) -> DataFrame:
+    found = journeys.journey_event_chunks(t, _profile(journeys.DETAILED), size=3)
+    return found.select("user_id", "session_number", "chunk", F.array_join(_lines("page_info_array"), ";").alias("page_info"))
+
+
+def _detailed(t: Tables, options: JourneyOptions | None = None) -> DataFrame:
+    found = journeys.user_journey_detailed(t, options or _profile(journeys.DETAILED))
+    return found.withColumn("page_info", F.array_join(_lines("page_info_array"), ";")).drop("page_info_array")
 
 
 def _anchors(t: Tables) -> DataFrame:
@@ -213,6 +226,9 @@ def queries() -> dict[str, Query]:
         "user_journey_detailed": _tables(_detailed),
         "session_summary": _tables(lambda t: session_summary(t, OPTIONS)),
         "journey_steps": _tables(lambda t: journeys.journey_steps(t, OPTIONS)),
+        "journey_chunks": _tables(lambda t: journeys.journey_chunks(t, OPTIONS, size=2)),
+        "journey_event_rows": _tables(_event_rows),
+        "journey_event_chunks": _tables(_event_chunks),
         "anchor_times": _tables(_anchors),
         "journey_after_event": _tables(lambda t: journeys.journey_after_event(t, _profile(journeys.AFTER_EVENT))),
         "user_pages_array": _tables(_user_arrays),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 import pytest
 
@@ -16,7 +17,7 @@ from wayfare.operators.journeys import (
     second_pages,
     session_summary,
 )
-from wayfare.plans import journeys
+from wayfare.plans import analyses, journeys
 from wayfare.sources.schemas import TABLES
 from wayfare.sources.tables import Tables
 
@@ -55,8 +56,27 @@ def test_no_cross_joins_and_no_whole_table_tasks(stored):
     ]
     for df in found:
         plan = _plan(df)
-        for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition", "BatchEvalPython", "ArrowEval"):
+        for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEval"):
             assert bad not in plan
+        # One task gets no more than one row of each other: a total of their counts.
+        lines = plan.split("\n")
+        for below in (lines[i + 1] for i, line in enumerate(lines) if "SinglePartition" in line):
+            assert re.search(r"HashAggregate\(keys=\[\], functions=\[partial_(count|sum)\(", below)
+
+
+@pytest.mark.parametrize(
+    "report, reads, exchanges",
+    [
+        (journeys.user_journey, 5, 30),
+        (analyses.page_visit_report, 3, 21),
+        (analyses.popular_interaction_report, 4, 27),
+        (lambda t, o: journeys.journey_after_event(t, replace(o, filter_visits=False)), 3, 23),
+    ],
+)
+def test_few_reads_and_shuffles(stored, report, reads, exchanges):
+    plan = _plan(report(stored, OPTIONS))
+    assert plan.count("user_event]") <= reads
+    assert len(re.findall(r"Exchange (?:hash|range)partitioning", plan)) <= exchanges
 
 
 def test_date_window_and_columns_reach_the_scan(stored):

@@ -59,13 +59,17 @@ def interval_seconds(interval: str | Column) -> Column:
 
 def slice_of(ts: str | Column, seconds: int = SLICE_SECONDS) -> Column:
     """Number of the time slice a zone-less timestamp falls in; NULL goes last."""
-    epoch = (
-        F.date_diff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint") * 86400
-        + F.hour(ts) * 3600
-        + F.minute(ts) * 60
-        + F.second(ts)
-    )
-    return F.coalesce(F.floor(epoch / F.lit(seconds)), F.lit(2**62))
+    return F.coalesce(F.floor((_epoch_minutes(ts) * 60 + F.second(ts)) / F.lit(seconds)), F.lit(2**62))
+
+
+def epoch_millis(ts: str | Column) -> Column:
+    """Milliseconds of a zone-less timestamp since 1970, rounded down."""
+    return _epoch_minutes(ts) * 60000 + F.floor(F.extract(F.lit("SECOND"), ts) * 1000)
+
+
+def _epoch_minutes(ts: str | Column) -> Column:
+    days = F.date_diff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 1440 + F.hour(ts) * 60 + F.minute(ts)
 
 
 def _col(value: str | Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,6 +25,7 @@ from wayfare.functions.times import (
     slice_of,
     within_horizon,
 )
+from wayfare.operators.slices import with_slices
 
 
 def early_events(
@@ -53,13 +54,14 @@ def early_events(
     )
 
 
-def event_gaps(events: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def event_gaps(events: DataFrame, slice_seconds: int = SLICE_SECONDS, parts: int | None = None) -> DataFrame:
     """``id, user_id, created, gap``: interval since the user's previous event.
 
-    The first event of a user has a NULL gap.
+    The first event of a user has a NULL gap. Slices with many events are cut by
+    count (see ``operators.slices``).
     """
     inside = W.partitionBy("user_id", "slice").orderBy("created", "id")
-    rows = _by_slice(events.select("user_id", "created", "id"), slice_seconds).select(
+    rows = with_slices(events.select("user_id", "created", "id"), ["user_id"], slice_seconds, parts).select(
         "*", F.lag("created").over(inside).alias("previous"), F.lead("created").over(inside).alias("following")
     )
     in_order = W.partitionBy("user_id").orderBy("slice")
@@ -81,19 +83,46 @@ def product_time(events: DataFrame, gap_cap_seconds: int = 900, slice_seconds: i
 
 
 def presence(events: DataFrame, gap_cap_seconds: int = 900, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
-    """``user_id, slice, first_created, last_created, spent``: what product time needs of a slice."""
+    """``user_id, slice, first_created, last_created, spent``: what product time needs of a slice.
+
+    Events of one second are at most a second apart, which any cap allows, so what is
+    spent between them is the time from the first to the last. They become one row
+    before they are shuffled: a burst of any size is as many rows as it has seconds.
+    """
+    if gap_cap_seconds < 1:
+        raise ValueError("the cap is a second or more")
     cap = seconds_interval(gap_cap_seconds)
-    inside = W.partitionBy("user_id", "slice").orderBy("created")
-    rows = _by_slice(events.select("user_id", "created"), slice_seconds).withColumn(
-        "gap", F.col("created") - F.lag("created").over(inside)
+    cells = events.groupBy("user_id", slice_of("created", 1).alias("second"), slice_of("created", slice_seconds).alias("slice")).agg(
+        F.min("created").alias("first_created"), F.max("created").alias("last_created"), F.count(F.lit(1)).alias("events")
     )
-    return rows.groupBy("user_id", "slice").agg(
-        F.min("created").alias("first_created"),
-        F.max("created").alias("last_created"),
-        F.sum(F.when(F.col("gap") <= cap, F.col("gap"))).alias("spent"),
+    # Events often come from a join on the user, whose partitioning would satisfy all
+    # that follows and leave a busy user in one task; so a shuffle is asked for.
+    cells = cells.repartition("user_id", "slice")
+    inside = W.partitionBy("user_id", "slice").orderBy("second")
+    own = F.when(F.col("events") > 1, F.col("last_created") - F.col("first_created"))
+    gap = F.col("first_created") - F.lag("last_created").over(inside)
+    return (
+        cells.select("*", own.alias("own"), gap.alias("gap"))
+        .groupBy("user_id", "slice")
+        .agg(
+            F.min("first_created").alias("first_created"),
+            F.max("last_created").alias("last_created"),
+            F.sum("own").alias("own"),
+            F.sum(F.when(F.col("gap") <= cap, F.col("gap"))).alias("between"),
+        )
+        .select("user_id", "slice", "first_created", "last_created", _added("own", "between").alias("spent"))
     )
 
 
+def _added(*intervals: str) -> Column:
+    """The sum of intervals, leaving out NULL ones; NULL if all are."""
+    some = F.coalesce(*intervals).isNotNull()
+    total = seconds_interval(0)
+    for interval in intervals:
+        total = total + F.coalesce(interval, seconds_interval(0))
+    return F.when(some, total)
+
+
 def joined_presence(slices: DataFrame, gap_cap_seconds: int = 900) -> DataFrame:
     """``user_id, product_time`` from the slices of ``presence``, whichever days they come from."""
     cap = seconds_interval(gap_cap_seconds)
@@ -109,13 +138,3 @@ def joined_presence(slices: DataFrame, gap_cap_seconds: int = 900) -> DataFrame:
     return spent.filter(F.col("spent").isNotNull() | F.col("joints").isNotNull()).select(
         "user_id", interval_seconds(total).alias("product_time")
     )
-
-
-def _by_slice(events: DataFrame, slice_seconds: int) -> DataFrame:
-    """Add ``slice`` and spread the rows by user and slice.
-
-    Events often arrive here from a join on the user. Their partitioning by
-    user would satisfy a window by user and slice as well, and leave a busy
-    user in one task; so the shuffle is asked for.
-    """
-    return events.withColumn("slice", slice_of("created", slice_seconds)).repartition("user_id", "slice")

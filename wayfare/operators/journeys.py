@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,6 +35,7 @@ from wayfare.functions.references import (
 from wayfare.functions.times import SLICE_SECONDS, VISIT_SLICE_SECONDS, AsOf, since, slice_of
 from wayfare.operators.gaps import early_events, joined_presence, product_time
 from wayfare.operators.keys import SESSION, VISIT
+from wayfare.operators.slices import with_slices
 from wayfare.operators.visits import known_visits, number_visits
 from wayfare.sources.tables import Tables
 
@@ -408,28 +409,69 @@ def shown_items(shown: str | Column = "shown") -> Column:
 
 
 def ordered_steps(
-    rows: DataFrame, keys: Sequence[str], page: str = "page_name", slice_seconds: int = SLICE_SECONDS
+    rows: DataFrame,
+    keys: Sequence[str],
+    page: str = "page_name",
+    slice_seconds: int = SLICE_SECONDS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Pages in row form: ``keys..., position, page``, counted from 1.
 
-    The row form of an ordered page array. It has no size limit per key:
-    positions are page counts inside a time slice plus the pages of earlier
-    slices of the same key.
+    The row form of an ordered page array, without limit per key.
     """
-    sliced = page_events(rows).select(
-        *keys, "created", "id", page, slice_of("created", slice_seconds).alias("slice")
-    )
+    steps = page_events(rows).select(*keys, "created", "id", page)
+    return _placed(steps, keys, F.col(page).isNotNull(), slice_seconds, parts).select(*keys, "position", page)
+
+
+def ordered_events(
+    rows: DataFrame, keys: Sequence[str], slice_seconds: int = SLICE_SECONDS, parts: int | None = None
+) -> DataFrame:
+    """All events in row form: ``keys..., position, event, page_name, created_date``, counted from 1.
+
+    The row form of the array of all events, without limit per key.
+    """
+    events = rows.select(*keys, "created", "id", "event", "page_name")
+    placed = _placed(events, keys, F.lit(True), slice_seconds, parts)
+    return placed.select(*keys, "position", "event", "page_name", F.to_date("created").alias("created_date"))
+
+
+def _placed(rows: DataFrame, keys: Sequence[str], counted: Column, slice_seconds: int, parts: int | None) -> DataFrame:
+    """The ``counted`` rows with their ``position`` per key, by time and id.
+
+    Positions are counts inside a time slice plus the counts of earlier slices of
+    the same key; slices with many rows are cut by count.
+    """
+    sliced = with_slices(rows.withColumn("counted", counted), keys, slice_seconds, parts)
     earlier = W.partitionBy(*keys).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(*keys, "slice")
-        .agg(F.count(page).alias("steps"))
+        .agg(F.count_if("counted").alias("steps"))
         .select(*keys, "slice", F.coalesce(F.sum("steps").over(earlier), F.lit(0)).alias("before"))
     )
     inside = W.partitionBy(*keys, "slice").orderBy("created", "id").rowsBetween(W.unboundedPreceding, 0)
-    places = sliced.withColumn("place", F.count(page).over(inside)).filter(F.col(page).isNotNull())
-    return places.join(offsets, [*keys, "slice"]).select(
-        *keys, (F.col("before") + F.col("place")).alias("position"), page
-    )
+    places = sliced.withColumn("place", F.count_if("counted").over(inside)).filter("counted")
+    return places.join(offsets, [*keys, "slice"]).withColumn("position", F.col("before") + F.col("place"))
+
+
+def chunked_pages(steps: DataFrame, keys: Sequence[str], size: int, page: str = "page_name") -> DataFrame:
+    """``keys..., chunk, pages, journey_pages``: a journey string in pieces of ``size`` pages, counted from 0.
+
+    Joined by commas in order, the pieces are the whole string. No cell holds more
+    than ``size`` pages, however long a journey is.
+    """
+    parts = F.transform(_ordered(F.struct("position", journey_text(page).alias("text"))), lambda step: step["text"])
+    return _chunks(steps, keys, size).agg(F.count(F.lit(1)).alias("pages"), F.array_join(parts, ",").alias("journey_pages"))
+
+
+def chunked_events(events: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
+    """``keys..., chunk, page_info_array``: all events of a journey in arrays of ``size``, counted from 0."""
+    infos = _ordered(F.struct("position", "event", "page_name", "created_date"))
+    infos = F.transform(infos, lambda i: F.struct(*(i[name].alias(name) for name in ("event", "page_name", "created_date"))))
+    return _chunks(events, keys, size).agg(infos.alias("page_info_array"))
+
+
+def _chunks(placed: DataFrame, keys: Sequence[str], size: int) -> GroupedData:
+    return placed.groupBy(*keys, F.floor((F.col("position") - 1) / F.lit(size)).alias("chunk"))
 
 
 def visit_anchors(tables: Tables, options: JourneyOptions, anchor_event: str) -> DataFrame:

@@ -13,6 +13,10 @@ from wayfare.operators.journeys import (
     anchor_times,
     anchored_visits,
     numbered_visits,
+    chunked_events,
+    chunked_pages,
+    journey_events,
+    ordered_events,
     ordered_steps,
     recent_page_rows,
     recent_texts,
@@ -97,6 +101,22 @@ def journey_steps(tables: Tables, options: JourneyOptions = JOURNEY) -> DataFram
     return ordered_steps(rows, _HEAD, slice_seconds=options.slice_seconds)
 
 
+def journey_chunks(tables: Tables, options: JourneyOptions = JOURNEY, size: int = 1000) -> DataFrame:
+    """The journey string in numbered pieces of ``size`` pages, for sessions whose string would not fit a cell."""
+    return chunked_pages(journey_steps(tables, options), _HEAD, size)
+
+
+def journey_event_rows(tables: Tables, options: JourneyOptions = DETAILED) -> DataFrame:
+    """The array of the detailed journey in row form: user, session, position, event, page name, date."""
+    rows = journey_events(tables, options).join(numbered_visits(tables, options), ["user_id", "visit_id"])
+    return ordered_events(rows, _HEAD, slice_seconds=options.slice_seconds)
+
+
+def journey_event_chunks(tables: Tables, options: JourneyOptions = DETAILED, size: int = 1000) -> DataFrame:
+    """The same array in numbered pieces of ``size`` events."""
+    return chunked_events(journey_event_rows(tables, options), _HEAD, size)
+
+
 def user_pages_array(
     tables: Tables,
     as_of: AsOf = None,
