@@ -9,6 +9,7 @@ scanner over its tags.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -26,23 +27,36 @@ LEAST_COVER = 0.25
 #: Text directly in the body counts as part of the article from this share of it on.
 BODY_SHARE = 0.1
 
+# Quantifiers that give nothing back: whatever a page holds, each character is passed once.
+# Quotes count after an equals sign only, and a quote that nothing closes is part of the value.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg)\b(?P<rawattrs>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/])[^>]*+(?<=/)>"
+    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg)(?=[\s/>])[^>]*+(?:>.*?(?:</(?P=raw)\s*+>|\Z)|\Z)"
+    r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)(?:>|\Z)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
+_READ = frozenset("class id role hidden style aria-hidden".split())
+#: Longer paths and steps are shortened to a digest, so that nesting costs nothing.
+MOST_PATH = 512
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data dfn del em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 _DROPPED = frozenset("nav footer aside form button select option input label fieldset dialog menu head title object canvas audio video map".split())
-_BOILERPLATE = re.compile(
-    r"(?:^|[-_ ])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|signup"
-    r"|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widget|footer|foot|masthead|topbar|share|sharing|social|related|recommended|comments?|commentlist|replies|reply|respond|disqus|tags|pagination|pager|login|search)(?:$|[-_ 0-9])",
-    re.I,
-)
+# Words of class names and ids that name what is around an article.
+_AROUND = (
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal"
+    " newsletter subscribe signup nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget footer foot masthead topbar share sharing social"
+    " related recommended comment comments commentlist replies reply respond disqus tags pagination pager login search"
+).split()
+_BOILERPLATE = re.compile(rf"(?:^|[-_ ])(?:{'|'.join(_AROUND)})(?:$|[-_ 0-9])", re.I)
+# Words that name a part of a page together with one of those.
+_PARTS = (
+    "area bar block body bottom box button buttons col column container content form group head header holder icons inner item items left link links list"
+    " main module outer overlay panel post posts right row section slot stories text title top unit wrap wrapper"
+).split()
 _HEADER = re.compile(r"(?:^|[-_ ])header(?:$|[-_ 0-9])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 _CLOSES_P = frozenset("p div article section main ul ol dl table h1 h2 h3 h4 h5 h6 pre blockquote header footer nav aside form figure hr address details".split())
@@ -51,23 +65,31 @@ _CONTAINERS = frozenset(["", *"html body main article section div td table tbody
 
 
 class Node:
-    """An element; ``at`` is its number in order of start tags, and the next ``size`` numbers are those below it and its own."""
+    """An element; ``at`` is its number in order of start tags, and the next ``size`` numbers are those below it and its own.
+
+    ``container`` is itself or the nearest container around it, ``paragraph`` the
+    place on the stack of a <p> around it inside that container, ``within`` whether
+    it is or stands in an article, ``doubtful`` whether its name alone says too little.
+    """
 
-    __slots__ = ("tag", "path", "dropped", "parent", "at", "size", "own", "linked", "score", "direct", "kept", "links")
+    __slots__ = ("tag", "path", "dropped", "parent", "at", "size", "own", "linked", "score", "direct", "kept", "links", "container", "paragraph", "within", "doubtful")
 
-    def __init__(self, tag: str, path: str, dropped: bool, parent: Node | None, at: int):
+    def __init__(self, tag: str, path: str, dropped: bool, parent: Node | None, at: int, doubtful: bool = False):
         self.tag, self.path, self.dropped, self.parent, self.at, self.size = tag, path, dropped, parent, at, 1
         self.own = self.linked = self.score = self.direct = self.kept = self.links = 0
-
-
-def _container(node: Node) -> Node:
-    while node.tag not in _CONTAINERS and node.parent is not None:
-        node = node.parent
-    return node
+        self.container = self if parent is None or tag in _CONTAINERS else parent.container
+        self.paragraph = 0 if parent is None or tag in _CONTAINERS else parent.paragraph
+        self.within = tag in ("article", "main") or (parent is not None and parent.within)
+        self.doubtful = doubtful
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)} if text else {}
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text) if text else ():
+        name = m[1].lower()
+        if name in _READ:  # the first of a name counts
+            found.setdefault(name, html.unescape(m[2] or m[3] or m[4] or ""))
+    return found
 
 
 def _generalised(tag: str, attributes: dict[str, str]) -> str:
@@ -76,6 +98,16 @@ def _generalised(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *names])
 
 
+def _joined(path: str, step: str) -> str:
+    """The path one step further, shortened where it gets long."""
+    step = step if len(step) <= MOST_PATH else _digest(step)
+    return f"{path if len(path) <= MOST_PATH else _digest(path)}/{step}"
+
+
+def _digest(text: str) -> str:
+    return "#" + hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def _is_dropped(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
     if tag in _DROPPED or (tag == "header" and not inside_article):
         return True
@@ -87,20 +119,37 @@ def _is_dropped(tag: str, attributes: dict[str, str], inside_article: bool) -> b
         return False
     if not inside_article and (_HEADER.search(attributes.get("class", "")) or _HEADER.search(attributes.get("id", ""))):
         return True
-    return bool(_BOILERPLATE.search(attributes.get("class", "")) or _BOILERPLATE.search(attributes.get("id", "")))
+    return any(_names_around(attributes[name], not inside_article) for name in ("class", "id") if name in attributes)
+
+
+def _names_around(names: str, any_part: bool) -> bool:
+    """Whether a name has a word of what surrounds articles; in an article, whether all its words say so.
+
+    ``share-buttons`` does in both cases, ``side-effects`` outside an article only.
+    """
+    if any_part or not _BOILERPLATE.search(names):
+        return bool(_BOILERPLATE.search(names))
+    for name in names.lower().split():
+        words = [w for w in (w.strip("0123456789") for w in name.replace("_", "-").split("-")) if w]
+        if any(w in _AROUND for w in words) and all(w in _AROUND or w in _PARTS for w in words):
+            return True
+    return False
 
 
 def read_page(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """The page's elements, and its blocks outside dropped elements, as they stand, with the number of their element.
 
     Linear in the page. Unclosed tags are closed by what follows them: a block
-    closes an open paragraph, an end tag closes all up to its start tag.
+    closes an open paragraph, an end tag closes all up to its start tag. An element
+    of an article whose name only contains a word of what surrounds articles is
+    dropped if it holds mostly links; else it is read, scored and voted for.
     """
     root = Node("", "", False, None, 0)
     stack, nodes = [root], [root]
     blocks: list[tuple[int, str]] = []
     pieces: list[str] = []
     link = 0  # open <a>
+    opened: dict[str, int] = {}  # tags on the stack
 
     def flush() -> None:
         if not pieces:
@@ -111,7 +160,7 @@ def read_page(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if not text or top.dropped:
             return
         blocks.append((top.at, text))
-        node = _container(top)
+        node = top.container
         node.direct += len(text)
         if top.tag not in ("ul", "ol", "li"):  # lists are as often menus as text
             node.own += len(text)
@@ -123,7 +172,7 @@ def read_page(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if not stack[-1].dropped:
                 pieces.append(text)
                 if link:
-                    _container(stack[-1]).linked += len(text)
+                    stack[-1].container.linked += len(text)
         at = m.end()
         tag = m["tag"]
         if tag is None:
@@ -138,38 +187,64 @@ def read_page(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         flush()
         if m["end"]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth and not (tag == "p" and any(n.tag in _CONTAINERS for n in stack[depth + 1 :])):
+            depth = stack[-1].paragraph if tag == "p" else 0
+            if tag != "p" and opened.get(tag):
+                depth = next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag)
+            if depth:
+                for node in stack[depth:]:
+                    opened[node.tag] -= 1
                 del stack[depth:]
             continue
         if tag in _VOID:
             continue
         if stack[-1].tag == "p" if tag in _CLOSES_P else tag == "li" and stack[-1].tag == "li":
-            stack.pop()
+            opened[stack.pop().tag] -= 1
         attributes = _attributes(m["attrs"])
         top = stack[-1]
-        inside = any(n.tag in ("article", "main") for n in stack)
-        node = Node(tag, f"{top.path}/{_generalised(tag, attributes)}" if tag in _CONTAINERS else top.path + "/" + tag, top.dropped or _is_dropped(tag, attributes, inside), top, len(nodes))
+        step = _generalised(tag, attributes) if tag in _CONTAINERS else tag
+        dropped = top.dropped or _is_dropped(tag, attributes, top.within)
+        doubtful = not dropped and top.within and any(_names_around(attributes[name], True) for name in ("class", "id") if name in attributes)
+        node = Node(tag, _joined(top.path, step), dropped, top, len(nodes), doubtful)
+        if tag == "p":
+            node.paragraph = len(stack)
+        opened[tag] = opened.get(tag, 0) + 1
         nodes.append(node)
         stack.append(node)
     if at < len(source) and not stack[-1].dropped:
         pieces.append(source[at:])
     flush()
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.size += node.size
+    if any(node.doubtful for node in nodes):
+        blocks = _settled(nodes, blocks)
     return nodes, blocks
 
 
+def _settled(nodes: list[Node], blocks: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """Drop doubtful elements that are mostly links, and all in them; the blocks that stay."""
+    text, links = [n.direct for n in nodes], [n.linked for n in nodes]
+    for node in reversed(nodes[1:]):
+        text[node.parent.at] += text[node.at]
+        links[node.parent.at] += links[node.at]
+    end = 0
+    for node in nodes:
+        if node.doubtful and 2 * links[node.at] > text[node.at]:
+            end = max(end, node.at + node.size)
+        node.dropped = node.dropped or node.at < end
+    return [block for block in blocks if not nodes[block[0]].dropped]
+
+
 def _scored(nodes: list[Node]) -> list[tuple[str, int]]:
     totals: dict[str, int] = {}
     for node in reversed(nodes):
-        if node.parent is not None:
-            node.parent.size += node.size
         if node.dropped or node.tag not in _CONTAINERS:
             continue
         score = 3 * max(0, node.own - 2 * node.linked) + node.score
         node.kept += node.direct
         node.links += node.linked
         if node.parent is not None:
-            above = _container(node.parent)
+            above = node.parent.container
             above.score += score // 3
             above.kept += node.kept
             above.links += node.links
@@ -206,7 +281,7 @@ def _article(nodes: list[Node], path: str) -> list[Node]:
 
     def around(node: Node) -> Iterator[Node]:
         while node.parent is not None:
-            node = _container(node.parent)
+            node = node.parent.container
             if node.at + node.size > last:
                 yield node
 
@@ -228,11 +303,11 @@ def _article(nodes: list[Node], path: str) -> list[Node]:
 
 
 def _text(nodes: list[Node], blocks: list[tuple[int, str]], path: str) -> str:
-    out, spans = [], [(n.at, n.at + n.size) for n in _article(nodes, path)]
+    out, spans, k = [], [(n.at, n.at + n.size) for n in _article(nodes, path)], 0
     for at, raw in blocks:
-        while spans and at >= spans[0][1]:
-            spans.pop(0)
-        if spans and at >= spans[0][0] and (block := " ".join(html.unescape(raw).split())):
+        while k < len(spans) and at >= spans[k][1]:
+            k += 1
+        if k < len(spans) and at >= spans[k][0] and (block := " ".join(html.unescape(raw).split())):
             out.append(block)
     return "\n\n".join(out)
 
