@@ -201,11 +201,14 @@ class Model:
         self.frequent = max(20_000, self.total // (4 * buckets))
         seen = [n * r * d for n, r, d in zip(stats[2:], range(1, DISCOUNTED + 1), self.d)]
         rest = self.total - sum(n * r for n, r in zip(stats[2 : 2 + DISCOUNTED], range(1, DISCOUNTED + 1)))
-        self.unknown = 1.0 - (sum(seen) + rest) / self.total if self.total else 1.0
+        left = 1.0 - (sum(seen) + rest) / self.total if self.total else 1.0
+        # Without rare words discounting leaves nothing; an unknown word then has a token's share all the same.
+        self.unknown = max(left, 1.0 / (self.total + 1))
+        self.scale = (1.0 - self.unknown) / (1.0 - left) if left < 1.0 else 1.0
 
     def word(self, counts: np.ndarray) -> np.ndarray:
-        """Probability of words by training count; the unknown word has what discounting leaves."""
-        p = _effective(counts, self.d) / max(1, self.total)
+        """Probability of words by training count; the unknown word has what discounting leaves, or a token's share."""
+        p = _effective(counts, self.d) / max(1, self.total) * self.scale
         return np.where(counts > 0, p, self.unknown)
 
     def parts(self, history_counts: np.ndarray) -> np.ndarray:
