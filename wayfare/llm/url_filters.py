@@ -63,13 +63,18 @@ def listed_captures(captures: DataFrame, spans: DataFrame) -> DataFrame:
     return keys.join(cut, ["kind", "value", "bin"]).filter((F.col("since") <= F.col("fetched_at")) & (F.col("fetched_at") < F.col("ended"))).select("capture", "kind", "value", "since")
 
 
+_RESULTS = ("host", "blocked", "n_entries", "first_kind", "first_value", "first_since", "first", "_url", "_at")
+
+
 def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """Every row of ``captures`` (page_id, url, fetched_at) with host, blocked, n_entries, first_kind, first_value, first_since.
 
     Captures without url, host or fetch time are kept and not blocked. Repeated
     rows give repeated rows: equal (url, fetch time) is judged once and joined
-    back. Other columns of the input stay. Ties of the earliest entry go by kind and value.
+    back. Other columns of the input stay; one that bears the name of a result, in any
+    case, is kept as ``input_<name>``. Ties of the earliest entry go by kind and value.
     """
+    captures = captures.withColumnsRenamed({c: f"input_{c}" for c in captures.columns if c.lower() in _RESULTS})
     named = captures.withColumn("host", host_of(F.col("url")))
     once = named.select("url", "host", "fetched_at").dropna(subset=["url", "fetched_at"]).distinct()
     once = once.withColumn("capture", F.struct("url", "fetched_at"))
