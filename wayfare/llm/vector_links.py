@@ -71,7 +71,17 @@ def _similar(left, right=None, kind=np.float16) -> np.ndarray:
 
 
 def nodes_of(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, copies, v, exact) of distinct valid vectors, and vec_id with its node (NULL if invalid)."""
+    """The first two results of ``named_nodes``."""
+    return named_nodes(embeddings)[:2]
+
+
+def named_nodes(embeddings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Nodes (id, copies, v, exact) of distinct valid vectors, and vec_id with its node (NULL if invalid).
+
+    A node is known by the smallest vec_id of its vector. Where several vectors bear
+    one id, or ids are no integers, nodes are numbered in the order of that id, and
+    the third result says which id a number stands for.
+    """
     plain = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))  # -0.0 becomes 0.0
     good = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = embeddings.select("vec_id", F.when(good & F.col("vec_id").isNotNull(), plain).alias("vector"))
@@ -90,9 +100,15 @@ def nodes_of(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
             )
 
     distinct = written(sums)
+    names = None
+    whole = dict(embeddings.dtypes)["vec_id"] in ("tinyint", "smallint", "int", "bigint")
+    if not whole or not distinct.groupBy("id").count().filter("count > 1").isEmpty():
+        ordered = distinct.orderBy("id", "vector").withColumn("number", F.monotonically_increasing_id())
+        distinct = written(ordered.select(F.col("number").alias("id"), "copies", "vector", F.col("id").alias("named")))
+        names = distinct.select(F.col("id").alias("component"), "named")
     nodes = written(in_batches(distinct.select(F.col("id").cast("long"), "copies", "vector"), unit, "id long, copies long, v binary, exact binary"))
     members = rows.join(distinct.select("vector", F.col("id").alias("node")), "vector", "left").select("vec_id", "node")
-    return nodes, members
+    return nodes, members, names
 
 
 def _bits(count: int) -> int:
@@ -338,12 +354,13 @@ def vector_links(embeddings: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
 
     Needs vec_id and embedding; other columns are ignored. Vectors that are NULL,
     empty, zero or hold a NULL or non-finite component, and rows without vec_id,
-    link with nothing; vectors of different length do not link either. Equal
+    link with nothing; vectors of different length do not link either. Different
+    vectors of one id are rows of their own, each with its links. Equal
     vectors link with one another; repeated rows count as so many vectors. The
     component is named by its smallest id; no rows give none.
     """
     ship(embeddings.sparkSession)
-    nodes, members = nodes_of(embeddings)
+    nodes, members, names = named_nodes(embeddings)
     count = nodes.count()
     lists, recall, forests, known = None, 0.0, 0, None
     while known is None or recall < AUDIT_RECALL:
@@ -357,6 +374,8 @@ def vector_links(embeddings: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
         known = written(_finished(lists, nodes, count, k))
         recall = audit(known, nodes, k)
     named = members.join(known.drop("copies"), "node", "left")
+    if names is not None:
+        named = named.join(names, "component", "left").drop("component").withColumnRenamed("named", "component")
     component = F.coalesce("component", "vec_id")
     result = named.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
     return result.withColumn("audit_recall", F.lit(float(recall)))
