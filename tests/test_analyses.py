@@ -109,6 +109,37 @@ def test_grouping_sets_equal_single_groupings(spark):
         assert sorted(map(tuple, part.collect())) == sorted(map(tuple, alone.collect()))
 
 
+def test_users_with_many_sessions_count_once(spark):
+    rng = random.Random(7)
+    rows = [
+        (rng.choice([None, 1, 2, 3]), rng.choice([None, 1, 8]), rng.choice([None, 1, 2]), rng.choice(["a", "b"]),
+         rng.randint(0, 3), rng.randint(0, 1), rng.randint(0, 2), rng.choice([None, 0, 5]), rng.choice([None, 0.25, 7.000001]))
+        for _ in range(80)
+    ]
+    names = "user_id long, funnel_id int, offer_category_id int, screen_size string, banner_clicks long, attr_clicks long, redirected long, journey_len int, product_time double"
+    sessions = spark.createDataFrame(rows, names)
+    key_sets = [["funnel_id"], ["offer_category_id"], ["screen_size"], ["funnel_id", "offer_category_id"]]
+    together = conversion.conversion_stats_sets(sessions, key_sets)
+    for keys in key_sets:
+        groups_of = {}
+        for row in (dict(zip(sessions.columns, r)) for r in rows):
+            groups_of.setdefault(tuple(row[k] for k in keys), []).append(row)
+        expected = {}
+        for key, held in groups_of.items():
+            lengths = [r["journey_len"] for r in held if r["journey_len"] is not None]
+            times = [r["product_time"] for r in held if r["product_time"] is not None]
+            expected[key] = (
+                len({r["user_id"] for r in held} - {None}),
+                sum(r["banner_clicks"] for r in held),
+                sum(r["redirected"] for r in held),
+                sum(lengths) / len(lengths) if lengths else None,
+                pytest.approx(sum(times) / len(times)) if times else None,
+            )
+        for stats in (together.filter(F.col("grouping") == "+".join(keys)), conversion.conversion_stats(sessions, keys)):
+            found = {tuple(r[k] for k in keys): (r.total_user, r.banner_click, r.redirected, r.journey_len, r.product_time) for r in stats.collect()}
+            assert found == expected
+
+
 def test_second_page(spark):
     sessions = _from_journeys(spark, ["a,b[1],c", "a,b,a", "a", None, "", "d,b[2]"], redirected=1)
     assert [tuple(r) for r in pages.second_page_counts(sessions).collect()] == [(8, "1", "b", 2)]

@@ -79,6 +79,17 @@ def test_few_reads_and_shuffles(stored, report, reads, exchanges):
     assert len(re.findall(r"Exchange (?:hash|range)partitioning", plan)) <= exchanges
 
 
+def test_groupings_repeat_users_not_sessions(stored):
+    plan = _plan(analyses.conversion_report_sets(stored, OPTIONS))
+    # Read bottom up: sessions become rows per user and all keys, and these are repeated.
+    below = plan[plan.index("Expand"):]
+    reduced = r"HashAggregate\(keys=\[user_id, funnel_id, offer_category_id, session_number, screen_size[^\]]*\]"
+    assert re.search(reduced, below) and not re.search(reduced, plan[: plan.index("Expand")])
+    # The lines in between only pick columns.
+    between = [line.split("- ")[-1] for line in below[: re.search(reduced, below).start()].split("\n")[1:]]
+    assert all(re.match(r"(\*\(\d+\) )?(Project|Sort)?", line) for line in between)
+
+
 def test_date_window_and_columns_reach_the_scan(stored):
     plan = _plan(journeys.user_journey(stored, OPTIONS))
     assert "GreaterThanOrEqual(created,2024-01-05" in plan

@@ -20,6 +20,8 @@ TITLES = {
     "total_click_pct": "Total Click %",
 }
 
+_CLICKS = ["banner_clicks", "attr_clicks", "redirected"]
+
 
 def conversion_stats(
     sessions: DataFrame, keys: Sequence[str], order_by: Sequence[str] = (), ascending: bool = False
@@ -29,19 +31,22 @@ def conversion_stats(
     Percents divide clicks by distinct users, so they can exceed 100; they are
     rounded half to even. ``order_by`` may name keys or result columns.
     """
-    stats = _percents(sessions.groupBy(*keys).agg(*_figures()), keys)
-    return _sorted(stats, order_by, ascending)
+    stats = user_figures(sessions, keys).groupBy(*keys).agg(*_merged_figures(F.count("user_id")))
+    return _sorted(_percents(stats, keys), order_by, ascending)
 
 
 def conversion_stats_sets(sessions: DataFrame, key_sets: Sequence[Sequence[str]]) -> DataFrame:
     """The statistics of several groupings in one pass.
 
     ``grouping`` names the keys of a row's grouping; keys outside it are NULL.
+    Sessions of one user that agree in all keys become one row before rows are
+    repeated for the groupings, so what is repeated are users, not sessions.
     """
     keys = list(dict.fromkeys(key for key_set in key_sets for key in key_set))
     sets = [[F.col(key) for key in key_set] for key_set in key_sets]
     label = F.concat_ws("+", *[F.when(F.grouping(key) == 0, F.lit(key)) for key in keys])
-    stats = sessions.groupingSets(sets, *keys).agg(*_figures(), label.alias("grouping"))
+    users = user_figures(sessions, keys)
+    stats = users.groupingSets(sets, *keys).agg(*_merged_figures(F.count_distinct("user_id")), label.alias("grouping"))
     return _percents(stats, ["grouping", *keys])
 
 
@@ -64,23 +69,33 @@ def nonconverted_by_source(sessions: DataFrame, excluded_ending: str = "chats")
     )
 
 
-def _figures() -> list[Column]:
+def user_figures(sessions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per user and ``keys``, with figures that add up over users and over keys.
+
+    Seconds are added as microsecond decimals, lengths as whole numbers, so that
+    the order of adding has no effect. NULL users form rows of their own.
+    """
+    return sessions.groupBy("user_id", *keys).agg(
+        *[F.sum(name).alias(name) for name in _CLICKS],
+        F.sum("journey_len").alias("length"),
+        F.count("journey_len").alias("lengths"),
+        F.sum(F.col("product_time").cast("decimal(18,6)")).alias("seconds"),
+        F.count("product_time").alias("times"),
+    )
+
+
+def _merged_figures(users: Column) -> list[Column]:
+    """Figures of a grouping from the rows of ``user_figures``; ``users`` counts its users."""
     return [
-        F.count_distinct("user_id").alias("total_user"),
+        users.alias("total_user"),
         F.sum("banner_clicks").alias("banner_click"),
         F.sum("attr_clicks").alias("attribute_click"),
         F.sum("redirected").alias("redirected"),
-        F.avg("journey_len").alias("journey_len"),
-        _exact_mean("product_time").alias("product_time"),
+        F.try_divide(F.sum("length").cast("double"), F.sum("lengths")).alias("journey_len"),
+        F.try_divide(F.sum("seconds").cast("double"), F.sum("times")).alias("product_time"),
     ]
 
 
-def _exact_mean(seconds: str) -> Column:
-    """Mean of seconds, added as microsecond decimals so that order has no effect."""
-    total = F.sum(F.col(seconds).cast("decimal(18,6)")).cast("double")
-    return total / F.count(seconds)
-
-
 def _percents(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     total = F.col("banner_click") + F.col("attribute_click")
 
