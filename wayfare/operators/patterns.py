@@ -32,10 +32,11 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = 0.01) -> DataFram
     """
     items = F.array_sort(F.array_distinct(F.array_compact("items")))
     equal = baskets.select(items.alias("items")).groupBy("items").agg(F.count(F.lit(1)).alias("baskets"))
-    # A set is counted in the baskets that hold its last item.
+    # A set is counted in the baskets that hold its last item. The outer explode adds no
+    # test on the items, which would reach the sessions and keep Spark from working them out once.
     candidates = _candidates(equal, min_support).distinct()
     hooked = candidates.select(F.col("items").alias("found"), F.element_at("items", -1).alias("hook"))
-    holding = equal.select("items", "baskets", F.explode("items").alias("hook")).join(hooked, "hook")
+    holding = equal.select("items", "baskets", F.explode_outer("items").alias("hook")).join(hooked, "hook")
     counted = (
         holding.filter(F.size(F.array_except("found", "items")) == 0)
         .groupBy("found")
