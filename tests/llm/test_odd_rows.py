@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from wayfare.llm import katz, url_filters, vector_links
@@ -46,3 +47,45 @@ def test_input_columns_with_the_names_of_results_are_kept(spark):
     (row,) = url_filters.filter_urls(captures, entries).collect()
     assert (row.host, row.blocked, row.input_Host, row.input_blocked, row.extra) == ("a.example", True, "mine", True, 7)
     assert len(set(row.asDict())) == len(row)
+
+
+def _groups(sizes, seed=5):
+    """Vectors in groups of ``sizes`` whose members are all linked with one another, and the brute-force links."""
+    rng = np.random.default_rng(seed)
+    vectors = np.concatenate([rng.standard_normal(24) + 0.1 * rng.standard_normal((size, 24)) for size in sizes])
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = unit @ unit.T >= vector_links.COSINE
+    np.fill_diagonal(near, False)
+    return vectors, near
+
+
+def test_lists_of_saturated_vectors_are_enlarged(spark):
+    vectors, near = _groups([1] * 40 + [3, 12, 25, 70])
+    nodes, _ = vector_links.nodes_of(spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>"))
+    count = len(vectors)
+    lists = vector_links.written(vector_links.with_forest(None, nodes, count, 0))
+    plain = vector_links.settled(lists, nodes, count)
+    assert max(len(r.near) for r in plain.collect()) == vector_links.NEIGHBOURS
+    for r in vector_links.enlarged(plain, nodes, count).collect():
+        found = [n for n in r.near if near[r.u, n.v]]
+        true = int(near[r.u].sum())
+        # All links where the list can hold them, and a list full of links where it can't.
+        assert len(found) == min(true, vector_links.LARGEST)
+        assert len(r.near) == max(min(true, vector_links.LARGEST), vector_links.NEIGHBOURS)
+        assert all(abs(n.s) <= 1.01 for n in r.near) and [n.s for n in r.near] == sorted((n.s for n in r.near), reverse=True)
+
+
+def test_forests_that_bring_nothing_end_in_blocks(spark, monkeypatch):
+    vectors, near = _groups([1] * 20 + [2, 9, 40], seed=8)
+    vectors[3] = vectors[-1]  # a repeated row, far from its copy in the table
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = unit @ unit.T >= vector_links.COSINE
+    np.fill_diagonal(near, False)
+    group = np.arange(len(vectors))
+    for _ in range(len(vectors)):
+        group = np.minimum(group, np.where(near, group, len(vectors)).min(axis=1))
+    monkeypatch.setattr(vector_links, "BLOCK", 16)
+    monkeypatch.setattr(vector_links, "audit", lambda known, nodes, k: 0.0)
+    frame = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_links.vector_links(frame).collect()}
+    assert got == {i: (int(near[i].sum()), int(group[i]), int(group[i]) == i) for i in range(len(vectors))}

@@ -3,11 +3,14 @@
 Equal vectors form one node. Forests of random hyperplane codes, more of them the
 longer the codes, give every node a first list of neighbours; rounds of NN-descent
 then compare the neighbours of each node with one another and keep what is nearer,
-until a round brings no new link. A list that is full of links is saturated: there is more than it holds. Saturated
-components are compared in whole, block by block, and only counts leave a block;
-saturated nodes also search the other components, in leaves that are not cut, until no link joins two. Links
+until a round brings no new link. A list that is full of links is saturated: there is more than it holds. Lists
+of saturated nodes are enlarged, twice the room at a time up to ``LARGEST``, and
+filled by rounds over their neighbourhoods alone. Components with more links at a node than
+``NEIGHBOURS`` are counted in whole, block by block, and only counts leave a block;
+their full nodes also search the other components, in leaves that are not cut, until no link joins two. Links
 are confirmed in double precision. An audit against brute force tells the recall;
-while it is short, forests of new planes go on.
+while it is short, forests of new planes go on, and when these bring nothing more,
+all nodes are compared block by block.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ COSINE = 0.9
 #: Half-precision similarities are off by less than this; what they let through is confirmed.
 MARGIN = 0.005
 NEIGHBOURS = 8
+#: Entries of a list that has been enlarged as far as it may be.
+LARGEST = 32
 #: Trees of one forest; ``forests_for`` tells how many forests a table needs.
 TREES = 12
 LEAF = 48
@@ -188,43 +193,79 @@ def _compared(rows: DataFrame, keys: list[str], size: int, k: int) -> DataFrame:
     return placed.groupBy("bundle").applyInPandas(lambda f: _nearest(f, k), _PAIR)
 
 
-def _kept(pairs: DataFrame, k: int) -> DataFrame:
-    """u, near: the ``k`` nearest distinct neighbours of each node, by a bounded aggregate per node."""
+def _kept(pairs: DataFrame, k: int, room: int) -> DataFrame:
+    """u, near: the ``k`` nearest distinct neighbours of each node, and links beyond them up to ``room`` entries."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # before the shuffle: what a batch has beyond k for a node can't be kept
+        for batch in batches:  # before the shuffle: what a batch has beyond that for a node can't be kept
             f = batch.to_pandas().drop_duplicates(["u", "v"]).sort_values(["u", "s", "v"], ascending=[True, False, True])
-            yield pa.RecordBatch.from_pandas(f[f.groupby("u").cumcount() < k], schema=batch.schema, preserve_index=False)
+            place = f.groupby("u").cumcount()
+            keep = (place < k) | ((place < room) & (f["s"] >= COSINE - MARGIN))
+            yield pa.RecordBatch.from_pandas(f[keep], schema=batch.schema, preserve_index=False)
 
-    best = F.slice(F.sort_array(F.collect_set(F.struct("s", "v")), asc=False), 1, k)
-    return in_batches(pairs, cut, _PAIR).groupBy("u").agg(best.alias("near"))
+    best = F.slice(F.sort_array(F.collect_set(F.struct("s", "v")), asc=False), 1, room)
+    near = F.filter(best, lambda n, place: (place < k) | (n["s"] >= COSINE - MARGIN))
+    return in_batches(pairs, cut, _PAIR).groupBy("u").agg(near.alias("near"))
 
 
-def with_forest(lists: DataFrame | None, nodes: DataFrame, count: int, seed: int, k: int = NEIGHBOURS) -> DataFrame:
+def _saturated(lists: DataFrame, room: int) -> DataFrame:
+    """id of the nodes whose list holds ``room`` entries or more, all of them links."""
+    full = (F.size("near") >= room) & (F.element_at("near", -1)["s"] >= COSINE - MARGIN)
+    return lists.filter(full).select(F.col("u").alias("id"))
+
+
+def with_forest(lists: DataFrame | None, nodes: DataFrame, count: int, seed: int, k: int = NEIGHBOURS, room: int = NEIGHBOURS) -> DataFrame:
     """``lists``, if any, with what the leaves of one more forest bring."""
     leaves = _leaves(nodes.select("id", "v"), count, TREES, seed)
     found = _compared(leaves, ["tree", "code", "part"], count * TREES, k)
-    return _kept(found if lists is None else found.unionByName(_flat(lists)), k)
+    return _kept(found if lists is None else found.unionByName(_flat(lists)), k, room)
 
 
 def _flat(lists: DataFrame) -> DataFrame:
     return lists.select("u", F.explode("near").alias("n")).select("u", "n.v", "n.s")
 
 
-def descend(lists: DataFrame, nodes: DataFrame, count: int, k: int = NEIGHBOURS) -> DataFrame:
+def descend(lists: DataFrame, nodes: DataFrame, count: int, k: int = NEIGHBOURS, room: int = NEIGHBOURS, growing: DataFrame | None = None) -> DataFrame:
     """One round: the neighbours of every node, both ways, are compared with one another.
 
     A node that many others name deals these out to parts of about LEAF, none is
-    left out. Only pairs nearer than the farthest neighbour kept so far go on.
+    left out. Only pairs nearer than the farthest neighbour kept so far go on, or
+    links where a list has room for them. With ``growing`` (id) only the nodes that
+    have one of these for a neighbour compare theirs.
     """
     flat = lists.select("u", F.explode("near").alias("n")).select("u", "n.v")
     both = flat.unionByName(flat.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    if growing is not None:
+        hubs = both.join(growing.select(F.col("id").alias("v")), "v", "left_semi").select("u").distinct()
+        both = both.join(hubs, "u", "left_semi")
     degree = both.groupBy("u").agg(F.ceil(F.count("*") / (1.5 * LEAF)).cast("int").alias("parts"))
-    floor = lists.select(F.col("u").alias("id"), F.when(F.size("near") >= k, F.element_at("near", -1)["s"]).otherwise(F.lit(-2.0)).cast("float").alias("floor"))
-    known = nodes.select("id", "v").join(floor, "id")
+    last = F.element_at("near", -1)["s"]
+    floor = F.when(F.size("near") >= room, last).when(F.size("near") >= k, F.least(last, F.lit(COSINE - MARGIN))).otherwise(F.lit(-2.0))
+    known = nodes.select("id", "v").join(lists.select(F.col("u").alias("id"), floor.cast("float").alias("floor")), "id")
     around = both.join(degree, "u").select(F.col("u").alias("hub"), F.pmod(F.xxhash64("v"), F.col("parts")).alias("part"), F.col("v").alias("id")).join(known, "id")
-    found = _compared(around, ["hub", "part"], 2 * k * count, k)
-    return _kept(found.unionByName(_flat(lists)), k)
+    found = _compared(around, ["hub", "part"], 2 * k * count, room)
+    return _kept(found.unionByName(_flat(lists)), k, room)
+
+
+def settled(lists: DataFrame, nodes: DataFrame, count: int, k: int = NEIGHBOURS, room: int = NEIGHBOURS, growing: DataFrame | None = None) -> DataFrame:
+    """``lists`` after rounds of ``descend`` until one brings hardly a link."""
+    seen = -1
+    while (links := _links(lists).count()) > seen * (1 + SETTLED):
+        seen = links
+        lists = written(descend(lists, nodes, count, k, room, growing))
+    return lists
+
+
+def enlarged(lists: DataFrame, nodes: DataFrame, count: int, k: int = NEIGHBOURS, largest: int = LARGEST) -> DataFrame:
+    """``lists`` with twice the room for saturated nodes, and again, until none is saturated or they hold ``largest``."""
+    room = k
+    while room < largest:
+        growing = written(_saturated(lists, room))
+        if growing.isEmpty():
+            break
+        room = min(2 * room, largest)
+        lists = settled(lists, nodes, count, k, room, growing)
+    return lists
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -362,15 +403,18 @@ def vector_links(embeddings: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     ship(embeddings.sparkSession)
     nodes, members, names = named_nodes(embeddings)
     count = nodes.count()
-    lists, recall, forests, known = None, 0.0, 0, None
+    lists, recall, forests, known, links, room = None, 0.0, 0, None, -1, k
     while known is None or recall < AUDIT_RECALL:
         for _ in range(1 if known is not None else forests_for(count)):
-            lists = written(with_forest(lists, nodes, count, forests, k))
+            lists = written(with_forest(lists, nodes, count, forests, k, room))
             forests += 1
-        seen = -1
-        while (links := _links(lists).count()) > seen * (1 + SETTLED):
-            seen = links
-            lists = written(descend(lists, nodes, count, k))
+        lists = settled(lists, nodes, count, k, room)
+        if room == k:
+            lists, room = enlarged(lists, nodes, count, k), max(k, LARGEST)
+        before, links = links, _links(lists).count()
+        if links == before:
+            known, recall = written(_by_blocks(nodes)), 1.0
+            break
         known = written(_finished(lists, nodes, count, k))
         recall = audit(known, nodes, k)
     named = members.join(known.drop("copies"), "node", "left")
@@ -415,3 +459,41 @@ def _finished(lists: DataFrame, nodes: DataFrame, count: int, k: int) -> DataFra
         .join(found.select(F.col("node").alias("id"), "component"), "id", "left")
         .select(F.col("id").alias("node"), "copies", (F.coalesce("linked", "listed", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
     )
+
+
+def _by_blocks(nodes: DataFrame) -> DataFrame:
+    """The result of ``_finished`` from comparing all nodes in blocks, for tables whose links no forest finds.
+
+    A pair of blocks gives the counts of its nodes, and one pair a node that says
+    which nodes of the two hang together, so that no group of links leaves it whole.
+    """
+    blocks = max(1, int(np.ceil(nodes.count() / BLOCK)))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    spread = nodes.select("id", "copies", "exact", own.alias("own")).select("*", other)
+    spread = spread.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "copies", "exact")
+
+    def compare(key, f):
+        f = f[(f["own"] == key[0]) | (f["own"] == key[1])]
+        own, ids = f["own"].to_numpy(), f["id"].to_numpy()
+        near = _similar(list(f["exact"]), None, np.float64) >= COSINE
+        near &= ids[:, None] != ids
+        if key[0] != key[1]:
+            near &= own[:, None] != own
+        group = ids.copy()
+        while True:  # the smallest id reachable inside the block pair
+            least = np.minimum(group, np.where(near, group, np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max))
+            if (least == group).all():
+                return pd.DataFrame({"id": ids, "linked": near @ f["copies"].to_numpy(), "group": group})
+            group = least
+
+    found = written(spread.groupBy("i", "j").applyInPandas(compare, "id long, linked long, group long"))
+    linked = found.groupBy("id").agg(F.sum("linked").alias("linked"))
+    edges = found.filter("id > `group`").select(F.col("id").alias("a"), F.col("group").alias("b")).distinct()
+    named = components(written(edges)).select(F.col("node").alias("id"), "component")
+    return (
+        nodes.select("id", "copies")
+        .join(linked, "id")
+        .join(named, "id", "left")
+        .select(F.col("id").alias("node"), "copies", (F.col("linked") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    )
