@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.builders import at, event, tables, user, visit
 from wayfare.operators.exports import summary_from_journeys
@@ -101,3 +102,21 @@ def test_events_by_day_are_pruned(spark, tmp_path):
     plan = recent._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan
     assert recent.count() == 2 and "day" not in recent.columns
+
+
+@pytest.mark.parametrize(
+    "name, time, option, read", [("user_visit", "session_start", "visit_day", "visits_since"), ("banner_click", "created", "click_day", "clicks_since")]
+)
+def test_visits_and_clicks_by_day_are_pruned(spark, tmp_path, name, time, option, read):
+    days = F.timestamp_add("DAY", F.col("id").cast("int"), F.lit("2024-01-10").cast("timestamp"))
+    made = spark.range(3).select(*[
+        (days if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name].fields
+    ])
+    made.withColumn("day", F.to_date(time)).write.partitionBy("day").parquet(str(tmp_path / name))
+    made.write.parquet(str(tmp_path / "plain" / name))
+    tables = Tables.from_parquet(spark, str(tmp_path), names=[name], **{option: "day"})
+    recent = getattr(tables, read)("2024-01-12", 1)
+    assert "PartitionFilters: [isnotnull(day" in recent._jdf.queryExecution().executedPlan().toString()
+    assert recent.count() == 2 and "day" not in recent.columns
+    plain = getattr(Tables.from_parquet(spark, str(tmp_path / "plain"), names=[name]), read)("2024-01-12", 1)
+    assert sorted(plain.collect()) == sorted(recent.collect())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.pages import first_segment
 from wayfare.functions.references import BANNER_CLICK, BANNER_SHOW, banner_url
-from wayfare.functions.times import AsOf, since, within_signup_days
+from wayfare.functions.times import AsOf, within_signup_days
 from wayfare.sources.tables import Tables
 
 LOOKBACK_DAYS = 30
@@ -70,7 +70,7 @@ def impressions_24h(tables: Tables, as_of: AsOf = None, lookback_days: int = LOO
 
 def click_pages(tables: Tables, as_of: AsOf = None, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """Clicks on known banners and offers by known users, with the banner's place and the bare page name."""
-    clicked = tables.banner_click.filter(since("created", as_of, lookback_days) & F.col("banner_id").isNotNull())
+    clicked = tables.clicks_since(as_of, lookback_days).filter(F.col("banner_id").isNotNull())
     offers = tables.offer.select(F.col("id").alias("offer_id"), "conversion_type")
     banners = tables.banner.select(F.col("id").alias("banner_id"), "device", "placement", "image_url", "priority")
     return (
@@ -96,7 +96,7 @@ def clicks(
     the click revenue; without, each click counts once. Postbacks of the clicks
     looked at are summed per click first, so neither form multiplies rows.
     """
-    recent = tables.banner_click.filter(since("created", as_of, lookback_days) & F.col("banner_id").isNotNull())
+    recent = tables.clicks_since(as_of, lookback_days).filter(F.col("banner_id").isNotNull())
     # Postbacks bear no date; those of older clicks go before they are added up.
     paid = tables.postback.withColumnRenamed("banner_click_id", "id").join(recent.select("id"), "id", "left_semi")
     postbacks = paid.groupBy("id").agg(F.count(F.lit(1)).alias("postbacks"), F.sum("payout").alias("payout"))

@@ -32,7 +32,7 @@ from wayfare.functions.references import (
     screen_size,
     visit_key,
 )
-from wayfare.functions.times import SLICE_SECONDS, VISIT_SLICE_SECONDS, AsOf, since, slice_of
+from wayfare.functions.times import SLICE_SECONDS, VISIT_SLICE_SECONDS, AsOf, slice_of
 from wayfare.operators.gaps import early_events, joined_presence, product_time
 from wayfare.operators.keys import SESSION, VISIT
 from wayfare.operators.slices import with_slices
@@ -66,9 +66,8 @@ def numbered_visits(tables: Tables, options: JourneyOptions, with_category: bool
     The category is the largest among the offers a visit led to; it is NULL
     throughout unless asked for.
     """
-    visits = tables.user_visit
-    if options.filter_visits:
-        visits = visits.filter(since("session_start", options.as_of, options.lookback_days))
+    recent = options.filter_visits
+    visits = tables.visits_since(options.as_of, options.lookback_days) if recent else tables.user_visit
     active = known_visits(visit_pairs(tables, options), tables.user, visits)
     # Categories join before the numbering, not after it: event rows join the
     # result by visit, and Spark can split a busy visit only in a join whose
@@ -492,9 +491,8 @@ def anchored_visits(tables: Tables, options: JourneyOptions, anchor_event: str)
     One fold per visit finds the pairs and their anchors, so visits are numbered
     once. A session has the first anchor of its visits.
     """
-    visits = tables.user_visit
-    if options.filter_visits:
-        visits = visits.filter(since("session_start", options.as_of, options.lookback_days))
+    recent = options.filter_visits
+    visits = tables.visits_since(options.as_of, options.lookback_days) if recent else tables.user_visit
     active = known_visits(visit_anchors(tables, options, anchor_event), tables.user, visits)
     numbered = number_visits(active, options.max_session, options.visit_slice_seconds)
     first = F.min("anchor_time").over(W.partitionBy(*SESSION))

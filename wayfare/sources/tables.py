@@ -34,26 +34,43 @@ class Tables:
     assets: DataFrame | None = None
     event_day: str | None = None
     days: DayTables | None = None
+    visit_day: str | None = None
+    click_day: str | None = None
 
     def events_since(self, as_of: AsOf, days: int) -> DataFrame:
         """Events of the last ``days`` and today; a named day column prunes folders."""
-        recent = self.user_event.filter(since("created", as_of, days))
-        if self.event_day is None:
-            return recent
-        return recent.filter(since(self.event_day, as_of, days)).drop(self.event_day)
+        return _since(self.user_event, "created", self.event_day, as_of, days)
+
+    def visits_since(self, as_of: AsOf, days: int) -> DataFrame:
+        """Visits that started in the last ``days`` or today, pruned in the same way."""
+        return _since(self.user_visit, "session_start", self.visit_day, as_of, days)
+
+    def clicks_since(self, as_of: AsOf, days: int) -> DataFrame:
+        """Banner clicks of the last ``days`` and today, pruned in the same way."""
+        return _since(self.banner_click, "created", self.click_day, as_of, days)
 
     @classmethod
-    def from_parquet(cls, spark: SparkSession, root: str, names: Sequence[str] = tuple(TABLES), event_day: str | None = None) -> Tables:
+    def from_parquet(
+        cls,
+        spark: SparkSession,
+        root: str,
+        names: Sequence[str] = tuple(TABLES),
+        event_day: str | None = None,
+        visit_day: str | None = None,
+        click_day: str | None = None,
+    ) -> Tables:
         """One parquet folder per table under ``root``.
 
         ``event_day`` names the date column that events are partitioned by, if
-        they are: the calendar date of ``created``.
+        they are: the calendar date of ``created``. ``click_day`` does so for banner
+        clicks, and ``visit_day`` for visits: the calendar date of ``session_start``.
         """
         schemas = {name: T.StructType(list(TABLES[name].fields)) for name in names}
-        if event_day is not None and "user_event" in schemas:
-            schemas["user_event"].add(event_day, T.DateType())
+        for name, day in (("user_event", event_day), ("user_visit", visit_day), ("banner_click", click_day)):
+            if day is not None and name in schemas:
+                schemas[name].add(day, T.DateType())
         read = {name: spark.read.schema(schema).parquet(f"{root}/{name}") for name, schema in schemas.items()}
-        return cls(**read, event_day=event_day)
+        return cls(**read, event_day=event_day, visit_day=visit_day, click_day=click_day)
 
     @classmethod
     def from_jdbc(
@@ -76,6 +93,11 @@ class Tables:
         return cls(**loaded)
 
 
+def _since(rows: DataFrame, time: str, day: str | None, as_of: AsOf, days: int) -> DataFrame:
+    recent = rows.filter(since(time, as_of, days))
+    return recent if day is None else recent.filter(since(day, as_of, days)).drop(day)
+
+
 def jdbc_options(
     connection: Mapping[str, str],
     *,
