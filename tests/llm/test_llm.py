@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import math
 import random
@@ -446,6 +447,23 @@ def test_cut_takes_whole_hit_words_and_nothing_else(spark, empty):
     assert decontaminate.without_overlaps(empty, benchmark).count() == 0
 
 
+def test_blocks_of_a_benchmark_lose_no_window(spark, documents):
+    items = [(dt.date(2024, 1, 1 + i % 3), " ".join(_LONG.split()[40 * i : 40 * i + 20 + 25 * i])) for i in range(6)] + [(None, "two three")]
+    benchmark = spark.createDataFrame(items, "item_id date, text string")
+    blocks = decontaminate.benchmark_blocks(benchmark, block_words=10)
+    rows = blocks.collect()
+    assert len(rows) > len(items) and max(len(r["words"]) for r in rows) <= 20
+    windows = {" ".join(w) for _, text in items for w in decontaminate.windows(decontaminate.WORD.findall(fold(text)))}
+    stored = set()
+    for r in rows:
+        numbers = [r["patterns"][i : i + 10] for i in range(0, len(r["patterns"]), 10)]
+        stored |= {" ".join(r["words"][n - 1] for n in window if n) for window in numbers}
+    assert stored == windows
+    for r in decontaminate.find_overlaps(documents, benchmark, block_words=10).collect():
+        _, hit, found = _plain_hits(TEXTS[r.doc_id], items)
+        assert (r.hit_words, set(r.hit_items)) == (len(hit), found)
+
+
 def test_index_against_plain_search():
     r = random.Random(4)
     for _ in range(40):

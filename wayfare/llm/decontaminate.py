@@ -6,6 +6,10 @@ can hold no occurrence and are left out, the rest is one sequence with separator
 The windows are searched backward through the ranks of a wavelet tree over the
 Burrows-Wheeler transform, all at once in numpy; occurrences are located from
 sampled suffix positions and merged into spans.
+
+The benchmark is cut into blocks of bounded size by Spark tasks and stored in the
+shared folder. Executors fetch the files; a task holds one block at a time. Neither
+the driver nor a broadcast ever holds the benchmark.
 """
 
 from __future__ import annotations
@@ -18,16 +22,19 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from wayfare.llm.common import fold, in_batches, without
+from wayfare.llm.common import fold, in_batches, without, written
 
 WINDOW = 10
 SHARD_WORDS = 1_000_000
 SAMPLE_STEP = 16
 #: Benchmark words of one block. A larger benchmark is searched block by block, so
-#: that what is broadcast stays below a few tens of MB whatever its size.
+#: that a task holds a few hundred MB of it at most, whatever its size.
 BLOCK_WORDS = 1_000_000
 
 #: A word: letters, digits and everything beyond ASCII.
@@ -177,6 +184,31 @@ class Benchmark:
         self.owners = list(owners.values())
         self.shortest = int(self.lengths.min()) if len(owners) else 0
 
+    def row(self) -> dict[str, list]:
+        """The block as one row of the table of blocks: see ``_BLOCK``."""
+        return {
+            "words": [list(self.vocabulary)],
+            "patterns": [self.patterns.astype(np.int32).ravel()],
+            "lengths": [self.lengths.astype(np.int32)],
+            "owned": [np.fromiter(map(len, self.owners), np.int32, len(self.owners))],
+            "owners": [np.fromiter((place for places in self.owners for place in places), np.int32)],
+            "ids": [self.ids],
+        }
+
+    @classmethod
+    def of_row(cls, row: pa.RecordBatch, width: int) -> Benchmark:
+        """The block that ``row`` made a row of."""
+        values = {name: row.column(name)[0].values for name in row.schema.names}
+        block = cls([], width)
+        block.ids = values["ids"].to_pylist()
+        block.vocabulary = {word: place for place, word in enumerate(values["words"].to_pylist(), 1)}
+        block.patterns = values["patterns"].to_numpy().astype(np.int64).reshape(-1, width)
+        block.lengths = values["lengths"].to_numpy().astype(np.int64)
+        ends = np.cumsum(values["owned"].to_numpy())
+        block.owners = [places.tolist() for places in np.split(values["owners"].to_numpy(), ends[:-1])] if len(ends) else []
+        block.shortest = int(block.lengths.min()) if len(block.lengths) else 0
+        return block
+
     def hits(self, texts: list[str]) -> list[tuple[int, list[tuple[int, int]], list[object]]]:
         """For each text of a shard: its number of words, merged spans of hit words, items found."""
         get, shortest = self.vocabulary.get, self.shortest
@@ -225,17 +257,55 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[object, str]]]:
-    """Items in blocks of bounded size, one partition at a time on the driver."""
-    block, size = [], 0
-    for row in benchmark.select("item_id", "text").dropDuplicates().toLocalIterator():
-        block.append((row.item_id, row.text))
-        size += len(row.text or "") // 4 + 1
-        if size >= block_words:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _pieces(text: str | None, most: int, width: int) -> Iterator[tuple[int, str | None]]:
+    """A text whole, or its words in pieces of at most ``most`` whose windows are those of the whole; with their sizes."""
+    words = WORD.findall(fold(text)) if text else []
+    if len(words) <= most:
+        yield len(words), text
+        return
+    for at in range(0, len(words) - width + 1, most - width + 1):
+        piece = words[at : at + most]
+        yield len(piece), " ".join(piece)
+
+
+#: One row a block: its words by number, its windows (right-aligned, one after the other), their lengths, how many items
+#: own each and which (places in ``ids``).
+_BLOCK = "words array<string>, patterns array<int>, lengths array<int>, owned array<int>, owners array<int>, ids array<{kind}>"
+
+
+def benchmark_blocks(benchmark: DataFrame, width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The table of blocks of ``benchmark`` (item_id, text), made by tasks; see ``_BLOCK``.
+
+    Rows are dealt out by id, as many tasks as blocks are expected; a task begins a new
+    block when one is full, and a text longer than a block is cut where no window is lost.
+    """
+    kind = benchmark.schema["item_id"].dataType
+    ids = pa.list_(to_arrow_type(kind))
+    most = max(block_words, 2 * width)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> pa.RecordBatch:
+            numbers = pa.list_(pa.int32())
+            kinds = {"words": pa.list_(pa.string()), "patterns": numbers, "lengths": numbers, "owned": numbers, "owners": numbers, "ids": ids}
+            return pa.RecordBatch.from_pydict({name: pa.array(value, kinds[name]) for name, value in Benchmark(block, width).row().items()})
+
+        block, size = [], 0
+        for batch in batches:
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+                for words, piece in _pieces(text, most, width):
+                    if block and size + words > most:
+                        yield made()
+                        block, size = [], 0
+                    block.append((item, piece))
+                    size += words
+        if block:
+            yield made()
+
+    rows = benchmark.select("item_id", "text")
+    # Words are at least two characters with what parts them; texts of short words fill a second block.
+    size = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    dealt = rows.repartition(max(1, -(-size // (4 * block_words))), "item_id").dropDuplicates()
+    return in_batches(dealt, pack, _BLOCK.format(kind=kind.simpleString()))
 
 
 def find_overlaps(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -243,17 +313,28 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame, width: int = WINDO
 
     All input columns but those of these names stay. NULL and empty texts have no words and no hits; NULL
     or empty items have no windows; without items nothing is hit. Repeated rows
-    give repeated rows. Items of several rows with one id count as one item.
+    give repeated rows. Items of several rows with one id count as one item. The
+    blocks of the benchmark are written when this is called, everything else is lazy.
     """
     documents = without(documents, "n_words", "hit_words", "hit_spans", "hit_items")
     kind = benchmark.schema["item_id"].dataType.simpleString()
     added = f"n_words long, hit_spans array<struct<start:long,end:long>>, hit_items array<{kind}>"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    context = documents.sparkSession.sparkContext
-    sent = [context.broadcast(Benchmark(block, width)) for block in _blocks(benchmark, block_words)]
+    item = to_arrow_type(benchmark.schema["item_id"].dataType)
+    blocks = written(benchmark_blocks(benchmark, width, block_words))
+    count = blocks.count()
+    files = blocks.inputFiles() if count else []
+    for path in files:
+        documents.sparkSession.sparkContext.addFile(path)
+    names = [path.rsplit("/", 1)[1] for path in files]
+
+    def stored() -> Iterator[Benchmark]:
+        for name in names:
+            for row in pq.ParquetFile(SparkFiles.get(name)).iter_batches(batch_size=1):
+                yield Benchmark.of_row(row, width)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _ARROW[kind]
+        only = list(stored()) if count == 1 else None
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text"))
             sizes = pc.utf8_length(column).fill_null(0).to_numpy()
@@ -264,16 +345,16 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame, width: int = WINDO
                 part = batch.slice(start, stop - start)
                 start = max(stop, 1)
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
-                rows: list[tuple[int, list, set]] = [(len(WORD.findall(fold(t))) if t else 0, [], set()) for t in texts] if not sent else []
-                for block in sent:
-                    got = block.value.hits(texts)
+                rows: list[tuple[int, list, set]] = [(len(WORD.findall(fold(t))) if t else 0, [], set()) for t in texts] if not count else []
+                for block in only or stored():
+                    got = block.hits(texts)
                     rows = [(n, s + (rows[i][1] if rows else []), set(f) | (rows[i][2] if rows else set())) for i, (n, s, f) in enumerate(got)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *part.columns,
                         pa.array([n for n, _, _ in rows], pa.int64()),
                         pa.array([[{"start": a, "end": b} for a, b in _merged(s)] for _, s, _ in rows], _SPANS),
-                        pa.array([sorted(f, key=str) for _, _, f in rows], pa.list_(ids)),
+                        pa.array([sorted(f, key=str) for _, _, f in rows], pa.list_(item)),
                     ],
                     names=[*part.schema.names, "n_words", "hit_spans", "hit_items"],
                 )
@@ -284,7 +365,6 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame, width: int = WINDO
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
 def overlap_report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
