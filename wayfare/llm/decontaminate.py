@@ -276,8 +276,9 @@ _BLOCK = "words array<string>, patterns array<int>, lengths array<int>, owned ar
 def benchmark_blocks(benchmark: DataFrame, width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The table of blocks of ``benchmark`` (item_id, text), made by tasks; see ``_BLOCK``.
 
-    Rows are dealt out by id, as many tasks as blocks are expected; a task begins a new
-    block when one is full, and a text longer than a block is cut where no window is lost.
+    As many tasks as blocks are expected read the distinct rows, so that blocks are full
+    however many partitions a shuffle has; a task begins a new block when one is full, and
+    a text longer than a block is cut where no window is lost.
     """
     kind = benchmark.schema["item_id"].dataType
     ids = pa.list_(to_arrow_type(kind))
@@ -304,7 +305,7 @@ def benchmark_blocks(benchmark: DataFrame, width: int = WINDOW, block_words: int
     rows = benchmark.select("item_id", "text")
     # Words are at least two characters with what parts them; texts of short words fill a second block.
     size = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    dealt = rows.repartition(max(1, -(-size // (4 * block_words))), "item_id").dropDuplicates()
+    dealt = rows.dropDuplicates().coalesce(max(1, -(-size // (4 * block_words))))
     return in_batches(dealt, pack, _BLOCK.format(kind=kind.simpleString()))
 
 
